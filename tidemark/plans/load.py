@@ -81,19 +81,20 @@ def _load(wh, stg, calendar, plans):
     ).first()
     good = classified.filter(F.col("reject_reason").isNull())
 
+    buckets = wh.layout()
+    if buckets is None:
+        skew = warehouse.heaviest_share(stored, "customer_id", wh.buckets)
+        buckets = wh.fix_layout(0 if skew > warehouse.SKEW_FACTOR else wh.buckets)
+
     customers = wh.get(warehouse.CUSTOMERS)
-    # Bucketed tables keep their layout, so skew matters on the first load only.
-    skewed = customers is None and (
-        warehouse.heaviest_share(stored, "customer_id", wh.buckets) > warehouse.SKEW_FACTOR
-    )
     fresh = facts.new_customers(good, customers)
     if "customer_key" not in fresh.columns:
         top = customers.agg(F.max("customer_key")).first()[0] if customers is not None else None
         # Written before use: a recomputed task could hand out its keys differently.
         fresh = wh.scratch(facts.with_surrogate_keys(fresh, "customer_key", top or 0), "new_customers")
     fresh = fresh.withColumn("created_at", F.current_timestamp()).select(*S.CUSTOMER.fieldNames())
-    fresh = wh.co_locate(fresh, warehouse.CUSTOMERS, skewed)
-    customers = wh.append(fresh, warehouse.CUSTOMERS, skewed)
+    fresh = warehouse.co_locate(fresh, buckets)
+    customers = wh.append_keyed(fresh, warehouse.CUSTOMERS, buckets)
 
     rows = facts.fact_rows(good, customers)
     loaded = wh.get(warehouse.FACT)
@@ -102,9 +103,9 @@ def _load(wh, stg, calendar, plans):
         top = loaded.agg(F.max("sub_key")).first()[0] or 0
         rows = facts.not_loaded_yet(rows, loaded, summary["lo"], summary["hi"])
     # Keys are assigned after the shuffle, in the tasks that write them.
-    rows = facts.with_surrogate_keys(wh.co_locate(rows, warehouse.FACT, skewed), "sub_key", top)
+    rows = facts.with_surrogate_keys(warehouse.co_locate(rows, buckets), "sub_key", top)
     rows = rows.withColumn("loaded_at", F.current_timestamp()).select(*S.FACT.fieldNames())
-    written = wh.append(rows, warehouse.FACT, skewed)
+    written = wh.append_keyed(rows, warehouse.FACT, buckets)
     # Counted from the table: counters inside a retried stage may count twice.
     return written.filter(F.col("sub_key") > top).count(), summary["rejected"]
 

@@ -96,9 +96,12 @@ def staging(orders, lineitem, customer, nation, region, until=CUTOFF) -> DataFra
         .join(account_attributes(customer, nation, region), "customer_key")
         .withColumn("usage_mils", usage_mils)
         .withColumn("churn_flag", F.when(draw < limit, 1).otherwise(0))
-        .withColumn("cohort_month", F.min("month").over(by_account))
-        .withColumn(
-            "left_in", F.min(F.when(F.col("churn_flag") == 1, F.col("month"))).over(by_account)
+        .withColumn("churn_month", F.when(F.col("churn_flag") == 1, F.col("month")))
+        .withColumns(
+            {
+                "cohort_month": F.min("month").over(by_account),
+                "left_in": F.min("churn_month").over(by_account),
+            }
         )
         .filter(F.col("left_in").isNull() | (F.col("month") <= F.col("left_in")))
         .select(

@@ -27,7 +27,7 @@ LOG = "refresh_log"
 
 AREAS = {FACT: "core", CUSTOMERS: "core", STAGING: "core", LOG: "audit"}
 SORT_KEYS = {FACT: "date_key", CUSTOMERS: "customer_key"}
-LAYOUT = T.StructType([T.StructField("table", T.StringType()), T.StructField("buckets", T.IntegerType())])
+LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
 
 BUCKET_BYTES = 256 << 20
 MAX_BUCKETS = 50_000
@@ -58,8 +58,17 @@ def heaviest_share(df: DataFrame, key: str, buckets: int) -> float:
     return row["top"] * buckets / row["total"] if row["total"] else 0.0
 
 
+def co_locate(df: DataFrame, buckets: int) -> DataFrame:
+    """Hashes rows the way bucket files are; without buckets, rows stay where they are."""
+    return df.repartition(buckets, "customer_key") if buckets else df
+
+
 class Warehouse:
-    """Tables under one root folder on shared storage."""
+    """Tables under one root folder on shared storage.
+
+    ``buckets`` is the layout asked for; ``fix_layout`` records the one used,
+    which later loads and applications then keep.
+    """
 
     def __init__(self, spark, root: str, buckets: int | None = None):
         self.spark = spark
@@ -73,11 +82,20 @@ class Warehouse:
         # Catalog names are per root, so several warehouses share a session.
         return f"tidemark_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{table}"
 
-    def _stored_buckets(self, table: str) -> int:
-        """Buckets of an existing table; 0 for a plain one."""
-        path = f"{self.root}/audit/layout"
-        row = self.spark.read.schema(LAYOUT).parquet(path).filter(F.col("table") == table).first()
-        return row["buckets"] if row else 0
+    def layout(self) -> int | None:
+        """Buckets of the keyed tables, 0 for none; None before the first load."""
+        try:
+            row = self.spark.read.schema(LAYOUT).parquet(f"{self.root}/audit/layout").first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        return row and row["buckets"]
+
+    def fix_layout(self, buckets: int) -> int:
+        one = self.spark.range(1).select(F.lit(buckets).alias("buckets"))
+        one.write.mode("overwrite").parquet(f"{self.root}/audit/layout")
+        return buckets
 
     def _reopen(self, table: str) -> bool:
         """Puts files written by an earlier application into this one's catalog."""
@@ -88,7 +106,7 @@ class Warehouse:
                 return False
             raise
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        buckets = self._stored_buckets(table) if table in SORT_KEYS else 0
+        buckets = self.layout() if table in SORT_KEYS else 0
         clustered = (
             f"CLUSTERED BY (customer_key) SORTED BY ({SORT_KEYS[table]}) INTO {buckets} BUCKETS"
             if buckets
@@ -121,36 +139,19 @@ class Warehouse:
         """Overwrites a plain table."""
         return self._save(df.write.mode("overwrite"), table)
 
-    def co_locate(self, df: DataFrame, table: str, skewed: bool = False) -> DataFrame:
-        """Hashes rows the way the table's files are bucketed: one file per bucket."""
-        buckets = self._buckets_for(table, skewed)
-        return df.repartition(buckets, "customer_key") if buckets else df
-
-    def _buckets_for(self, table: str, skewed: bool) -> int:
-        if self.get(table) is None:
-            return 0 if skewed else self.buckets
-        return self._stored_buckets(table)
+    def append(self, df: DataFrame, table: str) -> DataFrame:
+        """Appends to a plain table."""
+        return self._save(df.write.mode("append"), table)
 
-    def append(self, df: DataFrame, table: str, skewed: bool = False) -> DataFrame:
-        """Appends; the first append of a keyed table also fixes its layout.
+    def append_keyed(self, df: DataFrame, table: str, buckets: int) -> DataFrame:
+        """Appends to a table keyed by customer, in the warehouse's layout.
 
-        ``df`` of a keyed table comes from ``co_locate``.
+        ``df`` comes from ``co_locate``, so each task writes one bucket file.
         """
         writer = df.write.mode("append")
-        if table not in SORT_KEYS:
-            return self._save(writer, table)
-        first = self.get(table) is None
-        buckets = self._buckets_for(table, skewed)
         if buckets:
             writer = writer.bucketBy(buckets, "customer_key").sortBy(SORT_KEYS[table])
-        stored = self._save(writer, table)
-        if first:
-            # Last, so that a failed first write leaves no layout behind.
-            layout = self.spark.range(1).select(
-                F.lit(table).alias("table"), F.lit(buckets).alias("buckets")
-            )
-            layout.write.mode("append").parquet(f"{self.root}/audit/layout")
-        return stored
+        return self._save(writer, table)
 
     def scratch(self, df: DataFrame, name: str) -> DataFrame:
         """A written intermediate: cuts lineage and fixes non-deterministic columns."""
