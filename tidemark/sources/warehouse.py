@@ -125,6 +125,12 @@ class Warehouse:
             return self.spark.table(name)
         return None
 
+    def forget_listings(self) -> None:
+        """Drops cached file listings after another session wrote the tables."""
+        for table in AREAS:
+            if self.spark.catalog.tableExists(self._name(table)):
+                self.spark.catalog.refreshTable(self._name(table))
+
     def read(self, table: str) -> DataFrame:
         df = self.get(table)
         if df is None:

@@ -28,4 +28,5 @@ def refresh(wh, inbox, checkpoint, run_by="scheduler", calendar=None):
         .start()
     )
     query.awaitTermination()
+    wh.forget_listings()
     return query
