@@ -6,7 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
-from tidemark.plans import registry
+from tidemark.operators import fact as facts
+from tidemark.plans import load, registry
+from tidemark.sources import seeds, staging, warehouse
 
 QUERIES = entry.queries()
 
@@ -32,6 +34,20 @@ def test_no_shuffle_by_customer(big_plans, name):
     assert not [keys for keys in _hashed_by(plan) if "customer" in keys]
 
 
+def test_load_from_keyed_staging_does_not_shuffle(spark, big_plans):
+    wh = registry.loaded_warehouse(spark, DATA)
+    stg = wh.read(warehouse.STAGING)
+    good = staging.classify(stg, seeds.plans(spark), seeds.calendar(spark, "1995-01-01", "2001-07-01"))
+    rows = facts.fact_rows(good, wh.read(warehouse.CUSTOMERS))
+    with load.load_settings(spark, 0):
+        for df in (
+            facts.new_customers(good, wh.read(warehouse.CUSTOMERS)),
+            rows,
+            facts.not_loaded_yet(rows, wh.read(warehouse.FACT), "1995-01-01", "2001-07-01"),
+        ):
+            assert not _hashed_by(df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_customer_join_is_co_located(big_plans):
     plan = big_plans("revenue_drilldown")
     assert plan.count("Bucketed: true") == 2 and "SortMergeJoin" in plan
@@ -56,7 +72,7 @@ def test_slicers_reach_the_scan(big_plans):
     assert "EqualTo(region,EMEA)" in big_plans("drilldown_kpis_emea_growth")
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"load_rerun_counts", "staging_from_csv"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"staging_from_csv"}))
 def test_no_cross_join_and_no_python(big_plans, name):
     plan = big_plans(name)
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "MapInPandas"):

@@ -8,17 +8,21 @@ from tidemark.functions import risk_score
 ATTRIBUTES = ["cohort_month", "region", "plan_type", "channel", "segment"]
 
 
+def customer_keys(rows: DataFrame) -> list[str]:
+    """What identifies a customer: the source's own key too, where staging carries it."""
+    return [c for c in ("customer_key", "customer_id") if c in rows.columns]
+
+
 def customers_in(stg: DataFrame) -> DataFrame:
     """One row per customer id; among conflicting attribute sets the smallest wins.
 
     ``min`` over a struct combines on the map side, so an id with very many
     staging rows costs one row per task in the shuffle.
     """
-    keep = ATTRIBUTES + (["customer_key"] if "customer_key" in stg.columns else [])
     return (
-        stg.groupBy("customer_id")
-        .agg(F.min(F.struct(*keep)).alias("first"))
-        .select("customer_id", "first.*")
+        stg.groupBy(*customer_keys(stg))
+        .agg(F.min(F.struct(*ATTRIBUTES)).alias("first"))
+        .select(*customer_keys(stg), "first.*")
     )
 
 
@@ -26,7 +30,8 @@ def new_customers(stg: DataFrame, existing: DataFrame | None) -> DataFrame:
     found = customers_in(stg)
     if existing is None:
         return found
-    return found.join(existing.select("customer_id"), "customer_id", "left_anti")
+    key = customer_keys(stg)[0]
+    return found.join(existing.select(key), key, "left_anti")
 
 
 def with_surrogate_keys(df: DataFrame, column: str, after: int = 0) -> DataFrame:
@@ -35,11 +40,14 @@ def with_surrogate_keys(df: DataFrame, column: str, after: int = 0) -> DataFrame
 
 
 def fact_rows(good: DataFrame, customers: DataFrame) -> DataFrame:
-    """Key lookup, projection and score. ``good`` carries ``plan_key`` already."""
-    keyed = good.drop("customer_key").join(
-        customers.select("customer_id", "customer_key"), "customer_id"
-    )
-    return keyed.select(
+    """Key lookup, projection and score. ``good`` carries ``plan_key`` already.
+
+    Staging that brings its own ``customer_key`` needs no lookup: the
+    dimension took its keys from there.
+    """
+    if "customer_key" not in good.columns:
+        good = good.join(customers.select("customer_id", "customer_key"), "customer_id")
+    return good.select(
         "customer_key",
         F.col("month").alias("date_key"),
         "plan_key",

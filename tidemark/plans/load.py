@@ -35,15 +35,28 @@ class LoadResult:
 
 
 @contextmanager
-def shuffle_partitions(spark, input_bytes):
-    """Enough shuffle partitions for the input; AQE merges those that stay small."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, max(int(before), min(100_000, input_bytes // SHUFFLE_BYTES)))
+def load_settings(spark, input_bytes):
+    """Session settings for the duration of a load.
+
+    Enough shuffle partitions for the input (AQE merges those that stay
+    small). Bucketed tables are read bucket by bucket, so rows stay hashed as
+    stored, and joins on the customer and more columns use that.
+    """
+    partitions = "spark.sql.shuffle.partitions"
+    wanted = max(int(spark.conf.get(partitions)), min(100_000, input_bytes // SHUFFLE_BYTES))
+    settings = {
+        partitions: str(wanted),
+        "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def write_audit(wh, run_by, status, loaded=0, rejected=0, error=None, started=None):
@@ -65,57 +78,76 @@ def write_audit(wh, run_by, status, loaded=0, rejected=0, error=None, started=No
     wh.append(row, warehouse.LOG)
 
 
-def _load(wh, stg, calendar, plans):
+def _load(wh, stg, calendar, plans, account_grain):
     spark = wh.spark
-    stored = wh.replace(stg, warehouse.STAGING)
+    buckets = wh.layout()
+    if account_grain:
+        # At most one row per account and month: no bucket can be hot.
+        buckets = wh.fix_layout(wh.buckets) if buckets is None else buckets
+        stored = wh.replace(stg, warehouse.STAGING, buckets)
+    else:
+        stored = wh.replace(stg.select(*staging.COLUMNS), warehouse.STAGING)
+    if buckets is None:
+        skew = warehouse.heaviest_share(stored, "customer_id", wh.buckets)
+        buckets = wh.fix_layout(0 if skew > warehouse.SKEW_FACTOR else wh.buckets)
+
     if calendar is None:
         span = stored.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
         calendar = seeds.calendar(spark, span["lo"], span["hi"])
     plans = seeds.plans(spark) if plans is None else plans
-
     classified = staging.classify(stored, plans, calendar)
+    is_good = F.col("reject_reason").isNull()
     summary = classified.agg(
-        F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
-        F.min(F.when(F.col("reject_reason").isNull(), F.col("month"))).alias("lo"),
-        F.max(F.when(F.col("reject_reason").isNull(), F.col("month"))).alias("hi"),
+        F.count_if(~is_good).alias("rejected"),
+        F.min(F.when(is_good, F.col("month"))).alias("lo"),
+        F.max(F.when(is_good, F.col("month"))).alias("hi"),
     ).first()
-    good = classified.filter(F.col("reject_reason").isNull())
-
-    buckets = wh.layout()
-    if buckets is None:
-        skew = warehouse.heaviest_share(stored, "customer_id", wh.buckets)
-        buckets = wh.fix_layout(0 if skew > warehouse.SKEW_FACTOR else wh.buckets)
+    good = classified.filter(is_good)
 
     customers = wh.get(warehouse.CUSTOMERS)
     fresh = facts.new_customers(good, customers)
-    if "customer_key" not in fresh.columns:
+    if not account_grain:
         top = customers.agg(F.max("customer_key")).first()[0] if customers is not None else None
         # Written before use: a recomputed task could hand out its keys differently.
         fresh = wh.scratch(facts.with_surrogate_keys(fresh, "customer_key", top or 0), "new_customers")
+        fresh = warehouse.co_locate(fresh, buckets)
     fresh = fresh.withColumn("created_at", F.current_timestamp()).select(*S.CUSTOMER.fieldNames())
-    fresh = warehouse.co_locate(fresh, buckets)
-    customers = wh.append_keyed(fresh, warehouse.CUSTOMERS, buckets)
+    customers = wh.append(fresh, warehouse.CUSTOMERS, buckets)
 
     rows = facts.fact_rows(good, customers)
+    if not account_grain:
+        rows = warehouse.co_locate(rows, buckets)
     loaded = wh.get(warehouse.FACT)
     top = 0
     if loaded is not None and summary["lo"] is not None:
         top = loaded.agg(F.max("sub_key")).first()[0] or 0
         rows = facts.not_loaded_yet(rows, loaded, summary["lo"], summary["hi"])
-    # Keys are assigned after the shuffle, in the tasks that write them.
-    rows = facts.with_surrogate_keys(warehouse.co_locate(rows, buckets), "sub_key", top)
+    # Keys are assigned after all shuffles, in the tasks that write them.
+    rows = facts.with_surrogate_keys(rows, "sub_key", top)
     rows = rows.withColumn("loaded_at", F.current_timestamp()).select(*S.FACT.fieldNames())
-    written = wh.append_keyed(rows, warehouse.FACT, buckets)
+    written = wh.append(rows, warehouse.FACT, buckets)
     # Counted from the table: counters inside a retried stage may count twice.
     return written.filter(F.col("sub_key") > top).count(), summary["rejected"]
 
 
-def run(wh, stg: DataFrame, run_by="scheduler", calendar=None, plans=None, input_bytes=0) -> LoadResult:
-    """Loads a staging frame. ``calendar`` limits the months accepted."""
+def run(
+    wh,
+    stg: DataFrame,
+    run_by="scheduler",
+    calendar=None,
+    plans=None,
+    input_bytes=0,
+    account_grain=False,
+) -> LoadResult:
+    """Loads a staging frame. ``calendar`` limits the months accepted.
+
+    ``account_grain`` is the caller's word that the rows carry the source's
+    own ``customer_key``, hashed by it, at most one per account and month.
+    """
     started = time.monotonic()
     try:
-        with shuffle_partitions(wh.spark, input_bytes):
-            loaded, rejected = _load(wh, stg, calendar, plans)
+        with load_settings(wh.spark, input_bytes):
+            loaded, rejected = _load(wh, stg, calendar, plans, account_grain)
     except Exception as e:
         # Written on its own, so it stays although the load did not.
         write_audit(wh, run_by, "FAILED", error=str(e)[:2000], started=started)

@@ -396,6 +396,11 @@ BODIES = {
         ["customers", "fact"],
         _counts(dim_customer=_count("customers"), fact_subscriptions=_count("fact"), refresh_log=2),
     ),
+    "fact_by_natural_id": (
+        ["fact", "customers"],
+        """SELECT f.* EXCLUDE (customer_key, plan_key), c.customer_id, c.channel
+           FROM fact f JOIN customers c ON c.customer_key = f.customer_key""",
+    ),
     "refresh_log_recent": (
         ["runs"],
         """SELECT * EXCLUDE (run_ts), strftime(run_ts, '%Y-%m-%d %H:%M') AS run_minute,

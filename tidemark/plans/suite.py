@@ -18,7 +18,7 @@ class Suite:
     customers: DataFrame
     plans: DataFrame
     thresholds: DataFrame
-    log: DataFrame | None = None
+    wh: warehouse.Warehouse | None = None
 
     @classmethod
     def over(cls, wh: warehouse.Warehouse, thresholds=None, user=None, policy=None) -> "Suite":
@@ -30,9 +30,13 @@ class Suite:
             customers=wh.read(warehouse.CUSTOMERS),
             plans=seeds.plans(spark),
             thresholds=seeds.thresholds(spark) if thresholds is None else thresholds,
-            log=wh.get(warehouse.LOG),
+            wh=wh,
         )
 
+    @property
+    def log(self):
+        return self.wh and self.wh.get(warehouse.LOG)
+
     @cached_property
     def mrr(self):
         return marts.mrr_monthly(self.fact)

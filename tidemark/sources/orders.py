@@ -76,8 +76,13 @@ def account_months(orders, lineitem, until=CUTOFF) -> DataFrame:
     )
 
 
-def staging(orders, lineitem, customer, nation, region, until=CUTOFF) -> DataFrame:
-    """The 13 staging columns plus the source's own ``customer_key``."""
+def staging(orders, lineitem, customer, nation, region, until=CUTOFF, buckets=None) -> DataFrame:
+    """The 13 staging columns plus the source's own ``customer_key``.
+
+    ``buckets`` fixes the hash partitioning by account that the join and the
+    window need anyway, so that the result can be written in that many
+    buckets without another shuffle.
+    """
     usage_mils = F.coalesce(F.expr("(units * 20) div nullif(n_lines, 0)"), F.lit(0))
     limit = (
         F.when(F.col("plan_type") == "Starter", 60)
@@ -91,9 +96,11 @@ def staging(orders, lineitem, customer, nation, region, until=CUTOFF) -> DataFra
     month_no = (F.year("month") * 12 + F.month("month")).cast("bigint")
     draw = (F.col("customer_key") * 7919 + month_no * 613) % 1000
     by_account = W.partitionBy("customer_key")
+    months = account_months(orders, lineitem, until)
+    if buckets:
+        months = months.repartition(buckets, "customer_key")
     return (
-        account_months(orders, lineitem, until)
-        .join(account_attributes(customer, nation, region), "customer_key")
+        months.join(account_attributes(customer, nation, region), "customer_key")
         .withColumn("usage_mils", usage_mils)
         .withColumn("churn_flag", F.when(draw < limit, 1).otherwise(0))
         .withColumn("churn_month", F.when(F.col("churn_flag") == 1, F.col("month")))
@@ -129,5 +136,5 @@ def read_tables(spark, sf_dir) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
 
 
-def staging_from(spark, sf_dir) -> DataFrame:
-    return staging(**read_tables(spark, sf_dir))
+def staging_from(spark, sf_dir, buckets=None) -> DataFrame:
+    return staging(**read_tables(spark, sf_dir), buckets=buckets)

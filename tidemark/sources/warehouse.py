@@ -6,6 +6,9 @@ into the same number of buckets, and fact buckets are sorted by month:
 * joins, distinct counts and windows keyed by customer need no shuffle;
 * a filter on the latest month skips row groups by their statistics.
 
+Staging is bucketed the same way where its rows carry the key already; the
+load then builds dimension and fact from it without a shuffle.
+
 A bucket is read by one task, so a customer holding a large part of the rows
 would make one slow task. ``heaviest_share`` measures that before the table
 is created; such data is stored without buckets, and readers shuffle it
@@ -26,7 +29,7 @@ STAGING = "stg_subscriptions"
 LOG = "refresh_log"
 
 AREAS = {FACT: "core", CUSTOMERS: "core", STAGING: "core", LOG: "audit"}
-SORT_KEYS = {FACT: "date_key", CUSTOMERS: "customer_key"}
+SORT_KEYS = {FACT: "date_key", CUSTOMERS: "customer_key", STAGING: "month"}
 LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
 
 BUCKET_BYTES = 256 << 20
@@ -141,23 +144,18 @@ class Warehouse:
         writer.option("path", self.path(table)).format("parquet").saveAsTable(self._name(table))
         return self.read(table)
 
-    def replace(self, df: DataFrame, table: str) -> DataFrame:
-        """Overwrites a plain table."""
-        return self._save(df.write.mode("overwrite"), table)
-
-    def append(self, df: DataFrame, table: str) -> DataFrame:
-        """Appends to a plain table."""
-        return self._save(df.write.mode("append"), table)
+    def replace(self, df: DataFrame, table: str, buckets: int = 0) -> DataFrame:
+        """Overwrites a table."""
+        return self._save(self._bucketed(df.write.mode("overwrite"), table, buckets), table)
 
-    def append_keyed(self, df: DataFrame, table: str, buckets: int) -> DataFrame:
-        """Appends to a table keyed by customer, in the warehouse's layout.
+    def append(self, df: DataFrame, table: str, buckets: int = 0) -> DataFrame:
+        """Appends rows. For buckets, ``df`` is hashed by ``co_locate`` or read from such a table."""
+        return self._save(self._bucketed(df.write.mode("append"), table, buckets), table)
 
-        ``df`` comes from ``co_locate``, so each task writes one bucket file.
-        """
-        writer = df.write.mode("append")
-        if buckets:
-            writer = writer.bucketBy(buckets, "customer_key").sortBy(SORT_KEYS[table])
-        return self._save(writer, table)
+    def _bucketed(self, writer, table: str, buckets: int):
+        if not buckets:
+            return writer
+        return writer.bucketBy(buckets, "customer_key").sortBy(SORT_KEYS[table])
 
     def scratch(self, df: DataFrame, name: str) -> DataFrame:
         """A written intermediate: cuts lineage and fixes non-deterministic columns."""
