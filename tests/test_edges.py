@@ -262,14 +262,14 @@ def test_risk_counts_keep_empty_tiers(fact_of, suite_of):
 def test_heatmap_cohorts(spark, n, shown):
     months = [datetime.date(2024, 1 + i, 1) for i in range(n)]
     df = spark.createDataFrame([(m,) for m in months], "cohort_month date")
-    got = sorted(r[0] for r in dashboard.heatmap_cohorts(df).collect())
+    got = sorted(r[0] for r in dashboard.shown_cohorts(df).collect())
     assert got == [months[i] for i in shown]
 
 
 def test_heatmap_keeps_last_six(spark):
     months = [datetime.date(2023 + i // 12, 1 + i % 12, 1) for i in range(20)]
     df = spark.createDataFrame([(m,) for m in months], "cohort_month date")
-    got = sorted(r[0] for r in dashboard.heatmap_cohorts(df).collect())
+    got = sorted(r[0] for r in dashboard.shown_cohorts(df).collect())
     assert got == months[0:20:2][-6:]
 
 

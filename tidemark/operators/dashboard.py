@@ -229,30 +229,24 @@ def top_risk_accounts(at_risk: DataFrame, rows: int = S.TOP_RISK_ACCOUNTS) -> Da
 # ---- cohort heatmap ---------------------------------------------------------
 
 
-def heatmap_cohorts(cohorts: DataFrame, keep: int = S.HEATMAP_COHORTS) -> DataFrame:
-    """Cohorts shown: every second one when there are more than ``keep``, then the last ``keep``."""
+def shown_cohorts(grid: DataFrame, keep: int = S.HEATMAP_COHORTS) -> DataFrame:
+    """Of rows per cohort: every second one when there are more than ``keep``, then the last ``keep``."""
     month = F.col("cohort_month")
-    listed = cohorts.select("cohort_month").distinct()
     return (
-        listed.withColumn("position", F.row_number().over(W.orderBy(month)) - 1)
+        grid.withColumn("position", F.row_number().over(W.orderBy(month)) - 1)
         .withColumn("n_cohorts", F.count("*").over(W.partitionBy()))
         .filter((F.col("position") % 2 == 0) | (F.col("n_cohorts") <= keep))
         .orderBy(F.desc(month))
         .limit(keep)
-        .select("cohort_month")
+        .drop("position", "n_cohorts")
     )
 
 
 def cohort_heatmap(cohorts: DataFrame, periods: int = S.HEATMAP_PERIODS) -> DataFrame:
     """Integer retention percent and colour band per cohort for its first periods."""
     cells = cohorts.withColumn("pct", half_up_int(F.col("retention_rate") * F.lit(100.0)))
-    grid = (
-        cells.groupBy("cohort_month")
-        .pivot("period_num", list(range(periods)))
-        .agg(F.max("pct"))
-        .join(heatmap_cohorts(cohorts), "cohort_month", "left_semi")
-    )
-    return grid.select(
+    grid = cells.groupBy("cohort_month").pivot("period_num", list(range(periods))).agg(F.max("pct"))
+    return shown_cohorts(grid).select(
         "cohort_month",
         month_label("cohort_month").alias("cohort_label"),
         *[F.col(str(p)).alias(f"m{p}") for p in range(periods)],

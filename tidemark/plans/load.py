@@ -24,7 +24,13 @@ from tidemark.operators import audit
 from tidemark.operators import fact as facts
 from tidemark.sources import seeds, staging, warehouse
 
-SHUFFLE_BYTES = 128 << 20
+# Input per shuffle partition. Pruned columns and partial aggregates leave a
+# few percent of it to move, so partitions stay near 100 MB.
+SHUFFLE_BYTES = 2 << 30
+MAX_SHUFFLE_PARTITIONS = 50_000
+# Scan tasks to aim at; larger inputs get larger splits, up to 1 GB.
+SCAN_TASKS = 200_000
+MIN_SPLIT, MAX_SPLIT = 128 << 20, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -38,14 +44,15 @@ class LoadResult:
 def load_settings(spark, input_bytes):
     """Session settings for the duration of a load.
 
-    Enough shuffle partitions for the input (AQE merges those that stay
-    small). Bucketed tables are read bucket by bucket, so rows stay hashed as
+    Shuffle partitions and scan splits follow the input size (AQE merges
+    partitions that stay small). Bucketed tables are read bucket by bucket, so rows stay hashed as
     stored, and joins on the customer and more columns use that.
     """
     partitions = "spark.sql.shuffle.partitions"
-    wanted = max(int(spark.conf.get(partitions)), min(100_000, input_bytes // SHUFFLE_BYTES))
+    wanted = min(MAX_SHUFFLE_PARTITIONS, input_bytes // SHUFFLE_BYTES)
     settings = {
-        partitions: str(wanted),
+        partitions: str(max(int(spark.conf.get(partitions)), wanted)),
+        "spark.sql.files.maxPartitionBytes": f"{min(MAX_SPLIT, max(MIN_SPLIT, input_bytes // SCAN_TASKS))}b",
         "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
@@ -199,8 +206,8 @@ def main(argv=None):
     calendar = None
     if args.first_month and args.last_month:
         calendar = seeds.calendar(spark, args.first_month, args.last_month)
-    size = warehouse.file_listing(spark, args.csv).agg(F.sum("length")).first()[0] or 0
-    result = run(wh, staging.read_csv(spark, args.csv), args.run_by, calendar, input_bytes=size)
+    stg = staging.read_csv(spark, args.csv)
+    result = run(wh, stg, args.run_by, calendar, input_bytes=warehouse.planned_bytes(stg))
     counts, newest = verify(wh)
     print(result)
     counts.show(truncate=False)

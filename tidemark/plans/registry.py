@@ -53,15 +53,10 @@ def shared_folder(spark) -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
-def input_bytes(spark, sf_dir) -> int:
-    paths = [f"{sf_dir}/{name}.parquet" for name in orders.TABLES]
-    return warehouse.file_listing(spark, paths).agg(F.sum("length")).first()[0]
-
-
 def new_warehouse(spark, sf_dir, label) -> warehouse.Warehouse:
     """An empty warehouse sized for the folder's tables."""
     root = f"{shared_folder(spark)}/{label}-{time.time_ns()}"
-    size = input_bytes(spark, sf_dir)
+    size = sum(map(warehouse.planned_bytes, orders.read_tables(spark, sf_dir).values()))
     wh = warehouse.Warehouse(spark, root, warehouse.bucket_count(spark, size))
     wh.input_bytes = size
     return wh
@@ -271,7 +266,7 @@ def _of(build):
 
 def published_alerts(spark, sf_dir):
     """The 20 newest alert rows, read by view name."""
-    publish(_suite(spark, sf_dir))
+    publish(_suite(spark, sf_dir), ["v_alerts"])
     return fetch_view(spark, "v_alerts", [("date_key", False), ("region", True)], 20)
 
 

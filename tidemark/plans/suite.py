@@ -93,18 +93,18 @@ VIEWS = {
 }
 
 
-def publish(suite: Suite) -> list[str]:
-    """Registers the views for SQL users."""
-    names = []
-    for name, (attribute, _) in VIEWS.items():
-        df = getattr(suite, attribute)
+def publish(suite: Suite, names=None) -> list[str]:
+    """Registers views for SQL users: the named ones, or all that have data."""
+    published = []
+    for name in VIEWS if names is None else names:
+        df = getattr(suite, VIEWS[name][0])
         if df is None:
             continue
         if name == "v_refresh_log":
             df = df.select(*audit.LOG_COLUMNS)
         df.createOrReplaceTempView(name)
-        names.append(name)
-    return names
+        published.append(name)
+    return published
 
 
 def fetch_view(spark, view, order=None, limit=None) -> DataFrame:
