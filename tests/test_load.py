@@ -255,3 +255,17 @@ def test_created_at_and_loaded_at_are_set(wh, staging_of):
     before = datetime.datetime.now() - datetime.timedelta(minutes=5)
     load.run(wh, staging_of(staging_row()))
     assert only(wh.read(FACT)).loaded_at > before and only(wh.read(CUSTOMERS)).created_at > before
+
+
+@pytest.mark.parametrize("session_partitions", ["3", "200"])
+def test_one_file_per_bucket(spark, tmp_path, session_partitions):
+    wh = Warehouse(spark, tmp_path / f"files{session_partitions}", buckets=6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", session_partitions)
+    try:
+        stg = orders.staging_from(spark, DATA, wh.buckets)
+        load.run(wh, stg, input_bytes=warehouse.planned_bytes(stg), account_grain=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for table in (STAGING, CUSTOMERS, FACT):
+        assert len(wh.read(table).inputFiles()) == 6, table

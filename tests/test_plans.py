@@ -39,7 +39,7 @@ def test_load_from_keyed_staging_does_not_shuffle(spark, big_plans):
     stg = wh.read(warehouse.STAGING)
     good = staging.classify(stg, seeds.plans(spark), seeds.calendar(spark, "1995-01-01", "2001-07-01"))
     rows = facts.fact_rows(good, wh.read(warehouse.CUSTOMERS))
-    with load.load_settings(spark, 0):
+    with load.load_settings(spark, 0, wh.buckets):
         for df in (
             facts.new_customers(good, wh.read(warehouse.CUSTOMERS)),
             rows,

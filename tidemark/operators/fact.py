@@ -16,13 +16,17 @@ def customer_keys(rows: DataFrame) -> list[str]:
 def customers_in(stg: DataFrame) -> DataFrame:
     """One row per customer id; among conflicting attribute sets the smallest wins.
 
-    ``min`` over a struct combines on the map side, so an id with very many
-    staging rows costs one row per task in the shuffle.
+    Distinct attribute sets come first. That is a hash aggregation with a
+    map-side part, so neither a long history nor a very frequent id reaches
+    the ``min`` over structs, which sorts.
     """
+    keys = customer_keys(stg)
     return (
-        stg.groupBy(*customer_keys(stg))
+        stg.select(*keys, *ATTRIBUTES)
+        .distinct()
+        .groupBy(*keys)
         .agg(F.min(F.struct(*ATTRIBUTES)).alias("first"))
-        .select(*customer_keys(stg), "first.*")
+        .select(*keys, "first.*")
     )
 
 

@@ -12,6 +12,7 @@ Command line::
 """
 
 import argparse
+import math
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -41,17 +42,22 @@ class LoadResult:
 
 
 @contextmanager
-def load_settings(spark, input_bytes):
+def load_settings(spark, input_bytes, buckets):
     """Session settings for the duration of a load.
 
-    Shuffle partitions and scan splits follow the input size (AQE merges
-    partitions that stay small). Bucketed tables are read bucket by bucket, so rows stay hashed as
+    Shuffle partitions and scan splits follow the input size; without one, the
+    session's partition count stands. Partitions are a multiple of the buckets:
+    a partition hashed by customer then falls into one bucket, and its task
+    writes one file. Bucketed tables are read bucket by bucket, so rows stay hashed as
     stored, and joins on the customer and more columns use that.
     """
     partitions = "spark.sql.shuffle.partitions"
-    wanted = min(MAX_SHUFFLE_PARTITIONS, input_bytes // SHUFFLE_BYTES)
+    if input_bytes:
+        wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / SHUFFLE_BYTES))
+    else:
+        wanted = int(spark.conf.get(partitions))
     settings = {
-        partitions: str(max(int(spark.conf.get(partitions)), wanted)),
+        partitions: str(buckets * math.ceil(wanted / buckets)),
         "spark.sql.files.maxPartitionBytes": f"{min(MAX_SPLIT, max(MIN_SPLIT, input_bytes // SCAN_TASKS))}b",
         "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -153,7 +159,7 @@ def run(
     """
     started = time.monotonic()
     try:
-        with load_settings(wh.spark, input_bytes):
+        with load_settings(wh.spark, input_bytes, wh.layout() or wh.buckets):
             loaded, rejected = _load(wh, stg, calendar, plans, account_grain)
     except Exception as e:
         # Written on its own, so it stays although the load did not.
