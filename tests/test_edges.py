@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import month, only
 from tidemark import functions as X
 from tidemark import schemas as S
-from tidemark.operators import alerting, audit, dashboard, marts, security
+from tidemark.operators import alerting, audit, constraints, dashboard, marts, security
 from tidemark.sources import seeds
 
 D = Decimal
@@ -310,7 +310,7 @@ def test_calendar(spark):
 
 
 def _log(spark, rows):
-    full = [(i, ts, "scheduler", "fact_subscriptions", 5, 0, st, err, 1) for i, (ts, st, err) in enumerate(rows)]
+    full = [(i, ts, "scheduler", "fact_subscriptions", 8297, 0, st, err, 1) for i, (ts, st, err) in enumerate(rows)]
     return spark.createDataFrame(full, S.REFRESH_LOG)
 
 
@@ -325,6 +325,19 @@ def test_recent_log_detail(spark):
     at = datetime.datetime(2024, 6, 1, 3)
     log = _log(spark, [(at, "SUCCESS", None), (at, "FAILED", "boom"), (at, "PARTIAL", None)])
     got = {r.status: r.detail for r in audit.recent(log).collect()}
-    assert got == {"SUCCESS": "5 rows", "FAILED": "boom", "PARTIAL": "PARTIAL"}
+    assert got == {"SUCCESS": "8,297 rows", "FAILED": "boom", "PARTIAL": "PARTIAL"}
     assert audit.recent(log, 2).count() == 2
     assert audit.recent(log).first().run_minute == "2024-06-01 03:00"
+
+
+def test_constraints_find_what_breaks_them(spark, fact_of):
+    fact = fact_of(
+        (1, "2024-01", {}),
+        (1, "2024-01", {"churn_flag": 2}),
+        (2, "2024-01", {"region": None}),
+        (3, "2024-01", {"usage_score": D("1.200")}),
+    )
+    assert constraints.outside(fact, constraints.FACT_RULES).count() == 3
+    assert only(constraints.duplicates(fact, "customer_key", "date_key")).customer_key == 1
+    wrong = seeds.thresholds(spark).withColumn("direction", F.lit("SIDEWAYS"))
+    assert constraints.outside(wrong, constraints.THRESHOLD_RULES).count() == 4

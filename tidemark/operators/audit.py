@@ -19,7 +19,7 @@ def minute(ts="run_ts"):
 def recent(log: DataFrame, rows: int = S.RECENT_LOG_ROWS) -> DataFrame:
     """The newest runs with the text shown for each: rows loaded, or what went wrong."""
     detail = F.when(
-        F.col("status") == "SUCCESS", F.concat(F.col("rows_loaded").cast("string"), F.lit(" rows"))
+        F.col("status") == "SUCCESS", F.concat(F.format_number("rows_loaded", 0), F.lit(" rows"))
     ).otherwise(F.coalesce("error_message", "status"))
     return (
         log.select(*LOG_COLUMNS)

@@ -375,6 +375,20 @@ BODIES = {
             ),
         ),
     ),
+    "constraint_violations": (
+        ["fact", "customers", "runs", "thresholds"],
+        _counts(
+            fact_domains=_count(
+                "fact WHERE churn_flag NOT IN (0, 1) OR active_flag NOT IN (0, 1)"
+                " OR usage_score NOT BETWEEN 0 AND 1 OR monthly_revenue IS NULL"
+            ),
+            log_status=_count("runs WHERE status NOT IN ('SUCCESS', 'FAILED', 'PARTIAL')"),
+            threshold_direction=_count("thresholds WHERE direction NOT IN ('ABOVE', 'BELOW')"),
+            customer_id="(SELECT count(*) - count(DISTINCT customer_id) FROM customers)",
+            fact_account_month="(SELECT count(*) - count(DISTINCT (customer_key, date_key)) FROM fact)",
+            metric_name="(SELECT count(*) - count(DISTINCT metric_name) FROM thresholds)",
+        ),
+    ),
     "fact_rows_json": (["fact"], """SELECT '{"fact_rows":' || count(*) || '}' AS result FROM fact"""),
     "load_rejects": (
         ["stg"],
@@ -404,7 +418,7 @@ BODIES = {
     "refresh_log_recent": (
         ["runs"],
         """SELECT * EXCLUDE (run_ts), strftime(run_ts, '%Y-%m-%d %H:%M') AS run_minute,
-               if(status = 'SUCCESS', rows_loaded || ' rows', coalesce(error_message, status)) AS detail
+               if(status = 'SUCCESS', format('{:,}', rows_loaded) || ' rows', coalesce(error_message, status)) AS detail
            FROM runs ORDER BY log_id DESC LIMIT 10""",
     ),
     "refresh_log_latest": (

@@ -14,7 +14,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.functions import anon_id, risk_score
-from tidemark.operators import alerting, audit, dashboard, marts, security
+from tidemark.operators import alerting, audit, constraints, dashboard, marts, security
 from tidemark.operators import fact as facts
 from tidemark.plans import load
 from tidemark.plans.suite import Suite, fetch_view, publish
@@ -53,13 +53,14 @@ def shared_folder(spark) -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+def input_bytes(spark, sf_dir) -> int:
+    return sum(map(warehouse.planned_bytes, orders.read_tables(spark, sf_dir).values()))
+
+
 def new_warehouse(spark, sf_dir, label) -> warehouse.Warehouse:
     """An empty warehouse sized for the folder's tables."""
     root = f"{shared_folder(spark)}/{label}-{time.time_ns()}"
-    size = sum(map(warehouse.planned_bytes, orders.read_tables(spark, sf_dir).values()))
-    wh = warehouse.Warehouse(spark, root, warehouse.bucket_count(spark, size))
-    wh.input_bytes = size
-    return wh
+    return warehouse.Warehouse.sized_for(spark, root, input_bytes(spark, sf_dir))
 
 
 def _warehouse(spark, sf_dir, label, fill) -> warehouse.Warehouse:
@@ -74,15 +75,17 @@ def _warehouse(spark, sf_dir, label, fill) -> warehouse.Warehouse:
     return warehouse.Warehouse(spark, root, buckets)
 
 
+def load_orders(wh, sf_dir) -> load.LoadResult:
+    """Staging from the order tables, and the star schema from it."""
+    stg = orders.staging_from(wh.spark, sf_dir, wh.buckets)
+    return load.run(wh, stg, input_bytes=input_bytes(wh.spark, sf_dir), account_grain=True)
+
+
 def loaded_warehouse(spark, sf_dir) -> warehouse.Warehouse:
     """The warehouse of a folder, loaded on first use in this application."""
     pin_runtime(spark)
 
-    def fill(wh):
-        stg = orders.staging_from(spark, sf_dir, wh.buckets)
-        load.run(wh, stg, input_bytes=wh.input_bytes, account_grain=True)
-
-    return _warehouse(spark, sf_dir, "warehouse", fill)
+    return _warehouse(spark, sf_dir, "warehouse", lambda wh: load_orders(wh, sf_dir))
 
 
 # ---- sources and load -------------------------------------------------------
@@ -182,7 +185,7 @@ def natural_warehouse(spark, sf_dir) -> warehouse.Warehouse:
     def fill(wh):
         stg = stg_subscriptions(spark, sf_dir)
         for _ in range(2):
-            load.run(wh, stg, "manual:rerun", input_bytes=wh.input_bytes)
+            load.run(wh, stg, "manual:rerun", input_bytes=warehouse.planned_bytes(stg))
 
     return _warehouse(spark, sf_dir, "natural", fill)
 
@@ -252,6 +255,22 @@ def fact_orphans(spark, sf_dir):
     )
 
 
+def constraint_violations(spark, sf_dir):
+    """Rows per declared constraint that break it: domains and unique keys."""
+    suite = _suite(spark, sf_dir)
+    log = _monthly_log(spark, sf_dir)
+    return audit.table_counts(
+        {
+            "fact_domains": constraints.outside(suite.fact, constraints.FACT_RULES),
+            "log_status": constraints.outside(log, constraints.LOG_RULES),
+            "threshold_direction": constraints.outside(suite.thresholds, constraints.THRESHOLD_RULES),
+            "customer_id": constraints.duplicates(suite.customers, "customer_id"),
+            "fact_account_month": constraints.duplicates(suite.fact, "customer_key", "date_key"),
+            "metric_name": constraints.duplicates(suite.thresholds, "metric_name"),
+        }
+    )
+
+
 # ---- views ------------------------------------------------------------------
 
 
@@ -295,6 +314,7 @@ QUERIES = {
     "dim_customer": dim_customer,
     "fact_subscriptions": fact_subscriptions,
     "fact_orphans": fact_orphans,
+    "constraint_violations": constraint_violations,
     "fact_rows_json": _of(lambda s: audit.fact_rows_json(s.fact)),
     "load_rejects": load_rejects,
     "load_audit": load_audit,

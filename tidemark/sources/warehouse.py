@@ -75,6 +75,10 @@ class Warehouse:
         self.root = str(root).rstrip("/")
         self.buckets = buckets or spark.sparkContext.defaultParallelism
 
+    @classmethod
+    def sized_for(cls, spark, root: str, input_bytes: int) -> "Warehouse":
+        return cls(spark, root, bucket_count(spark, input_bytes))
+
     def path(self, table: str) -> str:
         return f"{self.root}/{AREAS[table]}/{table}"
 
