@@ -98,6 +98,13 @@ def test_rejects(wh, spark, staging_of):
     assert (result.rows_loaded, result.rows_rejected, result.status) == (1, 5, "PARTIAL")
 
 
+def test_batch_of_rejects_only(wh, staging_of):
+    load.run(wh, staging_of(*_accounts(3)))
+    result = load.run(wh, staging_of(staging_row("CUST_X", plan_type="Platinum")))
+    assert (result.rows_loaded, result.rows_rejected, result.status) == (0, 1, "PARTIAL")
+    assert wh.read(FACT).count() == 3 and wh.read(CUSTOMERS).count() == 3
+
+
 def test_failure_is_audited_and_raised(wh, spark, staging_of):
     broken = staging_of(staging_row()).withColumn("month", F.raise_error(F.lit("unreadable input")).cast("date"))
     with pytest.raises(Exception, match="unreadable input"):
@@ -139,18 +146,36 @@ def test_new_application_reads_the_same_layout(wh, spark, staging_of):
     assert later.layout() == 4
 
 
-def test_hot_account_is_stored_without_buckets(spark, tmp_path, staging_of):
+def _with_hot_account(spark, staging_of, at):
+    hot = staging_of(staging_row("CUST_HOT", at)).join(spark.range(100)).drop("id")
+    return staging_of(*_accounts(100, at)).unionByName(hot)
+
+
+def test_hot_account_is_stored_without_buckets(spark, tmp_path, staging_of, monkeypatch):
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 50)
     wh = Warehouse(spark, tmp_path / "hot", buckets=16)
-    stg = staging_of(*_accounts(100)).unionByName(
-        staging_of(staging_row("CUST_HOT")).crossJoin(spark.range(100)).drop("id")
-    )
-    assert load.run(wh, stg).rows_loaded == 200
+    assert load.run(wh, _with_hot_account(spark, staging_of, "2024-01")).rows_loaded == 200
     assert wh.layout() == 0
     row = only(marts.mrr_monthly(wh.read(FACT)))
     assert (row.active_customers, row.mrr) == (101, 20000)
     assert only(Suite.over(wh).drill).active_customers == 101
 
 
+def test_hot_batch_drops_existing_buckets(spark, tmp_path, staging_of, monkeypatch):
+    monkeypatch.setattr(warehouse, "HOT_ROWS", 50)
+    wh = Warehouse(spark, tmp_path / "later", buckets=16)
+    load.run(wh, staging_of(*_accounts(300)))
+    assert wh.layout() == 16
+    load.run(wh, _with_hot_account(spark, staging_of, "2024-02"))
+    assert wh.layout() == 0 and wh.read(FACT).count() == 500
+    rows = {r.month: r for r in marts.mrr_monthly(wh.read(FACT)).collect()}
+    assert rows[month("2024-01")].active_customers == 300
+    assert rows[month("2024-02")].active_customers == 101
+    assert {r.period_num: r.retained_customers for r in Suite.over(wh).cohorts.filter(
+        F.col("cohort_month") == month("2024-01")).collect()} == {0: 300, 1: 100}
+    assert load.run(wh, _with_hot_account(spark, staging_of, "2024-02")).rows_loaded == 0
+
+
 def test_purge_log(wh, staging_of):
     load.run(wh, staging_of(staging_row()))
     load.purge_log(wh)

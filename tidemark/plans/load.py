@@ -100,9 +100,12 @@ def _load(wh, stg, calendar, plans, account_grain):
         stored = wh.replace(stg, warehouse.STAGING, buckets)
     else:
         stored = wh.replace(stg.select(*staging.COLUMNS), warehouse.STAGING)
-    if buckets is None:
-        skew = warehouse.heaviest_share(stored, "customer_id", wh.buckets)
-        buckets = wh.fix_layout(0 if skew > warehouse.SKEW_FACTOR else wh.buckets)
+        hot = warehouse.has_hot_bucket(stored, "customer_id", buckets or wh.buckets)
+        if buckets is None:
+            buckets = wh.fix_layout(0 if hot else wh.buckets)
+        elif buckets and hot:
+            wh.drop_buckets()
+            buckets = 0
 
     if calendar is None:
         span = stored.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
@@ -131,9 +134,8 @@ def _load(wh, stg, calendar, plans, account_grain):
     if not account_grain:
         rows = warehouse.co_locate(rows, buckets)
     loaded = wh.get(warehouse.FACT)
-    top = 0
+    top = 0 if loaded is None else loaded.agg(F.max("sub_key")).first()[0] or 0
     if loaded is not None and summary["lo"] is not None:
-        top = loaded.agg(F.max("sub_key")).first()[0] or 0
         rows = facts.not_loaded_yet(rows, loaded, summary["lo"], summary["hi"])
     # Keys are assigned after all shuffles, in the tasks that write them.
     rows = facts.with_surrogate_keys(rows, "sub_key", top)

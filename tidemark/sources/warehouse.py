@@ -10,8 +10,9 @@ Staging is bucketed the same way where its rows carry the key already; the
 load then builds dimension and fact from it without a shuffle.
 
 A bucket is read by one task, so a customer holding a large part of the rows
-would make one slow task. ``heaviest_share`` measures that before the table
-is created; such data is stored without buckets, and readers shuffle it
+would make one slow task. ``has_hot_bucket`` looks for that in every batch
+whose source does not rule it out. Such data is stored without buckets
+(``drop_buckets`` for tables that have some already), and readers shuffle it
 after partial aggregation instead.
 """
 
@@ -36,8 +37,9 @@ LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
 # so this leaves bucket files of roughly 100 to 200 MB.
 BUCKET_BYTES = 4 << 30
 MAX_BUCKETS = 50_000
-# A bucket this many times the mean is skew, not chance.
+# A bucket is hot when it is this many times the mean, and large at all.
 SKEW_FACTOR = 4.0
+HOT_ROWS = 1_000_000
 
 
 def bucket_count(spark, input_bytes: int) -> int:
@@ -51,11 +53,12 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def heaviest_share(df: DataFrame, key: str, buckets: int) -> float:
-    """Size of the fullest hash bucket relative to the mean bucket."""
+def has_hot_bucket(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether one hash bucket would hold far more rows than the others."""
     per_bucket = df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count()
     row = per_bucket.agg(F.max("count").alias("top"), F.sum("count").alias("total")).first()
-    return row["top"] * buckets / row["total"] if row["total"] else 0.0
+    top, total = row["top"] or 0, row["total"] or 0
+    return top > HOT_ROWS and top > SKEW_FACTOR * total / buckets
 
 
 def co_locate(df: DataFrame, buckets: int) -> DataFrame:
@@ -101,6 +104,12 @@ class Warehouse:
         one.write.mode("overwrite").parquet(f"{self.root}/audit/layout")
         return buckets
 
+    def drop_buckets(self) -> None:
+        """Treats the keyed tables as plain from now on; files with buckets are valid plain files."""
+        self.fix_layout(0)
+        for table in SORT_KEYS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+
     def _reopen(self, table: str) -> bool:
         """Puts files written by an earlier application into this one's catalog."""
         try:
