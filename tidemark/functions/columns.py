@@ -118,14 +118,12 @@ def churn_band(percent: Column) -> Column:
     return F.when(percent >= 6, "red").when(percent >= 5, "amber").otherwise("green")
 
 
-def retention_band(percent: Column) -> Column:
-    return (
-        F.when(percent.isNull(), "none")
-        .when(percent >= 90, "90+")
-        .when(percent >= 80, "80-89")
-        .when(percent >= 70, "70-79")
-        .when(percent >= 60, "60-69")
-        .otherwise("<60")
+def retention_band(percent: str) -> Column:
+    """Band of an integer percent column; one SQL expression, as twelve of them are built."""
+    return F.expr(
+        f"CASE WHEN {percent} IS NULL THEN 'none' WHEN {percent} >= 90 THEN '90+' "
+        f"WHEN {percent} >= 80 THEN '80-89' WHEN {percent} >= 70 THEN '70-79' "
+        f"WHEN {percent} >= 60 THEN '60-69' ELSE '<60' END"
     )
 
 

@@ -244,14 +244,14 @@ def shown_cohorts(grid: DataFrame, keep: int = S.HEATMAP_COHORTS) -> DataFrame:
 
 def cohort_heatmap(cohorts: DataFrame, periods: int = S.HEATMAP_PERIODS) -> DataFrame:
     """Integer retention percent and colour band per cohort for its first periods."""
-    pct = half_up_int(F.col("retention_rate") * F.lit(100.0))
+    cells = cohorts.withColumn("pct", half_up_int(F.col("retention_rate") * F.lit(100.0)))
     # One aggregation by cohort, which is how the retention window left the rows.
-    grid = cohorts.groupBy("cohort_month").agg(
-        *[F.max(F.when(F.col("period_num") == p, pct)).alias(f"m{p}") for p in range(periods)]
+    grid = cells.groupBy("cohort_month").agg(
+        *[F.expr(f"max(pct) FILTER (WHERE period_num = {p})").alias(f"m{p}") for p in range(periods)]
     )
     return shown_cohorts(grid).select(
         "cohort_month",
         month_label("cohort_month").alias("cohort_label"),
         *[f"m{p}" for p in range(periods)],
-        *[retention_band(F.col(f"m{p}")).alias(f"band{p}") for p in range(periods)],
+        *[retention_band(f"m{p}").alias(f"band{p}") for p in range(periods)],
     )
