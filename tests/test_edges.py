@@ -341,3 +341,22 @@ def test_constraints_find_what_breaks_them(spark, fact_of):
     assert only(constraints.duplicates(fact, "customer_key", "date_key")).customer_key == 1
     wrong = seeds.thresholds(spark).withColumn("direction", F.lit("SIDEWAYS"))
     assert constraints.outside(wrong, constraints.THRESHOLD_RULES).count() == 4
+
+
+def test_very_large_revenue(fact_of, suite_of):
+    huge = {"monthly_revenue": D("9999999999999999.99")}
+    fact = fact_of(*[(k, at, huge) for k in range(20) for at in ("2024-01", "2024-02")])
+    suite = suite_of(fact)
+    total = 20 * D("9999999999999999.99")
+    assert {r.mrr for r in suite.mrr.collect()} == {total}
+    assert only(dashboard.region_mix(suite.mix)).mrr == 2 * total
+    assert only(dashboard.drilldown_kpis(suite.drill)).mrr == 2 * total
+
+
+def test_change_needs_more_than_nine_decimals(fact_of):
+    # +0.00499999998 % is below the half, although nine decimals of the fraction are not.
+    fact = fact_of(
+        (1, "2024-01", {"monthly_revenue": D("50000000000.00")}),
+        (1, "2024-02", {"monthly_revenue": D("50002499999.99")}),
+    )
+    assert only(marts.alerts(fact)).mrr_change_pct == 0.0

@@ -165,8 +165,12 @@ def with_previous(monthly: DataFrame) -> DataFrame:
 
 
 def mrr_change_share():
-    """Revenue change against the previous row, as an exact decimal fraction."""
-    return (F.col("mrr") - F.col("prev_mrr")) / F.nullif(F.col("prev_mrr"), F.lit(0).cast(S.MONEY))
+    """Revenue change against the previous row, as an exact decimal fraction.
+
+    Twenty digits per operand leave the quotient seventeen decimals.
+    """
+    now, before = F.col("mrr").cast("decimal(20,2)"), F.col("prev_mrr").cast("decimal(20,2)")
+    return (now - before) / F.nullif(before, F.lit(0).cast("decimal(20,2)"))
 
 
 def alerts(

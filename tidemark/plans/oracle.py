@@ -7,7 +7,7 @@ their rounding), so that agreement means something.
 
 from tidemark.plans.registry import ANALYST_REGION, BAD_ROWS, LOG_CALENDAR, REJECT_CALENDAR
 
-MONEY = "DECIMAL(22,2)"
+MONEY = "DECIMAL(28,2)"
 
 
 def _rows(rows):
@@ -87,7 +87,7 @@ CTES = {
         """SELECT customer_id, month, region, plan_type, channel,
                CASE WHEN plan_type LIKE 'Enterprise%' THEN 'Enterprise'
                     WHEN plan_type = 'Growth' THEN 'Mid-Market' ELSE 'SMB' END AS segment,
-               CAST(revenue AS DECIMAL(12,2)) AS monthly_revenue, churned AS churn_flag,
+               CAST(revenue AS DECIMAL(18,2)) AS monthly_revenue, churned AS churn_flag,
                1 AS active_flag,
                CAST(CAST(usage_mils AS DECIMAL(18,3)) / 1000 AS DECIMAL(4,3)) AS usage_score,
                CAST(tickets AS INT) AS support_tickets, CAST(failed AS INT) AS failed_payments,
@@ -301,7 +301,7 @@ def _count(source):
 
 
 _REGION_MIX = """SELECT region, if(region = 'North America', 'N. America', region) AS region_label,
-    CAST(sum(mrr) AS DECIMAL(22,2)) AS mrr FROM {source} GROUP BY region"""
+    CAST(sum(mrr) AS DECIMAL(28,2)) AS mrr FROM {source} GROUP BY region"""
 
 # query -> (CTEs it reads, body)
 BODIES = {
@@ -442,7 +442,7 @@ BODIES = {
             refresh_log=_count("runs"),
         ),
     ),
-    "published_alerts": (["alerts"], "SELECT * FROM alerts ORDER BY date_key DESC, region LIMIT 20"),
+    "published_alerts": (["alerts"], "SELECT * FROM alerts"),
     "latest_mrr_row": (["mrr"], "SELECT month, mrr FROM mrr ORDER BY month DESC LIMIT 1"),
     "overview_kpis": (
         ["mrr", "at_risk"],

@@ -4,8 +4,11 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
-# Money sums: a sum of decimal(12,2) is decimal(22,2) in Spark, so this never narrows.
-MONEY = T.DecimalType(22, 2)
+# Revenue of one account and month. Ten digits before the point would do for an
+# ordinary account, but not for one that holds a third of a very large input.
+REVENUE = T.DecimalType(18, 2)
+# Money sums: a sum of decimal(18,2) is decimal(28,2) in Spark, so this never narrows.
+MONEY = T.DecimalType(28, 2)
 SCORE = T.DecimalType(5, 2)
 
 STAGING = T.StructType(
@@ -16,7 +19,7 @@ STAGING = T.StructType(
         T.StructField("plan_type", T.StringType()),
         T.StructField("channel", T.StringType()),
         T.StructField("segment", T.StringType()),
-        T.StructField("monthly_revenue", T.DecimalType(12, 2)),
+        T.StructField("monthly_revenue", REVENUE),
         T.StructField("churn_flag", T.IntegerType()),
         T.StructField("active_flag", T.IntegerType()),
         T.StructField("usage_score", T.DecimalType(4, 3)),
@@ -32,7 +35,7 @@ FACT = T.StructType(
         T.StructField("customer_key", T.LongType()),
         T.StructField("date_key", T.DateType()),
         T.StructField("plan_key", T.IntegerType()),
-        T.StructField("monthly_revenue", T.DecimalType(12, 2)),
+        T.StructField("monthly_revenue", REVENUE),
         T.StructField("churn_flag", T.IntegerType()),
         T.StructField("active_flag", T.IntegerType()),
         T.StructField("usage_score", T.DecimalType(4, 3)),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import schemas as S
 from tidemark.functions import anon_id, segment_of_plan
 
 TABLES = ["orders", "lineitem", "customer", "nation", "region"]
@@ -118,7 +119,7 @@ def staging(orders, lineitem, customer, nation, region, until=CUTOFF, buckets=No
             "plan_type",
             "channel",
             segment_of_plan().alias("segment"),
-            F.col("revenue").cast("decimal(12,2)").alias("monthly_revenue"),
+            F.col("revenue").cast(S.REVENUE).alias("monthly_revenue"),
             "churn_flag",
             F.lit(1).alias("active_flag"),
             (F.col("usage_mils").cast("decimal(10,0)") * F.lit(Decimal("0.001")))
