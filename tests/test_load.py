@@ -126,6 +126,17 @@ def test_csv_round_trip_and_bad_fields(spark, tmp_path, staging_of):
     assert only(staging.read_csv(spark, str(tmp_path / "bad.csv"))).monthly_revenue is None
 
 
+def test_csv_with_other_columns_fails_and_is_audited(wh, spark, tmp_path):
+    names = S.STAGING.fieldNames()
+    names[2], names[3] = names[3], names[2]
+    (tmp_path / "swapped.csv").write_text(
+        ",".join(names) + "\nCUST_X,2024-01-01,Growth,EMEA,Partner,Mid-Market,10,0,1,0.5,0,0,2024-01-01\n"
+    )
+    with pytest.raises(Exception, match="(?i)header"):
+        load.run(wh, staging.read_csv(spark, str(tmp_path / "swapped.csv")))
+    assert only(wh.read(LOG)).status == "FAILED"
+
+
 def test_coerce_loose_rows(spark):
     text = spark.createDataFrame([staging_row()], S.STAGING)
     text = text.select(*[F.col(c).cast("string").alias(c) for c in text.columns])

@@ -14,7 +14,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.functions import anon_id, risk_score
-from tidemark.operators import alerting, audit, constraints, dashboard, marts, security
+from tidemark.operators import alerting, audit, constraints, dashboard, security
 from tidemark.operators import fact as facts
 from tidemark.plans import load
 from tidemark.plans.suite import Suite, fetch_view, publish

@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 
 COLUMNS = S.STAGING.fieldNames()
+# The header must name the declared columns in order; fields that do not parse become NULL.
+CSV_OPTIONS = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE"}
 
 
 def read_csv(spark, path) -> DataFrame:
     """The 13-column CSV with a header. The schema is declared, never inferred.
 
     A field that does not parse becomes NULL and is then rejected by
-    ``classify``, so one bad line does not end the run.
+    ``classify``, so one bad line does not end the run. A file with other
+    columns does.
     """
-    return spark.read.schema(S.STAGING).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(S.STAGING).options(**CSV_OPTIONS).csv(path)
 
 
 def write_csv(df: DataFrame, path) -> None:

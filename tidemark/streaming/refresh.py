@@ -8,6 +8,7 @@ rows, because the load skips what the fact already holds.
 
 from tidemark import schemas as S
 from tidemark.plans import load
+from tidemark.sources.staging import CSV_OPTIONS
 from tidemark.sources.warehouse import Warehouse
 
 
@@ -20,7 +21,7 @@ def refresh(wh, inbox, checkpoint, run_by="scheduler", calendar=None):
 
     query = (
         wh.spark.readStream.schema(S.STAGING)
-        .option("header", True)
+        .options(**CSV_OPTIONS)
         .csv(inbox)
         .writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)
