@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, packing, url_rules
+from tidemark.llm import decontaminate, exact_dedup, neardup, packing, url_rules
 from tidemark.llm.common import table
 
 URL_RULES = [
@@ -35,6 +35,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op7_probminhash(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_probminhash": op7_probminhash,
     "op10_url_rules": op10_url_rules,
 }
 
