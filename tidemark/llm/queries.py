@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, neardup, packing, url_rules
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, exact_dedup, neardup, packing, quality, url_rules
+from tidemark.llm.common import held_out, table
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -31,6 +31,15 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_nbsvm_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.score(spark, model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -46,6 +55,7 @@ def op10_url_rules(spark, sf_dir):
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_nbsvm_quality": op5_nbsvm_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_probminhash": op7_probminhash,
     "op10_url_rules": op10_url_rules,
