@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, neardup, packing, quality, url_rules
+from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, url_rules
 from tidemark.llm.common import held_out, table
 
 URL_RULES = [
@@ -48,6 +48,23 @@ def op7_probminhash(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    found = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        language.predict(spark, model, F.col("text")).alias("p"),
+    )
+    return found.select(
+        "doc_id",
+        "held_out",
+        F.col("p.lang").alias("lang_pred"),
+        F.col("p.score").alias("score"),
+        language.accepted(model, F.col("p.lang"), F.col("p.score")).alias("accepted"),
+    )
+
+
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -58,6 +75,7 @@ QUERIES = {
     "op5_nbsvm_quality": op5_nbsvm_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_probminhash": op7_probminhash,
+    "op8_language": op8_language,
     "op10_url_rules": op10_url_rules,
 }
 
