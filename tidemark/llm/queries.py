@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, url_rules
+from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, secret_scan, url_rules
 from tidemark.llm.common import held_out, table
 
 URL_RULES = [
@@ -65,6 +65,31 @@ def op8_language(spark, sf_dir):
     )
 
 
+def op9_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = secret_scan.train(docs)
+    found = docs.select("doc_id", secret_scan.find(spark, network, F.col("text")).alias("f"))
+    base = F.filter("f", lambda x: x["kind"] != "cnn")
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+        )
+
+    def count(kind):
+        return F.size(F.filter("f", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("f")).alias("spans"),
+        count("cnn"),
+    )
+
+
 def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -76,6 +101,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_probminhash": op7_probminhash,
     "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
     "op10_url_rules": op10_url_rules,
 }
 
