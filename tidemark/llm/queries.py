@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, secret_scan, url_rules
+from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, secret_scan, site_style, url_rules
 from tidemark.llm.common import held_out, table
 
 URL_RULES = [
@@ -14,6 +14,11 @@ URL_RULES = [
 ]
 
 
+def op2_site_style_tree(spark, sf_dir):
+    found = site_style.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -95,6 +100,7 @@ def op10_url_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_site_style_tree": op2_site_style_tree,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_nbsvm_quality": op5_nbsvm_quality,
