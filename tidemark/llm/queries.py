@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, secret_scan, site_style, url_rules
+from tidemark.llm import decontaminate, exact_dedup, language, neardup, packing, quality, secret_scan, site_style, toxicity, url_rules
 from tidemark.llm.common import held_out, table
 
 URL_RULES = [
@@ -14,6 +14,15 @@ URL_RULES = [
 ]
 
 
+def op1_noisy_channel_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(spark, model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_site_style_tree(spark, sf_dir):
     found = site_style.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -100,6 +109,7 @@ def op10_url_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_site_style_tree": op2_site_style_tree,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
