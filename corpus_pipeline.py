@@ -9,7 +9,9 @@ from tidemark.llm import stages
 from tidemark.llm.common import stored, table
 
 STAGES = [
+    ("quality classifier", stages.quality_filter),
     ("exact dedup", stages.exact_dedup),
+    ("minhash near-dedup", stages.near_dedup),
     ("benchmark decontamination", stages.decontaminate),
     ("best-fit packing", stages.pack),
 ]

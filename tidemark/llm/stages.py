@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as decon
 from tidemark.llm import exact_dedup as exact
-from tidemark.llm import packing
+from tidemark.llm import neardup, packing, quality
 from tidemark.llm.common import shipped, table
 
 
@@ -15,12 +15,30 @@ def keep_ids(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame
     return docs.join(names, F.col(key).eqNullSafe(F.col("__kept_key")), "left_semi")
 
 
+#: A document stays if its probability of good quality is at least this.
+QUALITY_LEAST = 0.3
+
+
+def quality_filter(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go; it learns from the rows given."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    scored = docs.withColumn("__score", quality.score(spark, model, F.col("text")))
+    return scored.where(F.col("__score") >= QUALITY_LEAST).drop("__score")
+
+
 def exact_dedup(spark, docs, sf_dir):
     """Of documents with equal texts the one with the largest id stays."""
     shipped(spark)
     return keep_ids(docs, exact.deduplicate(docs).where("kept").select("doc_id"))
 
 
+def near_dedup(spark, docs, sf_dir):
+    """Of each class of near duplicates the document with the smallest id stays."""
+    shipped(spark)
+    return keep_ids(docs, neardup.classes(docs).where("kept").select("doc_id"))
+
+
 def decontaminate(spark, docs, sf_dir):
     """Documents of which a twentieth or more is benchmark text go."""
     found = decon.find(docs, table(spark, sf_dir, "benchmark"), into="__found")

@@ -11,20 +11,20 @@ Words that hold nothing to restore have a lattice of one path and skip the searc
 
 Restored words are scored by a lexicon of log odds learned from labelled rows, by
 word and by word beginning; the document's score is a logistic function of its
-most toxic words, their number and the length of the text, fitted on labelled
-rows that the lexicon has not seen.
+most toxic word and the number of toxic ones, fitted on labelled rows that the lexicon has
+not seen.
 
 Labels come from learnable rows only, at most `per_class` of either label, chosen
 by a hash of the id. Whole texts are read, when learning and when scoring.
 
 Cases: a null text counts as empty and scores like a text without toxic words;
 without labels of both kinds the score is constant; of restorations with equal
-cost the alphabetically first wins; repeated rows score alike; empty tables are
+cost the alphabetically first state wins; repeated rows score alike; empty tables are
 fine; only the named columns are read.
 """
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +50,17 @@ LEET_COST, DROP_COST, BREAK_COST, MASK_COST, REPEAT_COST, KEEP_COST = 1.0, 0.5,
 
 LM_BITS, ORDER = 18, 4
 MIXTURE = (0.03, 0.12, 0.3, 0.54)
-LEXICON_BITS = 20
 PER_CLASS = 2500
-STRONG = 3.0
+#: Log odds from which a word counts as toxic by itself.
+STRONG = 4.0
 #: Words whose scores a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Log odds below which a lexicon entry is not kept: what a word or two seen once would get.
+WEAK = 2.0
 
 _U = np.uint64
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$…-–—_«»“”‘’|~"
+_MARKS = ".,;:?\"'()[]{}…–—«»“”‘’"
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
 _DOUBLE = re.compile(r"(.)\1+", re.S)
@@ -198,17 +201,18 @@ def _sorted(best):
     return [(state, best[state]) for state in sorted(best)]
 
 
-def _features(word: str) -> tuple[int, ...]:
-    """Lexicon buckets of a word: itself, and its beginnings of four and five letters."""
-    low = (1 << LEXICON_BITS) - 1
-    marks = ["=" + word] + [f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n]
-    return tuple(zlib.crc32(m.encode("utf-8", "replace")) & low for m in marks)
+def _features(word: str) -> tuple[int, int, int]:
+    """Lexicon keys of a word: itself, and its beginnings of four and five letters (as far as it has them)."""
+    marks = "=" + word, "4" + word[:4] if len(word) >= 4 else "=" + word, "5" + word[:5] if len(word) >= 5 else "=" + word
+    return tuple(
+        int.from_bytes(hashlib.blake2b(m.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1 for m in marks
+    )
 
 
 class Reader:
     """Turns texts into restored words and, given lexicon weights, into profiles."""
 
-    def __init__(self, decoder: Decoder, weights: np.ndarray | None = None):
+    def __init__(self, decoder: Decoder, weights: dict[int, float] | None = None):
         self.decoder, self.weights = decoder, weights
         self.words_of: dict[str, tuple[str, ...]] = {}
         self.value_of: dict[str, float] = {}
@@ -216,18 +220,30 @@ class Reader:
     def words(self, token: str) -> tuple[str, ...]:
         """The restored words of a lower-cased token without white space.
 
-        Plain words stand for themselves. One with doubled letters is searched, too,
-        if the lexicon knows its form without them as toxic; else the restoration
-        could not change the score.
+        Plain words stand for themselves. One with doubled letters, or with symbols at
+        its ends that could be letters, is searched, too, if the lexicon finds the
+        result toxic; else the restoration could not raise the score.
         """
         core = token.strip(_EDGE)
-        if core.isalpha() and not _TRIPLE.search(core):
-            if self.weights is not None and _DOUBLE.search(core):
-                single = _DOUBLE.sub(r"\1", core)
-                if self.weights[list(_features(single))].max() > STRONG:
-                    return (core, *self.decoder.restore(core).split())
-            return (core,)
-        return tuple(self.decoder.restore(token.strip(".,;:?\"'()[]{}…–—«»“”‘’") or token).split())
+        outer = token.strip(_MARKS)
+        if not core.isalpha() or _TRIPLE.search(core):
+            return tuple(self.decoder.restore(outer or token).split())
+        if self.weights is not None:
+            more = ()
+            if _DOUBLE.search(core) and self._strength(_DOUBLE.sub(r"\1", core)) > STRONG:
+                more = tuple(self.decoder.restore(core).split())
+            if outer != core and not _TRIPLE.search(outer):
+                more += tuple(w for w in self.decoder.restore(outer).split() if self._strength(w) > STRONG)
+            return (core, *more)
+        return (core,)
+
+    def _strength(self, word: str) -> float:
+        return max(self.weights.get(f, 0.0) for f in _features(word))
+
+    def spaced(self, stretch: str) -> tuple[str, ...]:
+        """The restored words of letters set apart, read with their spaces and without."""
+        read = self.decoder.restore(stretch).split()
+        return tuple(dict.fromkeys(read + self.decoder.restore("".join(stretch.split())).split()))
 
     def tokens(self, text: str) -> list[tuple[str, ...]]:
         """Restored words of each distinct token and of each stretch of spaced letters."""
@@ -240,39 +256,37 @@ class Reader:
                     self.words_of.clear()
                 words = self.words_of[token] = self.words(token)
             found.append(words)
-        found += [tuple(self.decoder.restore(m[0]).split()) for m in _SPACED.finditer(low)]
+        found += [self.spaced(m[0]) for m in _SPACED.finditer(low)]
         return found
 
     def _value(self, words: tuple[str, ...]) -> float:
-        return max((float(self.weights[list(_features(w))].max()) for w in words), default=0.0)
+        return max(map(self._strength, words), default=0.0)
 
-    def profile(self, text: str) -> tuple[float, float, float, float]:
+    def profile(self, text: str) -> tuple[float, float]:
         """The summary of a text's words."""
         low = text.lower()
         known = self.value_of
         values = []
-        tokens = set(low.split())
-        for token in tokens:
+        for token in set(low.split()):
             value = known.get(token)
             if value is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 value = known[token] = self._value(self.words(token))
-            if value > 0.5:
+            if value:
                 values.append(value)
-        values += [self._value(tuple(self.decoder.restore(m[0]).split())) for m in _SPACED.finditer(low)]
-        return summary(values, len(tokens))
+        values += [self._value(self.spaced(m[0])) for m in _SPACED.finditer(low)]
+        return summary(values)
 
 
-def summary(values: list[float], words: int) -> tuple[float, float, float, float]:
-    """(most toxic value, next, ln of 1 + number of strong ones, ln of 1 + number of words)."""
-    top = sorted(values, reverse=True)[:2] + [0.0, 0.0]
-    return top[0], top[1], float(np.log1p(sum(v > STRONG for v in values))), float(np.log1p(words))
+def summary(values: list[float]) -> tuple[float, float]:
+    """(most toxic value, ln of 1 + number of strong ones)."""
+    return max(values, default=0.0), float(np.log1p(sum(v > STRONG for v in values)))
 
 
 class Model:
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, theta: np.ndarray):
-        self.counts, self.weights, self.theta = counts, weights.astype(np.float32), np.asarray(theta, float)
+    def __init__(self, counts: np.ndarray, weights: dict[int, float], theta: np.ndarray):
+        self.counts, self.weights, self.theta = counts, weights, np.asarray(theta, float)
 
     def reader(self) -> Reader:
         return Reader(Decoder(self.counts), self.weights)
@@ -281,57 +295,99 @@ class Model:
         return float(sigmoid(self.theta[:-1] @ np.asarray(profile) + self.theta[-1]))
 
 
-def lexicon(rows: list[np.ndarray], y: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-    """Log odds of each bucket's presence in documents of label 1 against label 0."""
-    counts = np.full((2, 1 << LEXICON_BITS), smooth)
-    for row, label in zip(rows, y):
-        counts[int(label)][row] += 1
-    share = np.bincount(y, minlength=2) + 2 * smooth
+def copies(rows: list[np.ndarray], functions: int = 16, agree: int = 9) -> np.ndarray:
+    """For each row how many rows of the sample are near copies of it, itself included.
+
+    Rows are sorted distinct keys. Two rows are near copies if that many of
+    their minima under random functions agree; rows meet by pairs of minima.
+    """
+    salts = mix64(np.arange(1, functions + 1, dtype=_U))
+    minima = np.zeros((len(rows), functions), _U)
+    for k, row in enumerate(rows):
+        if len(row):
+            minima[k] = [mix64(row.astype(_U) + salt).min() for salt in salts]
+    group = np.arange(len(rows))
+
+    def top(k):
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for pair in range(0, functions, 2):
+        first: dict[tuple, int] = {}
+        for k, key in enumerate(map(tuple, minima[:, pair : pair + 2])):
+            other = first.setdefault(key, k)
+            if other != k and (minima[other] == minima[k]).sum() >= agree:
+                group[top(k)] = top(other)
+    tops = np.array([top(k) for k in range(len(rows))], dtype=np.int64)
+    return np.bincount(tops, minlength=len(rows))[tops] if len(rows) else tops
+
+
+def lexicon(rows: list[np.ndarray], y: np.ndarray, smooth: float = 0.5) -> dict[int, float]:
+    """Log odds of each key's presence in documents of label 1 against label 0, above WEAK.
+
+    Near copies share one vote, else the neutral words of a toxic text that was
+    copied often would look toxic themselves.
+    """
+    votes = 1.0 / np.maximum(1, copies(rows))
+    share = np.bincount(y, weights=votes, minlength=2) + 2 * smooth
+    keys, where = np.unique(np.concatenate(rows), return_inverse=True)
+    vote = np.repeat(votes, [len(r) for r in rows])
+    label = np.repeat(y, [len(r) for r in rows])
+    counts = [np.bincount(where[label == k], weights=vote[label == k], minlength=len(keys)) + smooth for k in (0, 1)]
     odds = np.log(counts[1] / share[1]) - np.log(counts[0] / share[0])
-    # Where neither label was seen there is no evidence.
-    return np.where(counts.sum(axis=0) > 2 * smooth, odds, 0.0)
+    return {int(k): float(v) for k, v in zip(keys[odds > WEAK], odds[odds > WEAK])}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic regression, the intercept last; Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    theta = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = sigmoid(x @ theta)
-        gradient = x.T @ (weight * (p - y)) + ridge * theta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(theta))
-        step = np.linalg.solve(hessian, gradient)
-        theta -= step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return theta
+    """Weights of a logistic regression, none negative, the intercept last; Newton steps.
+
+    More evidence must not lower a score, so a feature whose weight comes out
+    negative is left out and the others are fitted again.
+    """
+    use = list(range(x.shape[1]))
+    while True:
+        part = np.hstack([x[:, use], np.ones((len(x), 1))])
+        theta = np.zeros(part.shape[1])
+        for _ in range(100):
+            p = sigmoid(part @ theta)
+            gradient = part.T @ (weight * (p - y)) + ridge * theta
+            hessian = (part * (weight * p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(theta))
+            step = np.linalg.solve(hessian, gradient)
+            theta -= step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-8:
+                break
+        if not use or theta[:-1].min() >= 0:
+            full = np.zeros(x.shape[1] + 1)
+            full[use], full[-1] = theta[:-1], theta[-1]
+            return full
+        use.pop(int(theta[:-1].argmin()))
 
 
 def train(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="toxic", per_class: int = PER_CLASS) -> Model:
     """Learn lexicon and score from at most per_class labelled rows of either class.
 
     Words are restored in tasks; of each chosen row the driver gets the lexicon
-    buckets of its distinct words, no text.
+    keys of its distinct words, packed, and no text.
     """
     spark = docs.sparkSession
     counts = language_model(docs, text)
     shared = spark.sparkContext.broadcast(counts)
     sample = labelled_sample(docs.select(key, text), labels, key, label, (0, 1), per_class)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(Decoder(shared.value))
         for part in texts:
             rows = []
             for t in part:
                 words = sorted({w for ws in reader.tokens(t or "") for w in ws})
-                # Always three buckets a word; a short word repeats its own.
-                rows.append([b for w in words for b in (_features(w) * 3)[:3]])
+                rows.append(np.array([_features(w) for w in words], dtype=np.int64).tobytes())
             yield pd.Series(rows, dtype=object)
 
     got = sample.select(F.col(key).alias("k"), "y", read(F.col(text)).alias("x")).collect()
     got.sort(key=lambda r: (r["k"], r["y"], len(r["x"])))
-    rows = [np.array(r["x"], dtype=np.int64).reshape(-1, 3) for r in got]
+    rows = [np.frombuffer(r["x"], dtype=np.int64).reshape(-1, 3) for r in got]
     return fit([r["k"] for r in got], rows, np.array([r["y"] for r in got], dtype=np.int64), counts)
 
 
@@ -339,17 +395,17 @@ def fit(keys, rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> Mode
     """The lexicon from four fifths of the rows, the score's weights from the rest."""
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model(counts, np.zeros(1 << LEXICON_BITS), [0, 0, 0, 0, np.log(p / (1 - p))])
+        return Model(counts, {}, [0, 0, np.log(p / (1 - p))])
     aside = split_of(keys)
     if any(len(set(part.tolist())) < 2 for part in (y[aside], y[~aside])):
         learn, check = np.ones(len(y), bool), np.ones(len(y), bool)
     else:
         learn, check = ~aside, aside
-    weights = lexicon([np.unique(r) for r, m in zip(rows, learn) if m], y[learn]).astype(np.float32)
+    weights = lexicon([np.unique(r) for r, m in zip(rows, learn) if m], y[learn])
     x = []
     for row in (r for r, m in zip(rows, check) if m):
-        values = weights[row].max(axis=1) if len(row) else np.empty(0)
-        x.append(summary(values[values > 0.5].tolist(), len(row)))
+        values = [max(weights.get(f, 0.0) for f in word) for word in row.tolist()]
+        x.append(summary([v for v in values if v]))
     target = y[check]
     share = np.bincount(target, minlength=2) / len(target)
     return Model(counts, weights, logistic(np.array(x), target, 0.5 / share[target]))
