@@ -10,9 +10,9 @@ documents of the corpus; the table's size is fixed, the counts grow with the inp
 Words that hold nothing to restore have a lattice of one path and skip the search.
 
 Restored words are scored by a lexicon of log odds learned from labelled rows, by
-word and by word beginning; the document's score is a logistic function of its
-most toxic word and the number of toxic ones, fitted on labelled rows that the lexicon has
-not seen.
+word and by word beginning; the document's score is a logistic function of the
+number of words above several levels of log odds, fitted on labelled rows that the
+lexicon has not seen.
 
 Labels come from learnable rows only, at most `per_class` of either label, chosen
 by a hash of the id. Whole texts are read, when learning and when scoring.
@@ -53,6 +53,7 @@ MIXTURE = (0.03, 0.12, 0.3, 0.54)
 PER_CLASS = 2500
 #: Log odds from which a word counts as toxic by itself.
 STRONG = 4.0
+LEVELS = (3.0, 4.0, 5.0, 6.0)
 #: Words whose scores a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Log odds below which a lexicon entry is not kept: what a word or two seen once would get.
@@ -262,7 +263,7 @@ class Reader:
     def _value(self, words: tuple[str, ...]) -> float:
         return max(map(self._strength, words), default=0.0)
 
-    def profile(self, text: str) -> tuple[float, float]:
+    def profile(self, text: str) -> tuple[float, ...]:
         """The summary of a text's words."""
         low = text.lower()
         known = self.value_of
@@ -279,9 +280,13 @@ class Reader:
         return summary(values)
 
 
-def summary(values: list[float]) -> tuple[float, float]:
-    """(most toxic value, ln of 1 + number of strong ones)."""
-    return max(values, default=0.0), float(np.log1p(sum(v > STRONG for v in values)))
+def summary(values: list[float]) -> tuple[float, ...]:
+    """ln of 1 + number of words above each level of log odds.
+
+    Several levels, as the odds that set toxic words apart from chance grow with
+    the number of labelled rows, and the fit finds the levels that count.
+    """
+    return tuple(float(np.log1p(sum(v > level for v in values))) for level in LEVELS)
 
 
 class Model:
@@ -395,7 +400,7 @@ def fit(keys, rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> Mode
     """The lexicon from four fifths of the rows, the score's weights from the rest."""
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model(counts, {}, [0, 0, np.log(p / (1 - p))])
+        return Model(counts, {}, [0.0] * len(LEVELS) + [np.log(p / (1 - p))])
     aside = split_of(keys)
     if any(len(set(part.tolist())) < 2 for part in (y[aside], y[~aside])):
         learn, check = np.ones(len(y), bool), np.ones(len(y), bool)
