@@ -182,7 +182,9 @@ def test_base_findings_equal_a_plain_scan():
 
 def test_network_judges_material_it_was_not_told_about(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
-    network = secret_scan.train(docs)
+    value = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 18)
+    short = F.when(F.col("doc_id") % 20 == 0, F.concat("text", F.lit(" password="), value, F.lit(" the end"))).otherwise(F.col("text"))
+    network = secret_scan.train(docs.withColumn("text", short))
     assert secret_scan.scan("pwd 9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee1234 end", network)
     found = secret_scan.scan("my credential e3b3ed3cc8548923d6a7 in use", network)
     assert [k for _, _, k, _ in found] == ["cnn"]

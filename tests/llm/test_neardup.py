@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DATA, odd_docs, read
 from tests.llm.test_decontaminate import words
@@ -99,6 +100,20 @@ def test_registers_estimate_probability_jaccard():
     assert np.abs(np.array(exact) - np.array(estimate)).max() < 0.1
 
 
-def test_star_pairs_are_linear_in_a_bucket(spark):
-    members = spark.range(1000).selectExpr("1L AS bucket", "CAST(id AS string) AS part", "CAST(id AS string) AS node")
-    assert neardup.star_pairs(members, 0).count() == 999
+def test_pairs_are_linear_in_a_bucket(spark):
+    members = spark.range(1000).selectExpr("1L AS bucket", "hash(id) * 1L AS order", "id AS part", "id AS node", "id % 7 AS weight")
+    assert neardup.star_pairs(members).count() == 999
+    assert neardup.central_pairs(members).count() == 999
+    assert neardup.neighbour_pairs(members.repartition(3), 1).count() <= 999
+    one = members.withColumn("part", F.lit(5))
+    assert neardup.central_pairs(one).count() == neardup.neighbour_pairs(one, 1).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    """Numbers in random order along the chain, and a loop, and a separate pair."""
+    order = list(range(400))
+    random.Random(1).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(order[0], order[-1]), (1000, 1001)]
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(400)} | {1000: 1000, 1001: 1000}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -8,8 +8,8 @@ together by stochastic gradient descent. On texts kept apart, a temperature
 calibrates the probabilities and a threshold is set below which a prediction
 counts as rejected.
 
-Learning uses text and language of learnable rows only, at most `per_language`
-of each language, chosen by a hash of the id. Whole texts are read.
+Learning uses text and language of learnable rows only, about `per_language` of
+each language, chosen by a hash of the id. Whole texts are read.
 
 Cases: a null text, or one without any letter, is `und` with score 0 and counts
 as rejected; without learnable rows every text is `und`; an equal score goes to
@@ -89,18 +89,17 @@ def _in_chunks(texts) -> Iterator[list[str]]:
         yield chunk
 
 
-def _counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Per text its distinct buckets and how often each occurs: at most 2 ** BITS of them."""
+def _counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Per text its distinct buckets and how often each occurs, packed: at most 2 ** BITS of them."""
     for part in texts:
-        buckets, counts = [], []
+        packed = []
         for chunk in _in_chunks(part):
             bucket, owner, _ = subwords(chunk)
             pair, n = np.unique(owner.astype(np.int64) << BITS | bucket, return_counts=True)
             cuts = np.searchsorted(pair >> BITS, np.arange(len(chunk) + 1))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                buckets.append((pair[a:b] & ((1 << BITS) - 1)).astype(np.int32))
-                counts.append(n[a:b].astype(np.int32))
-        yield pd.DataFrame({"buckets": buckets, "counts": counts}, columns=["buckets", "counts"])
+                packed.append(np.stack([pair[a:b] & ((1 << BITS) - 1), n[a:b]]).astype(np.int32).tobytes())
+        yield pd.Series(packed, dtype=object)
 
 
 class Model:
@@ -179,27 +178,30 @@ def fit(keys, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epoch
 
 
 def train(docs: DataFrame, key="doc_id", text="text", lang="lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from at most per_language texts of each language that occurs.
+    """Learn from about per_language texts of each language, or all if there are fewer.
 
-    Languages are listed first (their number bounds the sample); bucket counts
-    are made in tasks and at most 2 ** BITS of them per text reach the driver.
+    Languages are counted first; then a row is taken if the hash of its id falls
+    into the share its language needs, which no task has to see other rows for and
+    which exceeds the number asked for by chance only (a tenth more is very rare).
+    Bucket counts are made in tasks and at most 2 ** BITS of them per text reach
+    the driver.
     """
-    known = docs.where(learnable(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    names = sorted(r[0] for r in known.select(lang).distinct().collect())
-    chosen = None
-    for name in names:
-        part = known.where(F.col(lang) == name).select(F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return fit([], [], [])
-    counted = F.pandas_udf(_counted, "buckets array<int>, counts array<int>")
-    got = (
-        known.join(F.broadcast(chosen.distinct()), F.col(key) == F.col("k"))
-        .select("k", F.col(lang).alias("y"), counted(F.col(text)).alias("x"))
-        .collect()
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).where(
+        learnable(F.col("k")) & F.col("y").isNotNull()
     )
-    got.sort(key=lambda r: (r["k"], r["y"], len(r["x"]["buckets"])))
-    rows = [(np.array(r["x"]["buckets"], np.int64), np.array(r["x"]["counts"], float)) for r in got]
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return fit([], [], [])
+    scale = 1 << 30
+    share = F.create_map(*[F.lit(x) for y, n in sorted(sizes.items()) for x in (y, -(-scale * per_language // n))])
+    counted = F.pandas_udf(_counted, "binary")
+    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(scale)) < F.element_at(share, F.col("y")))
+    got = chosen.where(F.col("t").isNotNull()).select("k", "y", counted(F.col("t")).alias("x")).collect()
+    got.sort(key=lambda r: (r["k"], r["y"], len(r["x"])))
+    rows = []
+    for r in got:
+        buckets, counts = np.frombuffer(r["x"], dtype=np.int32).reshape(2, -1)
+        rows.append((buckets, counts.astype(np.float32)))
     return fit([r["k"] for r in got], rows, [r["y"] for r in got])
 
 

@@ -11,13 +11,14 @@ meet in a band are candidates, and a candidate pair is a link if the exact
 Jaccard similarity of the two shingle sets is at least the threshold.
 
 Scale. Texts with equal words are one node from the start, so copies cost nothing
-later. A bucket never yields all its pairs: each round links its components to
-one of them (a star, linear in the bucket), verifies the new pairs and merges
-what is linked. Rounds go on inside buckets that still hold several components,
-with another centre each time and also on keys of twice the registers, which
-bring the most similar members of a large bucket together, until a round merges
-nothing. Two rounds run at least. Buckets, links and components stay
-distributed; every step is stored in the shared folder.
+later. A bucket never yields all its pairs, at most as many a round as it has
+members. First each member is paired with the bucket's centre; verified links are
+merged into components. Then members are paired with the bucket's weightiest text,
+the likely origin of the others, where that is in another component. Then, in
+rounds, members are sorted by bucket and by their further registers, which puts
+the most similar ones side by side, and neighbours of different components are
+paired, until a round merges nothing. Pairs, links and components stay
+distributed, texts are not shuffled, and every step is stored in the shared folder.
 
 Cases: null and empty texts, and texts without words, are compared with nothing
 and each is a class of its own; the class id is the smallest id in the class,
@@ -38,10 +39,12 @@ from tidemark.llm.common import folded, mix64, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Bytes of text whose shingles are held as arrays at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bits of the bitmap that tells which texts' shingle sets are wanted.
+FILTER_BITS = 26
 
 _U = np.uint64
 _MIX = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -50,11 +53,10 @@ _BITS = _U(48)
 _LOW = _U((1 << 48) - 1)
 
 
-def _chunks(texts, limit: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, folded texts) of runs of texts of bounded size."""
+def _chunks(lines, limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, lines) of runs of folded texts of bounded size."""
     first, chunk, size = 0, [], 0
-    for k, text in enumerate(texts):
-        line = folded(text)
+    for k, line in enumerate(lines):
         if chunk and (size + len(line) > limit or len(chunk) >= 60_000):
             yield first, chunk
             first, chunk, size = k, [], 0
@@ -130,78 +132,184 @@ def registers(keys: np.ndarray, counts: np.ndarray, lines: int, m: int = REGISTE
     return out.reshape(lines, m)
 
 
-def _keys_of_bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of `rows` registers, which starts at the band's own place."""
-    keys = np.zeros((len(sig), BANDS), _U)
+def band_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, order) of each line and band.
+
+    The bucket is a hash of the band's registers. The order holds eight bits of each
+    of the next eight registers, the nearest first: sorted by it, texts that agree in
+    many further registers stand side by side.
+    """
     start = np.arange(BANDS) * ROWS
-    for j in range(rows):
-        keys = mix64(keys * _MIX[2] + sig[:, (start + j) % sig.shape[1]] + _MIX[j % 5])
-    return mix64(keys + np.arange(BANDS, dtype=_U) * _MIX[3] + _U(rows)).view(np.int64)
+    keys = np.zeros((len(sig), BANDS), _U)
+    order = np.zeros((len(sig), BANDS), _U)
+    for j in range(ROWS):
+        keys = mix64(keys * _MIX[2] + sig[:, start + j] + _MIX[j])
+    for j in range(8):
+        order = order << _U(8) | mix64(sig[:, (start + ROWS + j) % REGISTERS]) & _U(255)
+    return mix64(keys + np.arange(BANDS, dtype=_U) * _MIX[3]).view(np.int64), order.view(np.int64)
+
+
+def _node(line: bytes) -> int:
+    """A text's number: 64 bits of a cryptographic hash of its words.
+
+    Ten billion texts share a number with a probability of about one in a billion each.
+    """
+    return int.from_bytes(hashlib.blake2b(b" ".join(line.split()), digest_size=8).digest(), "big", signed=True)
 
 
 def _signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
-        nodes, coarse, fine = [], [], []
-        for _, lines in _chunks(part, CHUNK_BYTES):
+        nodes, buckets, orders = [], [], []
+        for _, lines in _chunks(map(folded, part), CHUNK_BYTES):
             keys, counts = shingle_keys(lines)
-            sig = registers(keys, counts, len(lines))
+            bucket, order = band_keys(registers(keys, counts, len(lines)))
             some = np.zeros(len(lines), bool)
             some[(keys >> _BITS).astype(np.int64)] = True
-            nodes += [hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() if s else None for x, s in zip(lines, some)]
-            coarse += [k if s else None for k, s in zip(_keys_of_bands(sig, ROWS), some)]
-            fine += [k if s else None for k, s in zip(_keys_of_bands(sig, 2 * ROWS), some)]
-        yield pd.DataFrame({"node": nodes, "coarse": coarse, "fine": fine}, columns=["node", "coarse", "fine"])
+            nodes += [_node(x) if s else None for x, s in zip(lines, some)]
+            buckets += [k if s else None for k, s in zip(bucket, some)]
+            orders += [k if s else None for k, s in zip(order, some)]
+        yield pd.DataFrame(
+            {"node": pd.array(nodes, dtype="Int64"), "buckets": buckets, "orders": orders}, columns=["node", "buckets", "orders"]
+        )
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, coarse, fine): hash of the words (null without words) and band keys."""
-    sign = F.pandas_udf(_signed, "node binary, coarse array<long>, fine array<long>")
+    """(key, node, buckets, orders): number of the words (null without words) and band keys."""
+    sign = F.pandas_udf(_signed, "node long, buckets array<long>, orders array<long>")
     return docs.select(F.col(key).alias("key"), sign(F.col(text)).alias("s")).select("key", "s.*")
 
 
-def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for part in texts:
-        nodes, sets = [], []
-        for _, lines in _chunks(part, CHUNK_BYTES):
-            keys, _ = shingle_keys(lines)
-            bounds = np.searchsorted(keys >> _BITS, np.arange(len(lines) + 1, dtype=_U))
-            values = (keys & _LOW).astype(np.int64)
-            sets += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            nodes += [hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() for x in lines]
-        yield pd.DataFrame({"node": nodes, "shingles": sets}, columns=["node", "shingles"])
+def _position(node, key):
+    """The bit of (node, key) in the filter; the same in SQL and in numpy (`_positions`)."""
+    return F.shiftrightunsigned(node.bitwiseXOR(F.shiftleft(F.coalesce(key, F.lit(-1)), 64 - FILTER_BITS)), 64 - FILTER_BITS)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles) for the nodes of `wanted` (node, key): texts are looked up by key."""
-    make = F.pandas_udf(_sets, "node binary, shingles array<long>")
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(
-        wanted.withColumnRenamed("node", "n"), F.col("k").eqNullSafe(F.col("key"))
+def _positions(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (nodes.view(_U) ^ (keys.view(_U) << _U(64 - FILTER_BITS))) >> _U(64 - FILTER_BITS)
+
+
+def bit_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** FILTER_BITS bits with those of all wanted (node, key) rows set.
+
+    Whatever the corpus, at most 2 ** FILTER_BITS / 64 words reach the driver. A
+    full bitmap would let all texts through, which costs time and changes nothing.
+    """
+    position = _position(F.col("node"), F.col("key"))
+    words = wanted.groupBy(F.shiftright(position, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position.bitwiseAND(63).cast("int"))).alias("bits")
     )
-    # A repeated id may carry other texts as well; the hash of the words tells them apart.
-    return found.select("n", make(F.col("t")).alias("s")).where("s.node = n").select("s.node", "s.shingles")
+    got = words.toPandas()
+    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bitmap[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return bitmap.view(_U)
 
 
-def star_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) from members (bucket, part, node).
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, shingles) for each row of `wanted` (node, key).
 
-    In each bucket every part (component) names one member, and all are paired
-    with the part whose turn it is in this round.
+    Texts are read in place, never shuffled: a bitmap lets through those that may
+    be wanted, and only their sets go to the join that decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+
+    @F.pandas_udf("node long, shingles array<long>")
+    def make(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        bitmap = shared.value
+        for ids, texts in parts:
+            lines = [folded(t) for t in texts]
+            nodes = np.array([_node(x) for x in lines], dtype=np.int64)
+            at = _positions(nodes, ids.to_numpy(dtype=np.int64))
+            hit = (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+            sets: list = [None] * len(lines)
+            where = np.flatnonzero(hit)
+            for first, chunk in _chunks([lines[k] for k in where], CHUNK_BYTES):
+                keys, _ = shingle_keys(chunk)
+                bounds = np.searchsorted(keys >> _BITS, np.arange(len(chunk) + 1, dtype=_U))
+                values = (keys & _LOW).astype(np.int64)
+                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    sets[where[first + k]] = values[a:b]
+            yield pd.DataFrame({"node": nodes, "shingles": sets}, columns=["node", "shingles"])
+
+    found = docs.select(F.col(key).cast("long").alias("k"), make(F.coalesce(F.col(key).cast("long"), F.lit(-1)), F.col(text)).alias("s"))
+    found = found.select("k", "s.node", "s.shingles").where("shingles IS NOT NULL")
+    asked = wanted.select(F.col("node").alias("n"), "key")
+    same = (F.col("node") == F.col("n")) & F.col("k").eqNullSafe(F.col("key"))
+    return found.join(asked, same, "left_semi").select("node", "shingles")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each member with its bucket's centre, from (bucket, node) rows.
+
+    The centre is the member with the smallest hash, the same one in most buckets
+    that a group of near copies shares, so a group yields few distinct pairs.
     """
-    order = F.xxhash64(F.col("part"), F.lit(salt))
-    chosen = members.groupBy("bucket", "part").agg(
-        F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("node")
+    centre = (
+        members.groupBy("bucket")
+        .agg(F.min_by("node", F.xxhash64("node")).alias("centre"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("bucket", "centre")
     )
-    centre = chosen.groupBy("bucket").agg(
-        F.min_by(F.struct("part", "node"), order).alias("c"), F.count("*").alias("n")
+    return (
+        members.join(centre, "bucket")
+        .where("node != centre")
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        .distinct()
+    )
+
+
+def centrality(members: DataFrame) -> DataFrame:
+    """(node, weight): how many members all buckets of a node have together.
+
+    The text from which others were copied keeps its registers where they lost
+    some, so it is in the fullest buckets and has the greatest weight among them.
+    """
+    full = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    return members.join(full, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of each member with its bucket's weightiest one, if that belongs to another part.
+
+    members: (bucket, part, node, weight).
+    """
+    top = members.groupBy("bucket").agg(
+        F.max_by(F.struct("node", "part"), F.struct("weight", F.xxhash64("node"))).alias("top")
     )
     return (
-        chosen.join(centre.where("n > 1"), "bucket")
-        .where(F.col("part") != F.col("c.part"))
-        .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+        members.join(top, "bucket")
+        .where(F.col("part") != F.col("top.part"))
+        .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
         .distinct()
     )
 
 
+def _side_by_side(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None
+    for frame in frames:
+        rows = frame[["bucket", "part", "node"]].to_numpy(dtype=np.int64)
+        if last is not None:
+            rows = np.vstack([last, rows])
+        last = rows[-1:]
+        meet = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] != rows[:-1, 1])
+        pairs = np.sort(np.stack([rows[1:, 2][meet], rows[:-1, 2][meet]], axis=1), axis=1)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def neighbour_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """Distinct pairs of neighbours of different parts, from (bucket, order, part, node) rows.
+
+    Sorted by bucket and order, the most similar members of a bucket are
+    neighbours; the salt turns the order around without parting similar ones. Rows
+    are dealt by ranges of bucket and order, so a bucket of any size spreads over
+    many tasks, and yields no more pairs than it has members. Where a range ends
+    inside a bucket one pair of neighbours is passed over; the other bands and
+    rounds have theirs elsewhere.
+    """
+    turned = members.withColumn("order", F.col("order").bitwiseXOR(F.xxhash64(F.lit(salt))))
+    dealt = turned.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "node")
+    return dealt.mapInPandas(_side_by_side, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the Jaccard similarity asked for."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -245,13 +353,6 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(labels)
 
 
-def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (…, part) with the label of the merged component as part."""
-    return members.join(labels.withColumnRenamed("node", "part"), "part", "left").select(
-        *[c for c in members.columns if c != "part"], F.coalesce("label", "part").alias("part")
-    )
-
-
 def classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -266,38 +367,33 @@ def classes(
     nothing merges.
     """
     signed = stored(signatures(docs, key, text))
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("key").alias("key"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")
+    worded = signed.where("node IS NOT NULL")
+    keys = worded.groupBy("node").agg(F.min("key").alias("key"))
+    # Of copies, one row has the smallest key; without keys or with repeated rows, several may.
+    one = worded.join(keys.withColumnsRenamed({"node": "n", "key": "k"}), (F.col("node") == F.col("n")) & F.col("key").eqNullSafe(F.col("k")))
+    banded = one.select("node", F.explode(F.arrays_zip("buckets", "orders")).alias("z")).select(
+        F.col("z.buckets").alias("bucket"), F.col("z.orders").alias("order"), "node"
     )
-
-    def buckets(level: str) -> DataFrame:
-        return nodes.select(F.explode(level).alias("bucket"), F.col("node").alias("part"), "node")
-
-    tested = stored(star_pairs(buckets("coarse"), 0))
-    ends = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct()
-    sets = stored(shingle_sets(docs, nodes.select("node", "key").join(ends, "node"), key, text))
-    links = stored(verified(tested, sets, threshold).select("a", "b"))
-    labels = components(links)
-    # Only texts that met another one have sets, and only they matter later.
-    members = stored(buckets("coarse").unionByName(buckets("fine")).join(ends, "node", "left_semi"))
-    merges = labels
+    tested = stored(star_pairs(banded.select("bucket", "node")))
+    ends = stored(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
+    sets = stored(shingle_sets(docs, keys.join(ends, "node", "left_semi"), key, text))
+    labels = components(verified(tested, sets, threshold))
+    # From here on only texts that met another one matter.
+    met = banded.join(ends, "node", "left_semi").select("bucket", "order", "node")
+    members = stored(met.join(centrality(met), "node").select("bucket", "order", "node", "weight"))
     turn = 1
     while max_rounds is None or turn < max_rounds:
-        members = relabelled(members, merges)
-        several = members.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-        members = stored(members.join(several.select("bucket"), "bucket", "left_semi").select("bucket", "node", "part"))
-        fresh = stored(star_pairs(members, turn).join(tested, ["a", "b"], "left_anti"))
+        parted = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+        pairs = central_pairs(parted) if turn == 1 else neighbour_pairs(parted, turn)
+        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
-        found = stored(verified(fresh, sets, threshold).select("a", "b"))
-        if found.isEmpty():
-            if turn > 1 or fresh.isEmpty():
-                break
-            merges = labels.limit(0)
-        else:
+        found = stored(verified(fresh, sets, threshold))
+        if found.isEmpty() and turn > 2:
+            break
+        if not found.isEmpty():
             # New links join components, so all links so far decide the labels anew.
             old = labels.select(F.least("node", "label").alias("a"), F.greatest("node", "label").alias("b")).where("a != b")
-            labels = components(old.unionByName(found))
-            merges = labels
+            labels = components(old.unionByName(found.select("a", "b")))
         turn += 1
     named = signed.select("key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     sizes = named.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))

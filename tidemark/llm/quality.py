@@ -107,9 +107,9 @@ def _in_chunks(texts) -> Iterator[list[np.ndarray]]:
         yield indicators(chunk)
 
 
-def _indicator_lists(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
-        yield pd.Series([x for chunk in _in_chunks(part) for x in chunk], dtype=object)
+        yield pd.Series([x.astype(np.int32).tobytes() for chunk in _in_chunks(part) for x in chunk], dtype=object)
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:
@@ -193,10 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="
     at most 2 ** BITS numbers, whatever the lengths of the texts.
     """
     sample = labelled_sample(docs.select(key, text), labels, key, label, (0, 1), per_class)
-    listed = F.pandas_udf(_indicator_lists, "array<int>")
-    got = sample.select(F.col(key).alias("k"), "y", listed(F.col(text)).alias("x")).collect()
+    packed = F.pandas_udf(_packed, "binary")
+    got = sample.select(F.col(key).alias("k"), "y", packed(F.col(text)).alias("x")).collect()
     got.sort(key=lambda r: (r["k"], r["y"], len(r["x"])))
-    rows = [np.array(r["x"], dtype=np.int64) for r in got]
+    rows = [np.frombuffer(r["x"], dtype=np.int32) for r in got]
     return fit([r["k"] for r in got], rows, np.array([r["y"] for r in got], dtype=np.int64))
 
 
