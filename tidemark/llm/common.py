@@ -17,12 +17,22 @@ for _b in range(0x41, 0x5B):
 FOLD = bytes(_FOLD)
 
 
+#: Rows and bytes of text that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shipped(spark):
     """Let Python workers import this package from where the driver found it.
 
     Enough wherever that folder is readable (one machine, a shared mount); elsewhere
-    submit the package with --py-files, as for any PySpark job.
+    submit the package with --py-files, as for any PySpark job. Arrow batches are
+    bounded as well, because a task holds a few of them beside what it computes.
     """
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

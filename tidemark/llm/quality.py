@@ -29,7 +29,7 @@ from tidemark.llm.learning import labelled_sample, platt, sigmoid, split_of
 BITS = 18
 PER_CLASS = 2500
 #: Bytes of text turned to arrays at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 #: Kinds of bytes, one bit each: upper case, lower case, digit, beyond ASCII, full

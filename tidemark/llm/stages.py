@@ -21,6 +21,7 @@ QUALITY_LEAST = 0.3
 
 def quality_filter(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go; it learns from the rows given."""
+    shipped(spark)
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels)
     scored = docs.withColumn("__score", quality.score(spark, model, F.col("text")))
