@@ -337,10 +337,18 @@ def test_constraints_find_what_breaks_them(spark, fact_of):
         (2, "2024-01", {"region": None}),
         (3, "2024-01", {"usage_score": D("1.200")}),
     )
-    assert constraints.outside(fact, constraints.FACT_RULES).count() == 3
-    assert only(constraints.duplicates(fact, "customer_key", "date_key")).customer_key == 1
+
+    def found(*args):
+        return {r.constraint_name: r.violations for r in constraints.violations(*args).collect()}
+
+    keys = "customer_key", "date_key"
+    assert found(fact, "domains", constraints.FACT_RULES, "account_month", *keys) == {"domains": 3, "account_month": 1}
+    # A third copy is still one repeated key.
+    more = fact.unionByName(fact.filter("customer_key = 1"))
+    assert found(more, None, [], "account_month", *keys) == {"account_month": 1}
     wrong = seeds.thresholds(spark).withColumn("direction", F.lit("SIDEWAYS"))
-    assert constraints.outside(wrong, constraints.THRESHOLD_RULES).count() == 4
+    assert found(wrong, "direction", constraints.THRESHOLD_RULES, None, "metric_name") == {"direction": 4}
+    assert found(fact.limit(0), "domains", constraints.FACT_RULES, None, *keys) == {"domains": 0}
 
 
 def test_very_large_revenue(fact_of, suite_of):

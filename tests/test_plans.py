@@ -4,13 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import DATA
 from tidemark.operators import fact as facts
 from tidemark.plans import load, registry
 from tidemark.sources import seeds, staging, warehouse
 
-QUERIES = entry.queries()
+QUERIES = registry.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -37,13 +36,13 @@ def test_no_shuffle_by_customer(big_plans, name):
 def test_load_from_keyed_staging_does_not_shuffle(spark, big_plans):
     wh = registry.loaded_warehouse(spark, DATA)
     stg = wh.read(warehouse.STAGING)
-    good = staging.classify(stg, seeds.plans(spark), seeds.calendar(spark, "1995-01-01", "2001-07-01"))
+    good = staging.classify(stg, seeds.plans(spark), wh.read(warehouse.CALENDAR))
     rows = facts.fact_rows(good, wh.read(warehouse.CUSTOMERS))
     with load.load_settings(spark, 0, wh.buckets):
         for df in (
             facts.new_customers(good, wh.read(warehouse.CUSTOMERS)),
             rows,
-            facts.not_loaded_yet(rows, wh.read(warehouse.FACT), "1995-01-01", "2001-07-01"),
+            *facts.against_stored(rows, wh.read(warehouse.FACT), "1995-01-01", "2001-08-01"),
         ):
             assert not _hashed_by(df._jdf.queryExecution().executedPlan().toString())
 
@@ -58,9 +57,45 @@ def test_only_high_risk_keys_travel(big_plans):
     assert keys and all("CASE WHEN" in k for k in keys)
 
 
-@pytest.mark.parametrize("name", ["accounts_at_risk", "plan_mix_latest", "segment_stack"])
-def test_latest_month_reaches_the_scan(big_plans, name):
-    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(date_key,ScalarSubquery", big_plans(name))
+def test_latest_month_opens_its_files_only(spark, big_plans):
+    """The newest month comes from the notes of the loads; the fact is read in one of its partitions."""
+    plan = big_plans("accounts_at_risk")
+    assert re.search(r"PartitionFilters: \[[^\]]*date_key#\d+ = Subquery", plan)
+    scans = re.findall(r"FileScan parquet \S*?(\w+)\[", plan)
+    assert not [s for s in re.findall(r"max\(date_key#\d+\).*?FileScan parquet \S+", plan, re.S) if "fact_subscriptions" in s], scans
+    df = QUERIES["accounts_at_risk"](spark, DATA)
+    df.collect()
+    wh = registry.loaded_warehouse(spark, DATA)
+    newest = wh.loads().agg({"date_key": "max"}).first()[0]
+    files = [f for f in wh.read(warehouse.FACT).inputFiles() if f"date_key={newest}" in f]
+    read = re.search(r"number of files read: (\d+)", metrics_of(df, "fact_subscriptions"))
+    assert int(read.group(1)) == len(files) < len(wh.read(warehouse.FACT).inputFiles())
+
+
+def metrics_of(df, table):
+    """The metrics of a table's scan in a collected frame, as text."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and table in node.toString():
+            metric = node.metrics().get("numFiles").get()
+            found.append(f"number of files read: {metric.value()}")
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            walk(node.plan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return "\n".join(found)
+
+
+@pytest.mark.parametrize("name", ["overview_kpis", "drilldown_kpis_all", "revenue_impact_top8", "cohort_heatmap"])
+def test_dashboard_reads_no_fact(big_plans, name):
+    plan = big_plans(name)
+    assert "mart_" in plan and "fact_subscriptions" not in plan
 
 
 def test_columns_are_pruned(big_plans):

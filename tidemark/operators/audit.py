@@ -3,7 +3,6 @@
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
@@ -16,6 +15,11 @@ def minute(ts="run_ts"):
     return F.date_format(ts, "yyyy-MM-dd HH:mm")
 
 
+def without_clock(log: DataFrame) -> DataFrame:
+    """What a run was and did, without when and how long."""
+    return log.select(*[c for c in LOG_COLUMNS if c not in ("run_ts", "duration_ms")])
+
+
 def recent(log: DataFrame, rows: int = S.RECENT_LOG_ROWS) -> DataFrame:
     """The newest runs with the text shown for each: rows loaded, or what went wrong."""
     detail = F.when(
@@ -65,34 +69,3 @@ def fact_rows_json(fact: DataFrame) -> DataFrame:
     return fact.agg(F.count("*").alias("fact_rows")).select(
         F.to_json(F.struct("fact_rows")).alias("result")
     )
-
-
-def monthly_runs(classified: DataFrame) -> DataFrame:
-    """The log that loading staging month by month would have written.
-
-    One run per staging month, three hours into the next one. Good rows count
-    as loaded; a month without any is FAILED and names its reject reason.
-    """
-    good = F.col("reject_reason").isNull()
-    runs = classified.groupBy("month").agg(
-        F.count_if(good).alias("rows_loaded"),
-        F.count_if(~good).alias("rows_rejected"),
-        F.min("reject_reason").alias("reason"),
-    )
-    status = (
-        F.when(F.col("rows_rejected") == 0, "SUCCESS")
-        .when(F.col("rows_loaded") == 0, "FAILED")
-        .otherwise("PARTIAL")
-    )
-    run_ts = F.add_months("month", 1).cast("timestamp") + F.expr("INTERVAL 3 HOURS")
-    return runs.select(
-        F.row_number().over(W.orderBy("month")).cast("bigint").alias("log_id"),
-        run_ts.alias("run_ts"),
-        F.lit("scheduler").alias("triggered_by"),
-        F.lit("fact_subscriptions").alias("source_table"),
-        "rows_loaded",
-        "rows_rejected",
-        status.alias("status"),
-        F.when(status == "FAILED", F.concat(F.lit("rejected: "), "reason")).alias("error_message"),
-        F.lit(None).cast("bigint").alias("duration_ms"),
-    )

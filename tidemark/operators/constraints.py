@@ -18,14 +18,23 @@ LOG_RULES = ["status IN ('SUCCESS', 'FAILED', 'PARTIAL')"]
 THRESHOLD_RULES = ["direction IN ('ABOVE', 'BELOW')"]
 
 
-def outside(df: DataFrame, rules: list[str]) -> DataFrame:
-    """Rows for which any rule is false or unknown."""
+def broken(rules: list[str]):
+    """Whether any rule is false or unknown for a row."""
     kept = F.lit(True)
     for rule in rules:
         kept = kept & flag(F.expr(rule))
-    return df.filter(~kept)
+    return ~kept
 
 
-def duplicates(df: DataFrame, *keys: str) -> DataFrame:
-    """Key values that occur more than once."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+def violations(df: DataFrame, domains: str | None, rules: list[str], unique: str | None, *keys: str) -> DataFrame:
+    """(constraint_name, violations) of a table in one aggregation by its unique key.
+
+    ``domains`` names the rows that break a rule, ``unique`` the key values that occur more than once.
+    """
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(broken(rules)).alias("outside"))
+    both = per_key.agg(
+        F.coalesce(F.sum("outside"), F.lit(0)).alias("outside"), F.count_if(F.col("n") > 1).alias("repeated")
+    )
+    named = [(domains, "outside"), (unique, "repeated")]
+    cells = [F.struct(F.lit(n).alias("constraint_name"), F.col(c).alias("violations")) for n, c in named if n]
+    return both.select(F.explode(F.array(*cells)).alias("v")).select("v.*")

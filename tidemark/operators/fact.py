@@ -67,14 +67,30 @@ def fact_rows(good: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def not_loaded_yet(rows: DataFrame, fact: DataFrame, first, last) -> DataFrame:
-    """Rows whose (customer, month) the fact does not hold.
-
-    The fact side is cut to the batch's months first, which prunes row
-    groups: buckets are sorted by month.
+VALUES = [
+    "plan_key",
+    "monthly_revenue",
+    "churn_flag",
+    "active_flag",
+    "usage_score",
+    "support_tickets",
+    "failed_payments",
+    "region",
+    "segment",
+]
+
+
+def against_stored(rows: DataFrame, fact: DataFrame, first, last) -> tuple[DataFrame, DataFrame]:
+    """(new, differing): rows whose (customer, month) the fact lacks, and corrections of those it holds.
+
+    The fact is cut to the batch's months, which are partitions of it. Rows equal
+    to what is stored are in neither.
     """
-    seen = fact.filter(F.col("date_key").between(F.lit(first), F.lit(last)))
-    return rows.join(seen.select("customer_key", "date_key"), ["customer_key", "date_key"], "left_anti")
+    months = fact.filter(F.col("date_key").between(F.lit(first), F.lit(last)))
+    stored = months.select("customer_key", "date_key", F.struct(*VALUES).alias("stored"))
+    both = rows.join(stored, ["customer_key", "date_key"], "left")
+    new = both.filter(F.col("stored").isNull()).drop("stored")
+    return new, both.filter(F.col("stored") != F.struct(*VALUES)).drop("stored")
 
 
 def orphans(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

@@ -117,9 +117,9 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
     )
 
 
-def accounts_at_risk(fact: DataFrame, customers: DataFrame, plans: DataFrame) -> DataFrame:
+def accounts_at_risk(fact: DataFrame, customers: DataFrame, plans: DataFrame, dated: DataFrame | None = None) -> DataFrame:
     """Accounts still active in the latest month, with score and tier."""
-    current = newest(fact, "date_key").filter(F.col("churn_flag") == 0).drop("region", "segment")
+    current = newest(fact, "date_key", dated).filter(F.col("churn_flag") == 0).drop("region", "segment")
     return (
         current.join(
             customers.select("customer_key", "customer_id", "region", "segment", "channel"),

@@ -3,7 +3,9 @@
 Every step writes a table and the next one reads it, so a lost executor
 costs its tasks and a lost driver costs one step. A rerun of the same staging
 rows adds nothing: customers and (customer, month) pairs already stored are
-left out.
+left out. Rows that cannot be loaded are counted, and kept with their reason:
+rows that fail a constraint, months outside the stored calendar, second rows of
+an account and month, and rows that differ from the one stored.
 
 Command line::
 
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.operators import audit
 from tidemark.operators import fact as facts
+from tidemark.plans.suite import STORED_VIEWS, Suite
 from tidemark.sources import seeds, staging, warehouse
+from tidemark.sources.warehouse import CALENDAR, CUSTOMERS, FACT, LOG, REJECTS, STAGING
 
 # Input per shuffle partition. Pruned columns and partial aggregates leave a
 # few percent of it to move, so partitions stay near 100 MB.
 SHUFFLE_BYTES = 2 << 30
-MAX_SHUFFLE_PARTITIONS = 50_000
 # Scan tasks to aim at; larger inputs get larger splits, up to 1 GB.
 SCAN_TASKS = 200_000
 MIN_SPLIT, MAX_SPLIT = 128 << 20, 1 << 30
@@ -53,7 +56,7 @@ def load_settings(spark, input_bytes, buckets):
     """
     partitions = "spark.sql.shuffle.partitions"
     if input_bytes:
-        wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / SHUFFLE_BYTES))
+        wanted = math.ceil(input_bytes / SHUFFLE_BYTES)
     else:
         wanted = int(spark.conf.get(partitions))
     settings = {
@@ -74,75 +77,109 @@ def load_settings(spark, input_bytes, buckets):
 
 def write_audit(wh, run_by, status, loaded=0, rejected=0, error=None, started=None):
     """One log row. Log ids continue from the highest stored one."""
-    log = wh.get(warehouse.LOG)
+    log = wh.get(LOG)
     last = log.agg(F.max("log_id")).first()[0] if log is not None else None
     elapsed = None if started is None else int((time.monotonic() - started) * 1000)
     row = wh.spark.range(1).select(
         F.lit((last or 0) + 1).cast("bigint").alias("log_id"),
         F.current_timestamp().alias("run_ts"),
         F.lit(run_by).alias("triggered_by"),
-        F.lit(warehouse.FACT).alias("source_table"),
+        F.lit(FACT).alias("source_table"),
         F.lit(loaded).cast("bigint").alias("rows_loaded"),
         F.lit(rejected).cast("bigint").alias("rows_rejected"),
         F.lit(status).alias("status"),
         F.lit(error).cast("string").alias("error_message"),
         F.lit(elapsed).cast("bigint").alias("duration_ms"),
     )
-    wh.append(row, warehouse.LOG)
+    wh.append(row, LOG)
 
 
 def _load(wh, stg, calendar, plans, account_grain):
     spark = wh.spark
-    buckets = wh.layout()
-    if account_grain:
-        # At most one row per account and month: no bucket can be hot.
-        buckets = wh.fix_layout(wh.buckets) if buckets is None else buckets
-        stored = wh.replace(stg, warehouse.STAGING, buckets)
-    else:
-        stored = wh.replace(stg.select(*staging.COLUMNS), warehouse.STAGING)
-        hot = warehouse.has_hot_bucket(stored, "customer_id", buckets or wh.buckets)
-        if buckets is None:
-            buckets = wh.fix_layout(0 if hot else wh.buckets)
-        elif buckets and hot:
-            wh.drop_buckets()
-            buckets = 0
-
-    if calendar is None:
-        span = stored.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
-        calendar = seeds.calendar(spark, span["lo"], span["hi"])
+    wh.prepare(calendar)
+    last_load, top, top_customer = wh.ceilings()
+    load_id = last_load + 1
+    wh.note_load(_note(spark, load_id, "begun"))
+    buckets = wh.layout() or wh.fix_layout(wh.buckets)
+    # At account grain: one row per account and month, with the account's key.
+    stored = wh.replace(stg, STAGING, buckets) if account_grain else wh.replace(stg.select(*staging.COLUMNS), STAGING)
+
     plans = seeds.plans(spark) if plans is None else plans
-    classified = staging.classify(stored, plans, calendar)
+    classified = staging.classify(stored, plans, wh.read(CALENDAR))
     is_good = F.col("reject_reason").isNull()
     summary = classified.agg(
+        F.count_if(is_good).alias("good"),
         F.count_if(~is_good).alias("rejected"),
         F.min(F.when(is_good, F.col("month"))).alias("lo"),
         F.max(F.when(is_good, F.col("month"))).alias("hi"),
     ).first()
+    if summary["rejected"]:
+        wh.append(staging.reject_rows(classified.filter(~is_good), load_id), REJECTS)
     good = classified.filter(is_good)
+    if not account_grain:
+        kept, refused = staging.one_per_account_month(good.drop("reject_reason"))
+        good = wh.scratch(kept, "good")
+        if good.count() < summary["good"]:
+            wh.append(staging.reject_rows(refused, load_id, "repeated_account_month"), REJECTS)
 
-    customers = wh.get(warehouse.CUSTOMERS)
+    customers = wh.get(CUSTOMERS)
     fresh = facts.new_customers(good, customers)
     if not account_grain:
-        top = customers.agg(F.max("customer_key")).first()[0] if customers is not None else None
         # Written before use: a recomputed task could hand out its keys differently.
-        fresh = wh.scratch(facts.with_surrogate_keys(fresh, "customer_key", top or 0), "new_customers")
+        fresh = wh.scratch(facts.with_surrogate_keys(fresh, "customer_key", top_customer), "new_customers")
         fresh = warehouse.co_locate(fresh, buckets)
     fresh = fresh.withColumn("created_at", F.current_timestamp()).select(*S.CUSTOMER.fieldNames())
-    customers = wh.append(fresh, warehouse.CUSTOMERS, buckets)
+    customers = wh.append(fresh, CUSTOMERS, buckets)
 
     rows = facts.fact_rows(good, customers)
     if not account_grain:
         rows = warehouse.co_locate(rows, buckets)
-    loaded = wh.get(warehouse.FACT)
-    top = 0 if loaded is None else loaded.agg(F.max("sub_key")).first()[0] or 0
+    loaded = wh.get(FACT)
     if loaded is not None and summary["lo"] is not None:
-        rows = facts.not_loaded_yet(rows, loaded, summary["lo"], summary["hi"])
+        rows, differing = facts.against_stored(rows, loaded, summary["lo"], summary["hi"])
+        wh.append(staging.reject_rows(differing, load_id, "differs_from_stored"), REJECTS)
     # Keys are assigned after all shuffles, in the tasks that write them.
     rows = facts.with_surrogate_keys(rows, "sub_key", top)
     rows = rows.withColumn("loaded_at", F.current_timestamp()).select(*S.FACT.fieldNames())
-    written = wh.append(rows, warehouse.FACT, buckets)
-    # Counted from the table: counters inside a retried stage may count twice.
-    return written.filter(F.col("sub_key") > top).count(), summary["rejected"]
+    written = wh.append(rows, FACT, buckets)
+
+    # Counted from the batch's months of the table: counters inside a retried stage may count twice.
+    per_month = (
+        written.filter(F.col("date_key").between(F.lit(summary["lo"]), F.lit(summary["hi"])) & (F.col("sub_key") > top))
+        .groupBy("date_key")
+        .agg(F.count("*").alias("rows"), F.max("sub_key").alias("top_sub_key"))
+    )
+    end = _note(spark, load_id, "ended", top, None if account_grain else _top(customers, top_customer))
+    months = per_month.select(
+        F.lit(load_id).cast("bigint").alias("load_id"),
+        F.lit("month").alias("phase"),
+        "date_key",
+        "rows",
+        "top_sub_key",
+        F.lit(None).cast("bigint").alias("top_customer_key"),
+    )
+    wh.note_load(months.unionByName(end))
+    write_marts(wh)
+    noted = wh.loads().filter(F.col("load_id") == load_id)
+    refused = wh.get(REJECTS)
+    rejected = refused and refused.filter(F.col("load_id") == load_id).agg(F.sum("copies")).first()[0]
+    return noted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], rejected or 0
+
+
+def _top(customers, before):
+    """The highest assigned customer key, from the keys assigned by this load."""
+    return customers.filter(F.col("customer_key") > before).agg(F.max("customer_key")).first()[0] or before
+
+
+def _note(spark, load_id, phase, top=None, top_customer=None):
+    return spark.createDataFrame([(load_id, phase, None, None, top, top_customer)], S.LOADS)
+
+
+def write_marts(wh) -> None:
+    """Stores the mart rows that dashboards read, once per load."""
+    suite = Suite.over(wh)
+    for table, view in STORED_VIEWS.items():
+        wh.replace(getattr(suite, view), table)
 
 
 def run(
@@ -154,10 +191,12 @@ def run(
     input_bytes=0,
     account_grain=False,
 ) -> LoadResult:
-    """Loads a staging frame. ``calendar`` limits the months accepted.
+    """Loads a staging frame.
 
-    ``account_grain`` is the caller's word that the rows carry the source's
-    own ``customer_key``, hashed by it, at most one per account and month.
+    ``calendar``, a pair of months, grows the stored calendar before the load;
+    rows of other months are refused. ``account_grain`` is the caller's word that
+    the rows carry the source's own ``customer_key``, hashed by it, at most one
+    per account and month.
     """
     started = time.monotonic()
     try:
@@ -165,7 +204,7 @@ def run(
             loaded, rejected = _load(wh, stg, calendar, plans, account_grain)
     except Exception as e:
         # Written on its own, so it stays although the load did not.
-        write_audit(wh, run_by, "FAILED", error=str(e)[:2000], started=started)
+        write_audit(wh, run_by, "FAILED", error=str(e), started=started)
         raise
     status = "PARTIAL" if rejected else "SUCCESS"
     write_audit(wh, run_by, status, loaded, rejected, started=started)
@@ -173,29 +212,32 @@ def run(
 
 
 def purge_log(wh, as_of=None, days=S.LOG_RETENTION_DAYS) -> None:
-    """Rewrites the log without expired rows: to a new folder first, then in place."""
+    """Swaps in the log without expired rows; part of the scheduled refresh."""
     as_of = F.current_timestamp() if as_of is None else as_of
-    kept = audit.retained(wh.read(warehouse.LOG), as_of, days)
-    staged = f"{wh.root}/audit/refresh_log_kept"
-    kept.write.mode("overwrite").parquet(staged)
-    wh.replace(wh.spark.read.parquet(staged), warehouse.LOG)
+    wh.replace(audit.retained(wh.read(LOG), as_of, days), LOG)
+
+
+def compact(wh) -> None:
+    """Rewrites the fact with one file per month and bucket, after many small loads."""
+    buckets = wh.layout()
+    with load_settings(wh.spark, 0, buckets):
+        # Read bucket by bucket, so rows are hashed already and one task writes a bucket's files.
+        wh.replace(warehouse.co_locate(wh.read(FACT), buckets), FACT, buckets)
 
 
 def verify(wh) -> tuple[DataFrame, DataFrame]:
     """Row counts of the six tables and the newest log row."""
-    spark = wh.spark
-    stg = wh.read(warehouse.STAGING)
     counts = audit.table_counts(
         {
-            "dim_customer": wh.read(warehouse.CUSTOMERS),
-            "dim_plan": seeds.plans(spark),
-            "dim_date": seeds.calendar_of(stg),
-            "fact_subscriptions": wh.read(warehouse.FACT),
-            "stg_subscriptions": stg,
-            "refresh_log": wh.read(warehouse.LOG),
+            "dim_customer": wh.read(CUSTOMERS),
+            "dim_plan": seeds.plans(wh.spark),
+            "dim_date": wh.read(CALENDAR),
+            "fact_subscriptions": wh.read(FACT),
+            "stg_subscriptions": wh.read(STAGING),
+            "refresh_log": wh.read(LOG),
         }
     )
-    return counts, audit.latest(wh.read(warehouse.LOG))
+    return counts, audit.latest(wh.read(LOG))
 
 
 def main(argv=None):
@@ -211,9 +253,7 @@ def main(argv=None):
     args = p.parse_args(argv)
     spark = builder("tidemark-load").getOrCreate()
     wh = warehouse.Warehouse(spark, args.warehouse, args.buckets)
-    calendar = None
-    if args.first_month and args.last_month:
-        calendar = seeds.calendar(spark, args.first_month, args.last_month)
+    calendar = (args.first_month, args.last_month) if args.first_month and args.last_month else None
     stg = staging.read_csv(spark, args.csv)
     result = run(wh, stg, args.run_by, calendar, input_bytes=warehouse.planned_bytes(stg))
     counts, newest = verify(wh)

@@ -5,18 +5,13 @@ again, in other terms where that is cheap (integer cents for percentages and
 their rounding), so that agreement means something.
 """
 
-from tidemark.plans.registry import ANALYST_REGION, BAD_ROWS, LOG_CALENDAR, REJECT_CALENDAR
+from tidemark import schemas as S
+from tidemark.plans.registry import ANALYST_REGION
+from tidemark.sources.orders import CHURN_MONTHS
 
 MONEY = "DECIMAL(28,2)"
 
 
-def _rows(rows):
-    def literal(v):
-        return "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else f"'{v}'"
-
-    return ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
-
-
 def _half_up(expr, digits):
     scale = f"{10**digits}.0::DOUBLE"
     return f"(floor(({expr}) * {scale} + 0.5::DOUBLE) / {scale})"
@@ -56,7 +51,6 @@ CTES = {
                count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS failed,
                coalesce((sum(units) * 20) // nullif(sum(n_lines), 0), 0) AS usage_mils
            FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey
-           WHERE o_orderdate < DATE '2001-08-01'
            GROUP BY ALL""",
     ),
     "account": (
@@ -73,14 +67,14 @@ CTES = {
            FROM customer JOIN nation ON n_nationkey = c_nationkey
            JOIN region ON r_regionkey = n_regionkey""",
     ),
+    # Churned: none of the account's other months lies in the year that follows, and that year is over.
     "flagged": (
         ["account_month", "account"],
-        """SELECT *, CAST((c_custkey * 7919 + (year(month) * 12 + month(month)) * 613) % 1000
-                < CASE plan_type WHEN 'Starter' THEN 60 WHEN 'Growth' THEN 40
-                      WHEN 'Enterprise' THEN 20 ELSE 10 END
-                  + if(tickets > 3, 40, 0) + if(failed > 0, 60, 0) + if(usage_mils < 300, 30, 0)
+        f"""SELECT m.*, a.*, CAST(m.month + INTERVAL {CHURN_MONTHS} MONTH <= (SELECT max(month) FROM account_month)
+                AND NOT EXISTS (SELECT 1 FROM account_month later WHERE later.o_custkey = m.o_custkey
+                    AND later.month > m.month AND later.month <= m.month + INTERVAL {CHURN_MONTHS} MONTH)
                 AS INT) AS churned
-           FROM account_month JOIN account ON c_custkey = o_custkey""",
+           FROM account_month m JOIN account a ON c_custkey = o_custkey""",
     ),
     "stg": (
         ["flagged"],
@@ -91,11 +85,8 @@ CTES = {
                1 AS active_flag,
                CAST(CAST(usage_mils AS DECIMAL(18,3)) / 1000 AS DECIMAL(4,3)) AS usage_score,
                CAST(tickets AS INT) AS support_tickets, CAST(failed AS INT) AS failed_payments,
-               cohort_month, c_custkey AS customer_key
-           FROM (SELECT *, min(month) OVER w AS cohort_month,
-                     min(month) FILTER (churned = 1) OVER w AS left_in
-                 FROM flagged WINDOW w AS (PARTITION BY c_custkey))
-           WHERE left_in IS NULL OR month <= left_in""",
+               min(month) OVER (PARTITION BY c_custkey) AS cohort_month, c_custkey AS customer_key
+           FROM flagged""",
     ),
     "plans": (
         [],
@@ -106,7 +97,8 @@ CTES = {
     "thresholds": (
         [],
         """SELECT threshold_id, metric_name, CAST(w AS DECIMAL(18,6)) AS warning_threshold,
-               CAST(c AS DECIMAL(18,6)) AS critical_threshold, direction, TRUE AS enabled
+               CAST(c AS DECIMAL(18,6)) AS critical_threshold, direction, TRUE AS enabled,
+               'seed' AS last_updated_by
            FROM (VALUES (1, 'monthly_churn_rate', 0.06, 0.10, 'ABOVE'),
                (2, 'mrr_drop_pct', -0.05, -0.10, 'BELOW'), (3, 'avg_risk_score', 50, 70, 'ABOVE'),
                (4, 'failed_payment_rate', 0.08, 0.15, 'ABOVE'))
@@ -241,18 +233,17 @@ CTES = {
                     ELSE 'OK' END AS severity
            FROM metrics JOIN thresholds USING (metric_name)""",
     ),
+    # The CSV loads: all but the newest month, then that month.
     "runs": (
         ["stg"],
-        f"""SELECT row_number() OVER (ORDER BY month) AS log_id,
-               CAST(month + INTERVAL 1 MONTH AS TIMESTAMP) + INTERVAL 3 HOURS AS run_ts,
-               'scheduler' AS triggered_by, 'fact_subscriptions' AS source_table,
-               if(known, n, 0) AS rows_loaded, if(known, 0, n) AS rows_rejected,
-               if(known, 'SUCCESS', 'FAILED') AS status,
-               if(known, NULL, 'rejected: month_outside_calendar') AS error_message,
-               CAST(NULL AS BIGINT) AS duration_ms
-           FROM (SELECT month, count(*) AS n,
-                     month BETWEEN DATE '{LOG_CALENDAR[0]}' AND DATE '{LOG_CALENDAR[1]}' AS known
-                 FROM stg GROUP BY month)""",
+        """SELECT log_id, triggered_by, 'fact_subscriptions' AS source_table, rows_loaded, rows_rejected,
+               if(rows_rejected > 0, 'PARTIAL', 'SUCCESS') AS status, CAST(NULL AS VARCHAR) AS error_message
+           FROM (SELECT 1 AS log_id, 'manual:close' AS triggered_by, count(*) FILTER (month < newest) AS rows_loaded,
+                     count(*) FILTER (month = newest) AS rows_rejected
+                 FROM stg, (SELECT max(month) AS newest FROM stg)
+                 UNION ALL
+                 SELECT 2, 'manual:reload', count(*) FILTER (month = newest), 0
+                 FROM stg, (SELECT max(month) AS newest FROM stg))""",
     ),
     "calendar": (
         ["stg"],
@@ -300,6 +291,9 @@ def _count(source):
     return f"(SELECT count(*) FROM {source})"
 
 
+_CALENDAR = [f"DATE '{month}'" for month in (S.CALENDAR_FIRST, S.CALENDAR_LAST)]
+_IN_CALENDAR = f"date_key = date_trunc('month', date_key) AND date_key BETWEEN {_CALENDAR[0]} AND {_CALENDAR[1]}"
+
 _REGION_MIX = """SELECT region, if(region = 'North America', 'N. America', region) AS region_label,
     CAST(sum(mrr) AS DECIMAL(28,2)) AS mrr FROM {source} GROUP BY region"""
 
@@ -310,14 +304,19 @@ BODIES = {
     "cohort_retention": (["cohorts"], "SELECT * FROM cohorts"),
     "accounts_at_risk": (["at_risk"], "SELECT * FROM at_risk"),
     "alerts": (["alerts"], "SELECT * FROM alerts"),
+    # The drop is a percentage, and is compared with the stored limits as they are.
     "active_alerts": (
-        ["alerts"],
-        """SELECT date_key, region, 'CHURN_SPIKE' AS alert_type, churn_rate AS metric_value,
-               if(churn_rate >= 0.10::DOUBLE, 'CRITICAL', 'WARNING') AS severity
-           FROM alerts WHERE churn_spike_flag AND date_key = (SELECT max(date_key) FROM alerts)
-           UNION ALL
-           SELECT date_key, region, 'REVENUE_DROP', mrr_change_pct, 'CRITICAL'
-           FROM alerts WHERE revenue_drop_flag AND date_key = (SELECT max(date_key) FROM alerts)""",
+        ["alerts", "thresholds"],
+        """SELECT date_key, region, alert_type, value AS metric_value,
+               CASE WHEN if(direction = 'ABOVE', value >= critical_threshold::DOUBLE,
+                            value <= critical_threshold::DOUBLE) THEN 'CRITICAL'
+                    WHEN if(direction = 'ABOVE', value >= warning_threshold::DOUBLE,
+                            value <= warning_threshold::DOUBLE) THEN 'WARNING' ELSE 'OK' END AS severity
+           FROM (SELECT date_key, region, 'CHURN_SPIKE' AS alert_type, 'monthly_churn_rate' AS metric_name,
+                     churn_rate AS value FROM alerts WHERE churn_spike_flag
+                 UNION ALL SELECT date_key, region, 'REVENUE_DROP', 'mrr_drop_pct', mrr_change_pct
+                 FROM alerts WHERE revenue_drop_flag)
+           JOIN thresholds USING (metric_name) WHERE date_key = (SELECT max(date_key) FROM alerts)""",
     ),
     "revenue_mix": (["mix"], "SELECT * FROM mix"),
     "health_signals": (
@@ -338,19 +337,19 @@ BODIES = {
         f"""SELECT customer_id, month, failed_payments, support_tickets, usage_score,
             {_score()} AS churn_risk_score FROM stg""",
     ),
-    "dim_plan": (
+    "plan_usage": (
         ["plans", "fact"],
         f"""SELECT plan_key, plan_name, tier_rank, CAST(base_price_usd AS DECIMAL(10,2)) AS base_price_usd,
                {_count("fact f WHERE f.plan_key = plans.plan_key")} AS account_months FROM plans""",
     ),
-    "dim_region": (
+    "region_usage": (
         ["fact"],
         f"""SELECT region_key, region_name, geo_cluster,
                {_count("fact WHERE region = region_name")} AS account_months
            FROM (VALUES (1, 'North America', 'AMER'), (2, 'EMEA', 'EMEA'), (3, 'APAC', 'APAC'),
                (4, 'LATAM', 'LATAM')) AS t(region_key, region_name, geo_cluster)""",
     ),
-    "alert_thresholds": (
+    "threshold_hits": (
         ["thresholds", "judged"],
         f"""SELECT *, {_count("judged j WHERE j.metric_name = thresholds.metric_name AND severity <> 'OK'")}
                AS values_reached FROM thresholds""",
@@ -366,49 +365,52 @@ BODIES = {
     "dim_customer": (["customers"], "SELECT * FROM customers"),
     "fact_subscriptions": (["fact"], "SELECT * EXCLUDE (plan_name) FROM fact"),
     "fact_orphans": (
-        ["fact"],
+        ["fact", "customers", "plans"],
         _counts(
-            customer_key=0,
-            plan_key=_count("fact WHERE plan_name = 'Starter'"),
-            date_key=_count(
-                f"fact WHERE date_key NOT BETWEEN DATE '{LOG_CALENDAR[0]}' AND DATE '{LOG_CALENDAR[1]}'"
-            ),
+            customer_key=_count("fact f WHERE NOT EXISTS (FROM customers c WHERE c.customer_key = f.customer_key)"),
+            plan_key=_count("fact WHERE plan_key NOT IN (SELECT plan_key FROM plans)"),
+            date_key=_count(f"fact WHERE NOT ({_IN_CALENDAR})"),
         ),
     ),
     "constraint_violations": (
         ["fact", "customers", "runs", "thresholds"],
         _counts(
             fact_domains=_count(
-                "fact WHERE churn_flag NOT IN (0, 1) OR active_flag NOT IN (0, 1)"
-                " OR usage_score NOT BETWEEN 0 AND 1 OR monthly_revenue IS NULL"
+                "fact WHERE NOT coalesce(churn_flag IN (0, 1) AND active_flag IN (0, 1) AND usage_score BETWEEN 0 AND 1"
+                " AND len(list_filter([customer_key::VARCHAR, date_key::VARCHAR, plan_key::VARCHAR,"
+                " monthly_revenue::VARCHAR, region, segment, support_tickets::VARCHAR, failed_payments::VARCHAR],"
+                " lambda x: x IS NULL)) = 0, FALSE)"
             ),
+            fact_account_month=_count("(FROM fact SELECT customer_key GROUP BY customer_key, date_key HAVING count(*) > 1)"),
+            customer_id=_count("(FROM customers SELECT customer_id GROUP BY customer_id HAVING count(*) > 1)"),
             log_status=_count("runs WHERE status NOT IN ('SUCCESS', 'FAILED', 'PARTIAL')"),
+            log_id="(SELECT count(*) - count(DISTINCT log_id) FROM runs)",
             threshold_direction=_count("thresholds WHERE direction NOT IN ('ABOVE', 'BELOW')"),
-            customer_id="(SELECT count(*) - count(DISTINCT customer_id) FROM customers)",
-            fact_account_month="(SELECT count(*) - count(DISTINCT (customer_key, date_key)) FROM fact)",
             metric_name="(SELECT count(*) - count(DISTINCT metric_name) FROM thresholds)",
-        ),
+            refused_rows="(SELECT sum(rows_rejected) FROM runs)",
+        )
+        .replace("AS table_name", "AS constraint_name")
+        .replace("AS row_count", "AS violations"),
     ),
     "fact_rows_json": (["fact"], """SELECT '{"fact_rows":' || count(*) || '}' AS result FROM fact"""),
     "load_rejects": (
+        ["runs"],
+        "SELECT 'month_outside_calendar' AS reject_reason, rows_rejected FROM runs WHERE rows_rejected > 0",
+    ),
+    "load_audit": (
         ["stg"],
-        f"""SELECT reject_reason, count(*) AS rows_rejected FROM (
-               SELECT CASE WHEN region IS NULL THEN 'missing_value'
-                   WHEN churn_flag NOT IN (0, 1) THEN 'flag_not_0_or_1'
-                   WHEN usage_score > 1 THEN 'usage_out_of_range'
-                   WHEN plan_type NOT IN ('Starter', 'Growth', 'Enterprise', 'Enterprise Plus')
-                       THEN 'unknown_plan'
-                   WHEN month NOT BETWEEN DATE '{REJECT_CALENDAR[0]}' AND DATE '{REJECT_CALENDAR[1]}'
-                       THEN 'month_outside_calendar' END AS reject_reason
-               FROM (SELECT region, churn_flag, usage_score, plan_type, month FROM stg
-                     UNION ALL SELECT region, churn_flag, usage_score, plan_type, CAST(month AS DATE)
-                     FROM (VALUES {_rows(BAD_ROWS)}) AS b(customer_id, month, region, plan_type, channel,
-                         segment, revenue, churn_flag, active_flag, usage_score, tickets, failed)))
-           WHERE reject_reason IS NOT NULL GROUP BY reject_reason""",
+        """SELECT 1 AS log_id, 'scheduler' AS triggered_by, 'fact_subscriptions' AS source_table,
+               count(*) AS rows_loaded, 0 AS rows_rejected, 'SUCCESS' AS status,
+               CAST(NULL AS VARCHAR) AS error_message FROM stg""",
     ),
     "load_rerun_counts": (
-        ["customers", "fact"],
-        _counts(dim_customer=_count("customers"), fact_subscriptions=_count("fact"), refresh_log=2),
+        ["customers", "fact", "runs"],
+        _counts(
+            dim_customer=_count("customers"),
+            fact_subscriptions=_count("fact"),
+            refresh_log=_count("runs"),
+            stg_rejects="(SELECT sum(rows_rejected) FROM runs)",
+        ),
     ),
     "fact_by_natural_id": (
         ["fact", "customers"],
@@ -417,29 +419,24 @@ BODIES = {
     ),
     "refresh_log_recent": (
         ["runs"],
-        """SELECT * EXCLUDE (run_ts), strftime(run_ts, '%Y-%m-%d %H:%M') AS run_minute,
-               if(status = 'SUCCESS', format('{:,}', rows_loaded) || ' rows', coalesce(error_message, status)) AS detail
+        """SELECT *, if(status = 'SUCCESS', format('{:,}', rows_loaded) || ' rows', coalesce(error_message, status)) AS detail
            FROM runs ORDER BY log_id DESC LIMIT 10""",
     ),
     "refresh_log_latest": (
         ["runs"],
-        """SELECT triggered_by, source_table, rows_loaded, status, duration_ms
+        """SELECT triggered_by, source_table, rows_loaded, status
            FROM runs ORDER BY log_id DESC LIMIT 1""",
     ),
-    "refresh_log_retained": (
-        ["runs"],
-        """SELECT log_id, strftime(run_ts, '%Y-%m-%d %H:%M') AS run_minute, rows_loaded, rows_rejected, status
-           FROM runs WHERE run_ts >= (SELECT max(run_ts) FROM runs) - INTERVAL 90 DAYS""",
-    ),
+    "refresh_log_retained": (["runs"], "SELECT * FROM runs"),
     "table_counts": (
-        ["customers", "calendar", "fact", "stg", "runs"],
+        ["customers", "plans", "fact", "stg"],
         _counts(
             dim_customer=_count("customers"),
-            dim_plan=4,
-            dim_date=_count("calendar"),
+            dim_plan=_count("plans"),
+            dim_date=f"(SELECT date_diff('month', {_CALENDAR[0]}, {_CALENDAR[1]}) + 1)",
             fact_subscriptions=_count("fact"),
             stg_subscriptions=_count("stg"),
-            refresh_log=_count("runs"),
+            refresh_log=1,
         ),
     ),
     "published_alerts": (["alerts"], "SELECT * FROM alerts"),

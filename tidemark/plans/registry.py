@@ -10,36 +10,25 @@ temporary folder of its own.
 import tempfile
 import threading
 import time
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import anon_id, risk_score
 from tidemark.operators import alerting, audit, constraints, dashboard, security
 from tidemark.operators import fact as facts
 from tidemark.plans import load
-from tidemark.plans.suite import Suite, fetch_view, publish
+from tidemark.plans.suite import StoredSuite, Suite, fetch_view, publish
 from tidemark.session import pin_runtime
 from tidemark.sources import orders, seeds, staging, warehouse
 
 # Fixed inputs of single queries; plans.oracle uses the same values.
-LOG_CALENDAR = ("1995-01-01", "2001-05-01")
-REJECT_CALENDAR = ("1996-01-01", "2001-07-01")
 ANALYST = "bi_analyst_emea"
 ANALYST_REGION = "EMEA"
-# One bad row per rule that the order tables cannot violate by themselves.
-BAD_ROWS = [
-    ("CUST_BAD000000001", "2000-01-01", "EMEA", "Platinum", "Partner", "SMB", 10, 0, 1, 0.5, 0, 0),
-    ("CUST_BAD000000002", "2000-01-01", "EMEA", "Growth", "Partner", "Mid-Market", 10, 2, 1, 0.5, 0, 0),
-    ("CUST_BAD000000003", "2000-01-01", "EMEA", "Growth", "Partner", "Mid-Market", 10, 0, 1, 1.2, 0, 0),
-    ("CUST_BAD000000004", "2000-01-01", None, "Growth", "Partner", "Mid-Market", 10, 0, 1, 0.5, 0, 0),
-]
-BAD_COLUMNS = (
-    "customer_id STRING, month DATE, region STRING, plan_type STRING, channel STRING, "
-    "segment STRING, monthly_revenue DECIMAL(18,2), churn_flag INT, active_flag INT, "
-    "usage_score DECIMAL(4,3), support_tickets INT, failed_payments INT"
-)
 
 _roots: dict[tuple, str] = {}
+_exports: set[str] = set()
 _lock = threading.RLock()
 
 
@@ -64,8 +53,9 @@ def new_warehouse(spark, sf_dir, label) -> warehouse.Warehouse:
 
 
 def _warehouse(spark, sf_dir, label, fill) -> warehouse.Warehouse:
-    """A warehouse filled once per application and folder."""
-    key = (spark.sparkContext.applicationId, str(sf_dir), label)
+    """A warehouse filled once per application and content of the folder."""
+    files = warehouse.listing(spark, [f"{sf_dir}/{name}.parquet" for name in orders.TABLES])
+    key = (spark.sparkContext.applicationId, files, label)
     with _lock:
         if key not in _roots:
             wh = new_warehouse(spark, sf_dir, label)
@@ -100,11 +90,20 @@ def stg_subscriptions(spark, sf_dir):
 
 
 def staging_from_csv(spark, sf_dir):
-    """Staging written as CSV with a header, read back with the declared schema."""
+    """Staging as a CSV with a header, read back as text and coerced."""
+    csv = _csv_of(spark, sf_dir)
+    return staging.coerce(staging.read_csv_text(spark, csv))
+
+
+def _csv_of(spark, sf_dir) -> str:
+    """The staging rows as CSV files, written once per warehouse."""
     wh = loaded_warehouse(spark, sf_dir)
-    path = f"{wh.root}/scratch/staging-csv-{time.time_ns()}"
-    staging.write_csv(wh.read(warehouse.STAGING), path)
-    return staging.coerce(staging.read_csv(spark, path))
+    path = f"{wh.root}/export/staging-csv"
+    with _lock:
+        if path not in _exports:
+            staging.write_csv(wh.read(warehouse.STAGING), path)
+            _exports.add(path)
+    return path
 
 
 def anon_customer_id(spark, sf_dir):
@@ -118,8 +117,8 @@ def risk_scores(spark, sf_dir):
     return _staged(spark, sf_dir).select(*inputs, risk_score().alias("churn_risk_score"))
 
 
-def dim_plan(spark, sf_dir):
-    """The plan list with the account-months on each plan."""
+def plan_usage(spark, sf_dir):
+    """Account-months on each plan."""
     used = _suite(spark, sf_dir).fact.groupBy("plan_key").agg(F.count("*").alias("n"))
     return (
         seeds.plans(spark)
@@ -129,8 +128,8 @@ def dim_plan(spark, sf_dir):
     )
 
 
-def dim_region(spark, sf_dir):
-    """The region list with the account-months in each region."""
+def region_usage(spark, sf_dir):
+    """Account-months in each region."""
     used = _suite(spark, sf_dir).fact.groupBy("region").agg(F.count("*").alias("n"))
     regions = seeds.regions(spark)
     return (
@@ -140,8 +139,8 @@ def dim_region(spark, sf_dir):
     )
 
 
-def alert_thresholds(spark, sf_dir):
-    """The threshold list with how many metric values reach the warning level."""
+def threshold_hits(spark, sf_dir):
+    """How many metric values reach the warning level of each stored threshold."""
     suite = _suite(spark, sf_dir)
     reached = (
         alerting.threshold_alerts(alerting.region_metrics(suite.fact), suite.thresholds)
@@ -151,12 +150,16 @@ def alert_thresholds(spark, sf_dir):
     return (
         suite.thresholds.join(reached, "metric_name", "left")
         .withColumn("values_reached", F.coalesce("n", F.lit(0)))
-        .drop("n")
+        .drop("n", "last_updated_at")
     )
 
 
 def dim_date(spark, sf_dir):
-    return seeds.calendar_of(_staged(spark, sf_dir))
+    """The stored calendar from the first to the last loaded month."""
+    wh = loaded_warehouse(spark, sf_dir)
+    loaded = wh.loads()
+    first, last = (loaded.select(edge("date_key")).scalar() for edge in (F.min, F.max))
+    return wh.read(warehouse.CALENDAR).filter(F.col("date_key").between(first, last))
 
 
 def dim_customer(spark, sf_dir):
@@ -167,33 +170,40 @@ def fact_subscriptions(spark, sf_dir):
     return _suite(spark, sf_dir).fact.drop("sub_key", "loaded_at")
 
 
-def load_rejects(spark, sf_dir):
-    """Rejects by reason for a calendar that starts late, and a few malformed rows."""
-    bad = seeds.values_table(spark, BAD_ROWS, BAD_COLUMNS).withColumn("cohort_month", F.col("month"))
-    rows = stg_subscriptions(spark, sf_dir).unionByName(bad)
-    calendar = seeds.calendar(spark, *REJECT_CALENDAR)
-    return staging.reject_counts(staging.classify(rows, seeds.plans(spark), calendar))
+def natural_warehouse(spark, sf_dir) -> warehouse.Warehouse:
+    """A warehouse loaded from the CSV, with assigned keys, as a monthly close goes.
 
+    Its calendar first ends with the last complete month, so rows of the running
+    month are refused and kept as rejects. Then the calendar is grown and the
+    file loaded again: only those rows are new.
+    """
 
-def load_audit(spark, sf_dir):
-    return loaded_warehouse(spark, sf_dir).read(warehouse.LOG)
+    def fill(wh):
+        stg = staging.coerce(staging.read_csv_text(spark, _csv_of(spark, sf_dir)))
+        size = warehouse.planned_bytes(stg)
+        span = _staged(spark, sf_dir).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+        span = span.withColumn("before", F.add_months("hi", -1)).first()
+        load.run(wh, stg, "manual:close", calendar=(span["lo"], span["before"]), input_bytes=size)
+        load.run(wh, stg, "manual:reload", calendar=(span["hi"], span["hi"]), input_bytes=size)
 
+    return _warehouse(spark, sf_dir, "natural", fill)
 
-def natural_warehouse(spark, sf_dir) -> warehouse.Warehouse:
-    """A warehouse loaded twice from 13-column staging, as from a CSV: keys are assigned."""
 
-    def fill(wh):
-        stg = stg_subscriptions(spark, sf_dir)
-        for _ in range(2):
-            load.run(wh, stg, "manual:rerun", input_bytes=warehouse.planned_bytes(stg))
+def load_rejects(spark, sf_dir):
+    """Refused rows of the CSV loads by reason."""
+    return staging.reject_counts(natural_warehouse(spark, sf_dir).read(warehouse.REJECTS))
 
-    return _warehouse(spark, sf_dir, "natural", fill)
+
+def load_audit(spark, sf_dir):
+    """What the load of the order tables wrote about itself."""
+    return audit.without_clock(loaded_warehouse(spark, sf_dir).read(warehouse.LOG))
 
 
 def load_rerun_counts(spark, sf_dir):
     """Row counts after loading the same rows twice."""
     wh = natural_warehouse(spark, sf_dir)
-    return audit.table_counts({t: wh.read(t) for t in (warehouse.CUSTOMERS, warehouse.FACT, warehouse.LOG)})
+    tables = (warehouse.CUSTOMERS, warehouse.FACT, warehouse.LOG, warehouse.REJECTS)
+    return audit.table_counts({t: wh.read(t) for t in tables})
 
 
 def fact_by_natural_id(spark, sf_dir):
@@ -206,26 +216,22 @@ def fact_by_natural_id(spark, sf_dir):
     )
 
 
-def _monthly_log(spark, sf_dir):
-    calendar = seeds.calendar(spark, *LOG_CALENDAR)
-    return audit.monthly_runs(staging.classify(_staged(spark, sf_dir), seeds.plans(spark), calendar))
+def _log(spark, sf_dir):
+    return natural_warehouse(spark, sf_dir).read(warehouse.LOG)
 
 
 def refresh_log_recent(spark, sf_dir):
-    return audit.recent(_monthly_log(spark, sf_dir))
+    return audit.recent(_log(spark, sf_dir)).drop("run_minute", "duration_ms")
 
 
 def refresh_log_latest(spark, sf_dir):
-    return audit.latest(_monthly_log(spark, sf_dir))
+    return audit.latest(_log(spark, sf_dir)).drop("duration_ms")
 
 
 def refresh_log_retained(spark, sf_dir):
-    log = _monthly_log(spark, sf_dir)
-    as_of = _staged(spark, sf_dir).select(
-        F.add_months(F.max("month"), 1).cast("timestamp") + F.expr("INTERVAL 3 HOURS")
-    )
-    kept = audit.retained(log, as_of.scalar())
-    return kept.select("log_id", audit.minute().alias("run_minute"), "rows_loaded", "rows_rejected", "status")
+    """The log rows that are kept as of the newest run."""
+    log = _log(spark, sf_dir)
+    return audit.without_clock(audit.retained(log, log.select(F.max("run_ts")).scalar()))
 
 
 def table_counts(spark, sf_dir):
@@ -234,41 +240,40 @@ def table_counts(spark, sf_dir):
         {
             "dim_customer": wh.read(warehouse.CUSTOMERS),
             "dim_plan": seeds.plans(spark),
-            "dim_date": dim_date(spark, sf_dir),
+            "dim_date": wh.read(warehouse.CALENDAR),
             "fact_subscriptions": wh.read(warehouse.FACT),
             "stg_subscriptions": wh.read(warehouse.STAGING),
-            "refresh_log": _monthly_log(spark, sf_dir),
+            "refresh_log": wh.read(warehouse.LOG),
         }
     )
 
 
 def fact_orphans(spark, sf_dir):
     """Fact rows without a customer, plan or calendar row."""
-    suite = _suite(spark, sf_dir)
+    wh = loaded_warehouse(spark, sf_dir)
+    suite = Suite.over(wh)
     checks = {
-        "customer_key": (suite.customers, "customer_key"),
-        "plan_key": (suite.plans.filter("plan_name <> 'Starter'"), "plan_key"),
-        "date_key": (seeds.calendar(spark, *LOG_CALENDAR), "date_key"),
+        "customer_key": suite.customers,
+        "plan_key": suite.plans,
+        "date_key": wh.read(warehouse.CALENDAR),
     }
-    return audit.table_counts(
-        {name: facts.orphans(suite.fact, dim, key) for name, (dim, key) in checks.items()}
-    )
+    return audit.table_counts({name: facts.orphans(suite.fact, dim, name) for name, dim in checks.items()})
 
 
 def constraint_violations(spark, sf_dir):
-    """Rows per declared constraint that break it: domains and unique keys."""
-    suite = _suite(spark, sf_dir)
-    log = _monthly_log(spark, sf_dir)
-    return audit.table_counts(
-        {
-            "fact_domains": constraints.outside(suite.fact, constraints.FACT_RULES),
-            "log_status": constraints.outside(log, constraints.LOG_RULES),
-            "threshold_direction": constraints.outside(suite.thresholds, constraints.THRESHOLD_RULES),
-            "customer_id": constraints.duplicates(suite.customers, "customer_id"),
-            "fact_account_month": constraints.duplicates(suite.fact, "customer_key", "date_key"),
-            "metric_name": constraints.duplicates(suite.thresholds, "metric_name"),
-        }
-    )
+    """Violations of each declared constraint, in stored tables and among what the loads refused."""
+    suite = Suite.over(natural_warehouse(spark, sf_dir))
+    wh = suite.wh
+    of = constraints.violations
+    refused = wh.read(warehouse.REJECTS).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("violations"))
+    parts = [
+        of(suite.fact, "fact_domains", constraints.FACT_RULES, "fact_account_month", "customer_key", "date_key"),
+        of(suite.customers, None, [], "customer_id", "customer_id"),
+        of(wh.read(warehouse.LOG), "log_status", constraints.LOG_RULES, "log_id", "log_id"),
+        of(suite.thresholds, "threshold_direction", constraints.THRESHOLD_RULES, "metric_name", "metric_name"),
+        refused.select(F.lit("refused_rows").alias("constraint_name"), "violations"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- views ------------------------------------------------------------------
@@ -283,6 +288,11 @@ def _of(build):
     return lambda spark, sf_dir: build(_suite(spark, sf_dir))
 
 
+def _stored(build):
+    """A dashboard query over the marts that the last load stored."""
+    return lambda spark, sf_dir: build(StoredSuite.over(loaded_warehouse(spark, sf_dir)))
+
+
 def published_alerts(spark, sf_dir):
     """The alert rows, read by view name in the view's order."""
     publish(_suite(spark, sf_dir), ["v_alerts"])
@@ -307,9 +317,9 @@ QUERIES = {
     "staging_from_csv": staging_from_csv,
     "anon_customer_id": anon_customer_id,
     "risk_score": risk_scores,
-    "dim_plan": dim_plan,
-    "dim_region": dim_region,
-    "alert_thresholds": alert_thresholds,
+    "plan_usage": plan_usage,
+    "region_usage": region_usage,
+    "threshold_hits": threshold_hits,
     "dim_date": dim_date,
     "dim_customer": dim_customer,
     "fact_subscriptions": fact_subscriptions,
@@ -325,33 +335,33 @@ QUERIES = {
     "refresh_log_retained": refresh_log_retained,
     "table_counts": table_counts,
     "published_alerts": published_alerts,
-    "latest_mrr_row": _of(lambda s: dashboard.latest_mrr_row(s.mrr)),
-    "overview_kpis": _of(lambda s: dashboard.overview_kpis(s.mrr, s.at_risk)),
-    "mrr_churn_trend": _of(lambda s: dashboard.mrr_churn_trend(s.mrr)),
-    "plan_mix_latest": _of(lambda s: dashboard.plan_mix(s.mix_latest)),
-    "region_mix_latest": _of(lambda s: dashboard.region_mix(s.mix_latest)),
-    "region_revenue_alltime": _of(lambda s: dashboard.region_mix(s.mix)),
-    "segment_stack": _of(lambda s: dashboard.segment_stack(s.drill_latest)),
-    "churn_by_region": _of(lambda s: dashboard.churn_by_region(s.drill_latest)),
-    "revenue_impact_top8": _of(lambda s: dashboard.revenue_impact(s.drill)),
-    "drilldown_kpis_all": _of(lambda s: dashboard.drilldown_kpis(s.drill)),
-    "drilldown_kpis_emea_growth": _of(
+    "latest_mrr_row": _stored(lambda s: dashboard.latest_mrr_row(s.mrr)),
+    "overview_kpis": _stored(lambda s: dashboard.overview_kpis(s.mrr, s.at_risk)),
+    "mrr_churn_trend": _stored(lambda s: dashboard.mrr_churn_trend(s.mrr)),
+    "plan_mix_latest": _stored(lambda s: dashboard.plan_mix(s.mix_latest)),
+    "region_mix_latest": _stored(lambda s: dashboard.region_mix(s.mix_latest)),
+    "region_revenue_alltime": _stored(lambda s: dashboard.region_mix(s.mix)),
+    "segment_stack": _stored(lambda s: dashboard.segment_stack(s.drill_latest)),
+    "churn_by_region": _stored(lambda s: dashboard.churn_by_region(s.drill_latest)),
+    "revenue_impact_top8": _stored(lambda s: dashboard.revenue_impact(s.drill)),
+    "drilldown_kpis_all": _stored(lambda s: dashboard.drilldown_kpis(s.drill)),
+    "drilldown_kpis_emea_growth": _stored(
         lambda s: dashboard.drilldown_kpis(s.drill, region="EMEA", plan_name="Growth")
     ),
-    "risk_tier_counts": _of(lambda s: dashboard.risk_tier_counts(s.at_risk)),
-    "risk_drivers": _of(lambda s: dashboard.risk_drivers(s.at_risk)),
-    "risk_by_segment": _of(lambda s: dashboard.risk_by_segment(s.at_risk)),
-    "risk_by_region": _of(lambda s: dashboard.risk_by_region(s.at_risk)),
-    "top_risk_accounts": _of(lambda s: dashboard.top_risk_accounts(s.at_risk)),
-    "cohort_heatmap": _of(lambda s: dashboard.cohort_heatmap(s.cohorts)),
-    "alert_feed": _of(lambda s: alerting.alert_feed(s.alerts)),
-    "alert_feed_severity": _of(lambda s: alerting.feed_severity(alerting.alert_feed(s.alerts))),
+    "risk_tier_counts": _stored(lambda s: dashboard.risk_tier_counts(s.at_risk)),
+    "risk_drivers": _stored(lambda s: dashboard.risk_drivers(s.at_risk)),
+    "risk_by_segment": _stored(lambda s: dashboard.risk_by_segment(s.at_risk)),
+    "risk_by_region": _stored(lambda s: dashboard.risk_by_region(s.at_risk)),
+    "top_risk_accounts": _stored(lambda s: dashboard.top_risk_accounts(s.at_risk)),
+    "cohort_heatmap": _stored(lambda s: dashboard.cohort_heatmap(s.cohorts)),
+    "alert_feed": _stored(lambda s: alerting.alert_feed(s.alerts)),
+    "alert_feed_severity": _stored(lambda s: alerting.feed_severity(alerting.alert_feed(s.alerts))),
     "rls_fact_region_totals": _restricted(lambda s: security.region_totals(s.fact)),
     "rls_mrr_monthly": _restricted(lambda s: s.mrr),
-    "top_risk_accounts_emea": _of(
+    "top_risk_accounts_emea": _stored(
         lambda s: security.analyst_top_risk(dashboard.top_risk_accounts(s.at_risk), ANALYST_REGION)
     ),
-    "mrr_latest_emea": _of(lambda s: security.region_mrr(s.mix_latest, ANALYST_REGION)),
+    "mrr_latest_emea": _stored(lambda s: security.region_mrr(s.mix_latest, ANALYST_REGION)),
     "threshold_alerts": _of(
         lambda s: alerting.threshold_alerts(alerting.region_metrics(s.fact), s.thresholds)
     ),

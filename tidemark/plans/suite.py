@@ -19,20 +19,29 @@ class Suite:
     plans: DataFrame
     thresholds: DataFrame
     wh: warehouse.Warehouse | None = None
+    # Months that were loaded, where known: the newest one without asking the fact.
+    months: DataFrame | None = None
 
     @classmethod
     def over(cls, wh: warehouse.Warehouse, thresholds=None, user=None, policy=None) -> "Suite":
         """The suite as one user sees it; without a user, everything."""
         spark = wh.spark
-        policy = seeds.region_policy(spark) if policy is None else policy
+        policy = wh.read(warehouse.POLICY) if policy is None else policy
         return cls(
             fact=security.visible_fact(wh.read(warehouse.FACT), policy, user),
             customers=wh.read(warehouse.CUSTOMERS),
             plans=seeds.plans(spark),
-            thresholds=seeds.thresholds(spark) if thresholds is None else thresholds,
+            thresholds=wh.read(warehouse.THRESHOLDS) if thresholds is None else thresholds,
             wh=wh,
+            # What one user sees may end in an earlier month than what was loaded.
+            months=wh.loads().filter("date_key IS NOT NULL AND rows > 0") if user is None else None,
         )
 
+    @property
+    def dated(self):
+        """A table whose newest ``date_key`` is the fact's."""
+        return self.fact if self.months is None else self.months
+
     @property
     def log(self):
         return self.wh and self.wh.get(warehouse.LOG)
@@ -48,7 +57,7 @@ class Suite:
     @cached_property
     def drill_latest(self):
         # The month filter passes the grouping and reaches the fact scan.
-        return marts.newest(self.drill, "month", self.fact)
+        return marts.newest(self.drill, "month", self.dated)
 
     @cached_property
     def cohorts(self):
@@ -56,7 +65,7 @@ class Suite:
 
     @cached_property
     def at_risk(self):
-        return marts.accounts_at_risk(self.fact, self.customers, self.plans)
+        return marts.accounts_at_risk(self.fact, self.customers, self.plans, self.dated)
 
     @cached_property
     def alerts(self):
@@ -72,13 +81,25 @@ class Suite:
 
     @cached_property
     def mix_latest(self):
-        return marts.newest(self.mix, "month", self.fact)
+        return marts.newest(self.mix, "month", self.dated)
 
     @cached_property
     def health(self):
         return marts.health_signals(self.fact)
 
 
+# Stored mart -> suite attribute.
+STORED_VIEWS = dict(zip(warehouse.MARTS, ("mrr", "drill", "cohorts", "at_risk", "alerts", "mix", "health")))
+
+
+class StoredSuite(Suite):
+    """The suite as its last load left it: marts are read, not computed."""
+
+
+for _table, _view in STORED_VIEWS.items():
+    setattr(StoredSuite, _view, property(lambda self, table=_table: self.wh.read(table)))
+
+
 # View name -> suite attribute and the order a reader gets by default.
 VIEWS = {
     "v_mrr_monthly": ("mrr", [("month", True)]),

@@ -75,6 +75,29 @@ REFRESH_LOG = T.StructType(
     ]
 )
 
+# A refused row: why, how often, and the row itself as JSON.
+REJECTS = T.StructType(
+    [
+        T.StructField("load_id", T.LongType()),
+        T.StructField("reject_reason", T.StringType()),
+        T.StructField("copies", T.LongType()),
+        T.StructField("row", T.StringType()),
+    ]
+)
+
+# What loads did, so that later ones need not ask the fact: a row when a load
+# begins, and one for each month it wrote (or one without a month) when it ends.
+LOADS = T.StructType(
+    [
+        T.StructField("load_id", T.LongType()),
+        T.StructField("phase", T.StringType()),
+        T.StructField("date_key", T.DateType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("top_sub_key", T.LongType()),
+        T.StructField("top_customer_key", T.LongType()),
+    ]
+)
+
 # ---- Fixed values: seed rows and domains ------------------------------------
 
 PLAN_COLUMNS = "plan_key INT, plan_name STRING, tier_rank INT, base_price_usd DECIMAL(10,2)"
@@ -111,7 +134,9 @@ POLICY_ROWS = [
 ]
 
 SEGMENTS = ["SMB", "Mid-Market", "Enterprise"]
-CHANNELS = ["Direct Sales", "Partner", "Self-Serve", "Marketplace"]
+
+# Months a new warehouse accepts; more by argument, never by what a batch holds.
+CALENDAR_FIRST, CALENDAR_LAST = "1990-01-01", "2039-12-01"
 
 HIGH_RISK = 70
 MEDIUM_RISK = 40

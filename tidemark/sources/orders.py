@@ -7,7 +7,6 @@ one row per calendar month - is joined and windowed by account. A single
 order or account with a third of all input rows therefore stays spread out.
 """
 
-from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -18,8 +17,8 @@ from tidemark import schemas as S
 from tidemark.functions import anon_id, segment_of_plan
 
 TABLES = ["orders", "lineitem", "customer", "nation", "region"]
-# The month that starts here holds a single day of orders.
-CUTOFF = date(2001, 8, 1)
+# An account counts as churned in a month if no order follows in this many months.
+CHURN_MONTHS = 12
 
 
 def account_attributes(customer, nation, region) -> DataFrame:
@@ -52,7 +51,7 @@ def account_attributes(customer, nation, region) -> DataFrame:
     )
 
 
-def account_months(orders, lineitem, until=CUTOFF) -> DataFrame:
+def account_months(orders, lineitem) -> DataFrame:
     """Revenue, returns, failed payments and usage per account and month."""
     lines = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("n_lines"),
@@ -61,8 +60,7 @@ def account_months(orders, lineitem, until=CUTOFF) -> DataFrame:
     )
     failed = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
     return (
-        orders.filter(F.col("o_orderdate") < F.lit(until))
-        .join(lines, "o_orderkey", "left")
+        orders.join(lines, "o_orderkey", "left")
         .groupBy(
             F.col("o_custkey").alias("customer_key"),
             F.trunc("o_orderdate", "MM").alias("month"),
@@ -77,41 +75,33 @@ def account_months(orders, lineitem, until=CUTOFF) -> DataFrame:
     )
 
 
-def staging(orders, lineitem, customer, nation, region, until=CUTOFF, buckets=None) -> DataFrame:
-    """The 13 staging columns plus the source's own ``customer_key``.
+def staging(orders, lineitem, customer, nation, region, churn_months=CHURN_MONTHS, buckets=None) -> DataFrame:
+    """The 13 staging columns plus the source's own ``customer_key``; every account-month stays.
+
+    Churn is what the orders show: no order of the account in the ``churn_months``
+    after the month. Months whose following ``churn_months`` are not all in the
+    data yet are not churned. An account may come back later.
 
     ``buckets`` fixes the hash partitioning by account that the join and the
     window need anyway, so that the result can be written in that many
     buckets without another shuffle.
     """
     usage_mils = F.coalesce(F.expr("(units * 20) div nullif(n_lines, 0)"), F.lit(0))
-    limit = (
-        F.when(F.col("plan_type") == "Starter", 60)
-        .when(F.col("plan_type") == "Growth", 40)
-        .when(F.col("plan_type") == "Enterprise", 20)
-        .otherwise(10)
-        + F.when(F.col("tickets") > 3, 40).otherwise(0)
-        + F.when(F.col("failed") > 0, 60).otherwise(0)
-        + F.when(F.col("usage_mils") < 300, 30).otherwise(0)
-    )
-    month_no = (F.year("month") * 12 + F.month("month")).cast("bigint")
-    draw = (F.col("customer_key") * 7919 + month_no * 613) % 1000
+    last = orders.select(F.trunc(F.max("o_orderdate"), "MM")).scalar()
     by_account = W.partitionBy("customer_key")
-    months = account_months(orders, lineitem, until)
+    next_month = F.lead("month").over(by_account.orderBy("month"))
+    horizon = F.add_months("month", churn_months)
+    months = account_months(orders, lineitem)
     if buckets:
         months = months.repartition(buckets, "customer_key")
     return (
-        months.join(account_attributes(customer, nation, region), "customer_key")
+        months.join(account_attributes(customer, nation, region), "customer_key", "left")
         .withColumn("usage_mils", usage_mils)
-        .withColumn("churn_flag", F.when(draw < limit, 1).otherwise(0))
-        .withColumn("churn_month", F.when(F.col("churn_flag") == 1, F.col("month")))
-        .withColumns(
-            {
-                "cohort_month": F.min("month").over(by_account),
-                "left_in": F.min("churn_month").over(by_account),
-            }
+        .withColumns({"cohort_month": F.min("month").over(by_account), "next_month": next_month})
+        .withColumn(
+            "churn_flag",
+            F.when((horizon <= last) & (F.col("next_month").isNull() | (F.col("next_month") > horizon)), 1).otherwise(0),
         )
-        .filter(F.col("left_in").isNull() | (F.col("month") <= F.col("left_in")))
         .select(
             "customer_id",
             "month",

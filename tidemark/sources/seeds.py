@@ -38,7 +38,12 @@ def regions(spark) -> DataFrame:
 
 
 def thresholds(spark) -> DataFrame:
-    return values_table(spark, S.THRESHOLD_ROWS, S.THRESHOLD_COLUMNS)
+    """The alert thresholds a new warehouse starts with; who changes them says so in the last two columns."""
+    return (
+        values_table(spark, S.THRESHOLD_ROWS, S.THRESHOLD_COLUMNS)
+        .withColumn("last_updated_by", F.lit("seed"))
+        .withColumn("last_updated_at", F.current_timestamp())
+    )
 
 
 def region_policy(spark) -> DataFrame:

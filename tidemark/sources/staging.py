@@ -20,6 +20,11 @@ def read_csv(spark, path) -> DataFrame:
     return spark.read.schema(S.STAGING).options(**CSV_OPTIONS).csv(path)
 
 
+def read_csv_text(spark, path) -> DataFrame:
+    """The same file with every column as text, for ``coerce``."""
+    return spark.read.schema(", ".join(f"{c} STRING" for c in COLUMNS)).options(**CSV_OPTIONS).csv(path)
+
+
 def write_csv(df: DataFrame, path) -> None:
     df.select(*COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
@@ -32,8 +37,8 @@ def coerce(df: DataFrame) -> DataFrame:
 def classify(stg: DataFrame, plans: DataFrame, calendar: DataFrame) -> DataFrame:
     """Adds ``plan_key`` and ``reject_reason``; a NULL reason marks a good row.
 
-    Both lookups are against tables whose size the planner knows (plans,
-    months), so the staging rows are not shuffled.
+    Neither lookup shuffles the staging rows: plans are literal rows, and the
+    calendar is broadcast, a date for each month of a span set by argument.
     """
     known_plans = plans.select(F.col("plan_name").alias("plan_type"), "plan_key")
     known_months = calendar.select(F.col("date_key").alias("month"), F.lit(True).alias("in_calendar"))
@@ -49,15 +54,40 @@ def classify(stg: DataFrame, plans: DataFrame, calendar: DataFrame) -> DataFrame
     )
     return (
         stg.join(known_plans, "plan_type", "left")
-        .join(known_months, "month", "left")
+        .join(F.broadcast(known_months), "month", "left")
         .withColumn("reject_reason", reason)
         .drop("in_calendar")
     )
 
 
-def reject_counts(classified: DataFrame) -> DataFrame:
-    return (
-        classified.filter(F.col("reject_reason").isNotNull())
-        .groupBy("reject_reason")
-        .agg(F.count("*").alias("rows_rejected"))
+def one_per_account_month(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, refused): one row per customer id and month, the smallest, and the others.
+
+    Equal rows are counted first, by a hash aggregation with a map-side part, so
+    a row repeated in a third of the input travels as one. ``refused`` has the
+    number of refused ``copies``.
+    """
+    keys = ["customer_id", "month"]
+    rest = [c for c in good.columns if c not in (*keys, "reject_reason")]
+    counted = good.groupBy(*keys, *rest).agg(F.count("*").alias("copies"))
+    first = counted.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("first"))
+    kept_copy = F.when(F.struct(*rest) == F.col("first"), 1).otherwise(0)
+    refused = counted.join(first, keys).withColumn("copies", F.col("copies") - kept_copy)
+    return first.select(*keys, "first.*"), refused.filter("copies > 0").drop("first")
+
+
+def reject_rows(rows: DataFrame, load_id: int, reason=None) -> DataFrame:
+    """Rows as they are kept in the table of rejects."""
+    values = [c for c in rows.columns if c not in ("reject_reason", "copies", "plan_key")]
+    copies = F.col("copies") if "copies" in rows.columns else F.lit(1)
+    return rows.select(
+        F.lit(load_id).cast("bigint").alias("load_id"),
+        (F.col("reject_reason") if reason is None else F.lit(reason)).alias("reject_reason"),
+        copies.cast("bigint").alias("copies"),
+        F.to_json(F.struct(*values)).alias("row"),
     )
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """Refused rows by reason, from the stored rejects."""
+    return rejects.groupBy("reject_reason").agg(F.sum("copies").alias("rows_rejected"))

@@ -1,19 +1,18 @@
 """Stored tables: where they live and how they are laid out.
 
-``fact_subscriptions`` and ``dim_customer`` are bucketed by ``customer_key``
-into the same number of buckets, and fact buckets are sorted by month:
+``fact_subscriptions`` is partitioned by month and, like ``dim_customer``,
+bucketed by ``customer_key`` into the same number of buckets:
 
 * joins, distinct counts and windows keyed by customer need no shuffle;
-* a filter on the latest month skips row groups by their statistics.
+* a filter on months opens the files of those months only.
 
-Staging is bucketed the same way where its rows carry the key already; the
-load then builds dimension and fact from it without a shuffle.
+A customer has one row a month, which the load enforces, so no bucket can grow
+hot: its size is a number of customers times a number of months. Staging is
+bucketed the same way where its rows carry the key already; the load then builds
+dimension and fact from it without a shuffle.
 
-A bucket is read by one task, so a customer holding a large part of the rows
-would make one slow task. ``has_hot_bucket`` looks for that in every batch
-whose source does not rule it out. Such data is stored without buckets
-(``drop_buckets`` for tables that have some already), and readers shuffle it
-after partial aggregation instead.
+A replaced table is written beside the old one and the folders are swapped, so a
+driver lost on the way leaves the old rows or the new ones.
 """
 
 import hashlib
@@ -24,28 +23,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tidemark import schemas as S
+from tidemark.sources import seeds
+
 FACT = "fact_subscriptions"
 CUSTOMERS = "dim_customer"
+CALENDAR = "dim_date"
 STAGING = "stg_subscriptions"
+THRESHOLDS = "alert_thresholds"
+POLICY = "rls_region_policy"
 LOG = "refresh_log"
-
-AREAS = {FACT: "core", CUSTOMERS: "core", STAGING: "core", LOG: "audit"}
+REJECTS = "stg_rejects"
+LOADS = "load_state"
+MARTS = ("mart_mrr", "mart_drill", "mart_cohorts", "mart_at_risk", "mart_alerts", "mart_mix", "mart_health")
+
+AREAS = {
+    **dict.fromkeys((FACT, CUSTOMERS, CALENDAR, STAGING, THRESHOLDS, POLICY), "core"),
+    **dict.fromkeys((LOG, REJECTS, LOADS), "audit"),
+    **dict.fromkeys(MARTS, "mart"),
+}
 SORT_KEYS = {FACT: "date_key", CUSTOMERS: "customer_key", STAGING: "month"}
+PARTITIONS = {FACT: "date_key"}
 LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
 
-# Input per bucket. Facts are a few percent of the order data they come from,
-# so this leaves bucket files of roughly 100 to 200 MB.
-BUCKET_BYTES = 4 << 30
-MAX_BUCKETS = 50_000
-# A bucket is hot when it is this many times the mean, and large at all.
-SKEW_FACTOR = 4.0
-HOT_ROWS = 1_000_000
+# Input per bucket. Facts are a few percent of the order data they come from: a
+# bucket is about 1 GB over all months, and its file of one month 10 to 20 MB.
+BUCKET_BYTES = 32 << 30
 
 
 def bucket_count(spark, input_bytes: int) -> int:
     """Buckets of about ``BUCKET_BYTES`` of input, at least one per core."""
-    wanted = math.ceil(input_bytes / BUCKET_BYTES)
-    return max(spark.sparkContext.defaultParallelism, min(wanted, MAX_BUCKETS))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(input_bytes / BUCKET_BYTES))
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -53,21 +61,25 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def has_hot_bucket(df: DataFrame, key: str, buckets: int) -> bool:
-    """Whether one hash bucket would hold far more rows than the others."""
-    per_bucket = df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count()
-    row = per_bucket.agg(F.max("count").alias("top"), F.sum("count").alias("total")).first()
-    top, total = row["top"] or 0, row["total"] or 0
-    return top > HOT_ROWS and top > SKEW_FACTOR * total / buckets
+def listing(spark, paths) -> tuple:
+    """Names, sizes and times of the files under paths: equal listings mean equal input."""
+    found = []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def co_locate(df: DataFrame, buckets: int) -> DataFrame:
-    """Hashes rows the way bucket files are; without buckets, rows stay where they are."""
-    return df.repartition(buckets, "customer_key") if buckets else df
+    """Hashes rows the way bucket files are."""
+    return df.repartition(buckets, "customer_key")
 
 
 class Warehouse:
-    """Tables under one root folder on shared storage.
+    """Tables under one root folder on shared storage. One load at a time.
 
     ``buckets`` is the layout asked for; ``fix_layout`` records the one used,
     which later loads and applications then keep.
@@ -90,7 +102,7 @@ class Warehouse:
         return f"tidemark_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{table}"
 
     def layout(self) -> int | None:
-        """Buckets of the keyed tables, 0 for none; None before the first load."""
+        """Buckets of the keyed tables; None before the first load."""
         try:
             row = self.spark.read.schema(LAYOUT).parquet(f"{self.root}/audit/layout").first()
         except AnalysisException as e:
@@ -104,33 +116,47 @@ class Warehouse:
         one.write.mode("overwrite").parquet(f"{self.root}/audit/layout")
         return buckets
 
-    def drop_buckets(self) -> None:
-        """Treats the keyed tables as plain from now on; files with buckets are valid plain files."""
-        self.fix_layout(0)
-        for table in SORT_KEYS:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+    # ---- tables -------------------------------------------------------------
+
+    def _folders(self, *paths):
+        """(file system, Hadoop paths)."""
+        made = [self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+        return made[0].getFileSystem(self.spark._jsc.hadoopConfiguration()), made
 
     def _reopen(self, table: str) -> bool:
         """Puts files written by an earlier application into this one's catalog."""
+        fs, (now, old) = self._folders(self.path(table), f"{self.path(table)}.old")
+        if not fs.exists(now):
+            if not fs.exists(old):
+                return False
+            fs.rename(old, now)  # a driver was lost in the middle of a swap
         try:
             fields = self.spark.read.parquet(self.path(table)).schema
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            if "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return False
             raise
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        parted = f"PARTITIONED BY ({PARTITIONS[table]})" if table in PARTITIONS else ""
         buckets = self.layout() if table in SORT_KEYS else 0
+        if buckets and table == STAGING and "customer_key" not in fields.fieldNames():
+            buckets = 0
         clustered = (
-            f"CLUSTERED BY (customer_key) SORTED BY ({SORT_KEYS[table]}) INTO {buckets} BUCKETS"
-            if buckets
-            else ""
+            f"CLUSTERED BY (customer_key) SORTED BY ({self._sort(table)}) INTO {buckets} BUCKETS" if buckets else ""
         )
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) USING parquet "
-            f"{clustered} LOCATION '{self.path(table)}'"
+            f"{parted} {clustered} LOCATION '{self.path(table)}'"
         )
+        if parted:
+            self.spark.sql(f"MSCK REPAIR TABLE {self._name(table)}")
         return True
 
+    @staticmethod
+    def _sort(table: str) -> str:
+        # Within a partition the partition column is constant.
+        return "customer_key" if table in PARTITIONS else SORT_KEYS[table]
+
     def get(self, table: str) -> DataFrame | None:
         """The table, or None before its first write."""
         name = self._name(table)
@@ -150,25 +176,79 @@ class Warehouse:
             raise LookupError(f"{table} has not been loaded under {self.root}")
         return df
 
-    def _save(self, writer, table: str) -> DataFrame:
-        writer.option("path", self.path(table)).format("parquet").saveAsTable(self._name(table))
-        return self.read(table)
+    def _write(self, writer, table: str, buckets: int, suffix: str = "") -> None:
+        if table in PARTITIONS:
+            writer = writer.partitionBy(PARTITIONS[table])
+        if buckets:
+            writer = writer.bucketBy(buckets, "customer_key").sortBy(self._sort(table))
+        writer.option("path", self.path(table) + suffix).format("parquet").saveAsTable(
+            self._name(table) + suffix.replace(".", "_")
+        )
 
     def replace(self, df: DataFrame, table: str, buckets: int = 0) -> DataFrame:
-        """Overwrites a table."""
-        return self._save(self._bucketed(df.write.mode("overwrite"), table, buckets), table)
+        """Swaps in a table written beside the old one; ``df`` may read the old one."""
+        beside = f"{self._name(table)}_next"
+        self.spark.sql(f"DROP TABLE IF EXISTS {beside}")
+        fs, (now, new, old) = self._folders(self.path(table), f"{self.path(table)}.next", f"{self.path(table)}.old")
+        fs.delete(new, True)
+        self._write(df.write.mode("overwrite"), table, buckets, ".next")
+        self.spark.sql(f"DROP TABLE {beside}")  # external: the files stay
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+        if fs.exists(now):
+            fs.delete(old, True)
+            fs.rename(now, old)
+        fs.rename(new, now)
+        fs.delete(old, True)
+        return self.read(table)
 
     def append(self, df: DataFrame, table: str, buckets: int = 0) -> DataFrame:
         """Appends rows. For buckets, ``df`` is hashed by ``co_locate`` or read from such a table."""
-        return self._save(self._bucketed(df.write.mode("append"), table, buckets), table)
-
-    def _bucketed(self, writer, table: str, buckets: int):
-        if not buckets:
-            return writer
-        return writer.bucketBy(buckets, "customer_key").sortBy(SORT_KEYS[table])
+        self.get(table)
+        self._write(df.write.mode("append"), table, buckets)
+        return self.read(table)
 
     def scratch(self, df: DataFrame, name: str) -> DataFrame:
         """A written intermediate: cuts lineage and fixes non-deterministic columns."""
         path = f"{self.root}/scratch/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    # ---- domains and state --------------------------------------------------
+
+    def prepare(self, calendar=None) -> None:
+        """Seeds the small tables once, and grows the calendar to hold months (first, last)."""
+        for table, seed in ((THRESHOLDS, seeds.thresholds), (POLICY, seeds.region_policy)):
+            if self.get(table) is None:
+                self.append(seed(self.spark).coalesce(1), table)
+        known = self.get(CALENDAR)
+        if known is None:
+            first, last = calendar or (S.CALENDAR_FIRST, S.CALENDAR_LAST)
+            self.append(seeds.calendar(self.spark, first, last).coalesce(1), CALENDAR)
+        elif calendar:
+            more = seeds.calendar(self.spark, *calendar).join(known.select("date_key"), "date_key", "left_anti")
+            if not more.isEmpty():
+                self.append(more.coalesce(1), CALENDAR)
+
+    def loads(self) -> DataFrame:
+        """One row per load and month written, and the phases of loads; a few rows a load."""
+        state = self.get(LOADS)
+        return self.spark.createDataFrame([], S.LOADS) if state is None else state
+
+    def note_load(self, rows: DataFrame) -> None:
+        self.append(rows.select(*S.LOADS.fieldNames()).coalesce(1), LOADS)
+
+    def ceilings(self) -> tuple[int, int, int]:
+        """(last load id, highest fact key, highest customer key).
+
+        From the loads' own notes. If a load began and never ended, its keys may
+        be in the tables without a note, and the tables are asked.
+        """
+        state = self.loads()
+        top = state.agg(F.max("load_id").alias("n"), F.max("top_sub_key").alias("f"), F.max("top_customer_key").alias("c")).first()
+        ended = state.filter("phase = 'ended'").select("load_id")
+        if not state.join(ended, "load_id", "left_anti").isEmpty():
+            found = [self.get(FACT), self.get(CUSTOMERS)]
+            keys = [None if t is None else t.agg(F.max(k)).first()[0] for t, k in zip(found, ("sub_key", "customer_key"))]
+        else:
+            keys = [top["f"], top["c"]]
+        return top["n"] or 0, keys[0] or 0, keys[1] or 0

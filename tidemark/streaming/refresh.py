@@ -9,15 +9,16 @@ rows, because the load skips what the fact already holds.
 from tidemark import schemas as S
 from tidemark.plans import load
 from tidemark.sources.staging import CSV_OPTIONS
-from tidemark.sources.warehouse import Warehouse
+from tidemark.sources.warehouse import LOG, Warehouse, planned_bytes
 
 
 def refresh(wh, inbox, checkpoint, run_by="scheduler", calendar=None):
-    """Loads all new CSV files in ``inbox`` and returns when they are done."""
+    """Loads all new CSV files in ``inbox``, drops expired log rows, and returns when done."""
 
     def load_batch(batch, _batch_id):
         # A micro-batch lives in its own session.
-        load.run(Warehouse(batch.sparkSession, wh.root, wh.buckets), batch, run_by, calendar)
+        there = Warehouse(batch.sparkSession, wh.root, wh.buckets)
+        load.run(there, batch, run_by, calendar, input_bytes=planned_bytes(batch))
 
     query = (
         wh.spark.readStream.schema(S.STAGING)
@@ -30,4 +31,6 @@ def refresh(wh, inbox, checkpoint, run_by="scheduler", calendar=None):
     )
     query.awaitTermination()
     wh.forget_listings()
+    if wh.get(LOG) is not None:
+        load.purge_log(wh)
     return query
