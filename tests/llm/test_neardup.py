@@ -103,10 +103,26 @@ def test_registers_estimate_probability_jaccard():
 def test_pairs_are_linear_in_a_bucket(spark):
     members = spark.range(1000).selectExpr("1L AS bucket", "hash(id) * 1L AS order", "id AS part", "id AS node", "id % 7 AS weight")
     assert neardup.star_pairs(members).count() == 999
-    assert neardup.central_pairs(members).count() == 999
-    assert neardup.neighbour_pairs(members.repartition(3), 1).count() <= 999
+    pairs, centres = neardup.central_pairs(members)
+    assert pairs.count() == 999 and centres.count() == 1
+    again, others = neardup.central_pairs(members, centres)
+    assert again.count() == 999 and others.first().part != centres.first().part
+    near = neardup.neighbour_pairs(members.repartition(3), 1)
+    assert near.count() <= 999 * neardup.NEIGHBOURS
     one = members.withColumn("part", F.lit(5))
-    assert neardup.central_pairs(one).count() == neardup.neighbour_pairs(one, 1).count() == 0
+    assert neardup.central_pairs(one)[0].count() == neardup.neighbour_pairs(one, 1).count() == 0
+
+
+def test_neighbours_across_batches():
+    """Pairs within reach of each other, each once, however the rows are cut into frames."""
+    import pandas as pd
+
+    rows = pd.DataFrame({"bucket": [1] * 9 + [2] * 4, "part": range(13), "node": range(13)})
+    want = {(i, j) for i in range(13) for j in range(i + 1, min(13, i + 1 + neardup.NEIGHBOURS)) if (i < 9) == (j < 9)}
+    for size in (1, 2, 3, 5, 13):
+        frames = [rows[k : k + size] for k in range(0, 13, size)]
+        got = [tuple(p) for f in neardup._side_by_side(iter(frames)) for p in f.to_numpy().tolist()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_components_of_a_long_chain(spark):

@@ -12,12 +12,12 @@ Jaccard similarity of the two shingle sets is at least the threshold.
 
 Scale. Texts with equal words are one node from the start, so copies cost nothing
 later. A bucket never yields all its pairs, at most as many a round as it has
-members. First each member is paired with the bucket's centre; verified links are
-merged into components. Then members are paired with the bucket's weightiest text,
-the likely origin of the others, where that is in another component. Then, in
-rounds, members are sorted by bucket and by their further registers, which puts
-the most similar ones side by side, and neighbours of different components are
-paired, until a round merges nothing. Pairs, links and components stay
+members, or a small multiple. First each member is paired with the bucket's centre;
+verified links are merged into components. Then members are paired with the
+bucket's weightiest text of another component, the likely origin of others, and
+with the next component's. Then, in rounds, members are sorted by bucket and by
+their further registers, which puts the most similar ones side by side, and near
+neighbours of different components are paired, until a round merges nothing. Pairs, links and components stay
 distributed, texts are not shuffled, and every step is stored in the shared folder.
 
 Cases: null and empty texts, and texts without words, are compared with nothing
@@ -42,9 +42,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Bytes of text whose shingles are held as arrays at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bits of the bitmap that tells which texts' shingle sets are wanted.
 FILTER_BITS = 26
+#: Places in a sorted bucket within which two texts are neighbours.
+NEIGHBOURS = 8
+#: Rounds that pair members with a bucket's weightiest text, then rounds of neighbours that run at least.
+CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 2
 
 _U = np.uint64
 _MIX = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -267,43 +271,49 @@ def centrality(members: DataFrame) -> DataFrame:
     return members.join(full, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
 
 
-def central_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of each member with its bucket's weightiest one, if that belongs to another part.
+def central_pairs(members: DataFrame, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, centres): each member with its bucket's weightiest one, if that belongs to another part.
 
-    members: (bucket, part, node, weight).
+    members: (bucket, part, node, weight). Parts that were centres of their bucket
+    before, `used` (bucket, part), have had their turn. Pairs are distinct.
     """
-    top = members.groupBy("bucket").agg(
+    free = members if used is None else members.join(used, ["bucket", "part"], "left_anti")
+    top = free.groupBy("bucket").agg(
         F.max_by(F.struct("node", "part"), F.struct("weight", F.xxhash64("node"))).alias("top")
     )
-    return (
+    pairs = (
         members.join(top, "bucket")
         .where(F.col("part") != F.col("top.part"))
         .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
         .distinct()
     )
+    return pairs, top.select("bucket", F.col("top.part").alias("part"))
 
 
 def _side_by_side(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last = None
+    rows = np.empty((0, 3), np.int64)
     for frame in frames:
-        rows = frame[["bucket", "part", "node"]].to_numpy(dtype=np.int64)
-        if last is not None:
-            rows = np.vstack([last, rows])
-        last = rows[-1:]
-        meet = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] != rows[:-1, 1])
-        pairs = np.sort(np.stack([rows[1:, 2][meet], rows[:-1, 2][meet]], axis=1), axis=1)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        seen = rows[-NEIGHBOURS:]
+        rows = np.vstack([seen, frame[["bucket", "part", "node"]].to_numpy(dtype=np.int64)])
+        pairs = []
+        for k in range(1, NEIGHBOURS + 1):
+            first = max(k, len(seen))
+            late, early = rows[first:], rows[first - k : max(first, len(rows)) - k]
+            meet = (late[:, 0] == early[:, 0]) & (late[:, 1] != early[:, 1])
+            pairs.append(np.stack([late[meet, 2], early[meet, 2]], axis=1))
+        found = np.sort(np.concatenate(pairs), axis=1)
+        yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
 def neighbour_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """Distinct pairs of neighbours of different parts, from (bucket, order, part, node) rows.
+    """Distinct pairs of near neighbours of different parts, from (bucket, order, part, node) rows.
 
     Sorted by bucket and order, the most similar members of a bucket are
     neighbours; the salt turns the order around without parting similar ones. Rows
     are dealt by ranges of bucket and order, so a bucket of any size spreads over
-    many tasks, and yields no more pairs than it has members. Where a range ends
-    inside a bucket one pair of neighbours is passed over; the other bands and
-    rounds have theirs elsewhere.
+    many tasks, and yields at most NEIGHBOURS pairs for each member. Where a range
+    ends inside a bucket some neighbours are passed over; the other bands and rounds
+    have theirs elsewhere.
     """
     turned = members.withColumn("order", F.col("order").bitwiseXOR(F.xxhash64(F.lit(salt))))
     dealt = turned.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "node")
@@ -381,14 +391,18 @@ def classes(
     # From here on only texts that met another one matter.
     met = banded.join(ends, "node", "left_semi").select("bucket", "order", "node")
     members = stored(met.join(centrality(met), "node").select("bucket", "order", "node", "weight"))
-    turn = 1
+    turn, used = 1, None
     while max_rounds is None or turn < max_rounds:
         parted = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
-        pairs = central_pairs(parted) if turn == 1 else neighbour_pairs(parted, turn)
+        if turn <= CENTRAL_ROUNDS:
+            pairs, centres = central_pairs(parted, used)
+            used = stored(centres)
+        else:
+            pairs = neighbour_pairs(parted, turn)
         fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         found = stored(verified(fresh, sets, threshold))
-        if found.isEmpty() and turn > 2:
+        if found.isEmpty() and turn >= CENTRAL_ROUNDS + NEIGHBOUR_ROUNDS:
             break
         if not found.isEmpty():
             # New links join components, so all links so far decide the labels anew.
