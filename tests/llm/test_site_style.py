@@ -30,6 +30,7 @@ PAGES = [
     ("<article><p>unclosed <b>bold<p>next</article><div>after</div>", "unclosed bold\nnext"),
     ("<script>if (a<b) '</p>'</script><style>p{}</style><p>t</p><!-- c <p>no</p> -->", "t"),
     ("<div class='cookie-notice'>we use</div><div id='sidebar-2'>s</div><div class='adder'>kept</div>", "kept"),
+    ("<div class='content with-sidebar no-comments'><p>t</p><div class='site-sidebar'>s</div><section id=comments>c</section></div>", "t"),
     ("<div hidden>h</div><div aria-hidden='true'>g</div><div role=navigation>n</div>x", "x"),
     ("<ul><li>a<li>b</ul>", "a\nb"),
     ("<p title='a > b'>ok</p>", "ok"),

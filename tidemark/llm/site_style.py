@@ -64,8 +64,10 @@ _NOISE_NAMES = frozenset(
     "menu topbar breadcrumb breadcrumbs header masthead footer sidebar aside related recommended widget share sharing "
     "social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notification alert popup "
     "modal overlay comment comments commentlist reply replies discussion disqus pagination pager toolbar copyright "
-    "legal disclaimer skip".split()
+    "legal disclaimer skip announcement announcements feedback respond responses".split()
 )
+#: A class that begins with one of these says what is around or absent, not what the element is.
+_ASIDE_WORDS = frozenset("with has no without show hide near".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _ARTICLE = frozenset(["article", "main"])
 _CLOSES_P = _BLOCK - frozenset(["html", "body"])
@@ -98,7 +100,8 @@ def _element(parent: Element | None, tag: str, attributes: str) -> Element:
                 role = value
             elif kind == "hidden" or value == "true":
                 hidden = True
-    words = {w for n in names for w in _NAME.findall(n)}
+    parts = [_NAME.findall(n) for n in names]
+    words = {w for p in parts if p and p[0] not in _ASIDE_WORDS for w in p}
     inside = parent is not None and parent.article
     noise = (
         tag in _NOISE_TAGS
