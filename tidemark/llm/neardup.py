@@ -48,7 +48,7 @@ FILTER_BITS = 26
 #: Places in a sorted bucket within which two texts are neighbours.
 NEIGHBOURS = 8
 #: Rounds that pair members with a bucket's weightiest text, then rounds of neighbours that run at least.
-CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 2
+CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 1
 
 _U = np.uint64
 _MIX = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -410,7 +410,10 @@ def classes(
             labels = components(old.unionByName(found.select("a", "b")))
         turn += 1
     named = signed.select("key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
-    sizes = named.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
+    # Stored, so that the join below is one of two plain shuffles, in which a class of a third of all rows can be split.
+    sizes = stored(
+        named.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
+    )
     return named.join(sizes, "part", "left").select(
         F.col("key").alias(key),
         F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
