@@ -202,9 +202,9 @@ def bit_filter(wanted: DataFrame) -> np.ndarray:
     words = wanted.groupBy(F.shiftright(position, 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position.bitwiseAND(63).cast("int"))).alias("bits")
     )
-    got = words.toPandas()
+    got = words.toArrow()
     bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    bitmap[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
     return bitmap.view(_U)
 
 

@@ -115,7 +115,7 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pd.DataFrame({"bucket": some.astype(np.int32), "n": total[some]})
 
     summed = docs.select(F.col(text).alias("t")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()
+    got = summed.toArrow()
     table = np.zeros(1 << LM_BITS, np.int64)
     table[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return table
