@@ -17,8 +17,9 @@ verified links are merged into components. Then members are paired with the
 bucket's weightiest text of another component, the likely origin of others, and
 with the next component's. Then, in rounds, members are sorted by bucket and by
 their further registers, which puts the most similar ones side by side, and near
-neighbours of different components are paired, until a round merges nothing. Pairs, links and components stay
-distributed, texts are not shuffled, and every step is stored in the shared folder.
+neighbours of different components are paired, until a round merges nothing.
+Pairs, links and components stay distributed, texts are not shuffled, and every
+step is stored in the shared folder.
 
 Cases: null and empty texts, and texts without words, are compared with nothing
 and each is a class of its own; the class id is the smallest id in the class,
