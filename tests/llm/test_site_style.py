@@ -39,6 +39,10 @@ PAGES = [
     ("<title>t</title><body></body></html>", ""),
     ("<script>open", ""),
     ("<!-- open <p>x</p>", ""),
+    ("<p>x</p><!-- open", "x"),
+    ("<p>x</p>y <a hre", "x\ny"),
+    ("<p>x</p>" + "<b " * 50_000, "x"),
+    ("<p>x</p><a href='" * 3 + "z", "x\nx"),
     ("", ""),
     (None, ""),
 ]

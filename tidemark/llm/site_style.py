@@ -75,7 +75,9 @@ _CLOSES_P = _BLOCK - frozenset(["html", "body"])
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SIBLING_STOPS = frozenset("ul ol dl table tbody thead tfoot select menu".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+#: A tag or comment that the page breaks off in.
+_BROKEN_OFF = re.compile(r"<(?:!--|/?[a-zA-Z])[^>]*\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -133,7 +135,9 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             runs.append((stack[-1], " "))
 
     position = 0
-    while m := _TOKEN.search(page, position):
+    # Behind the last > there are no tags; looking for them would cost a scan for each <.
+    tags_end = page.rfind(">") + 1
+    while m := _TOKEN.search(page, position, tags_end):
         text(m.start())
         at = position = m.end()
         if m[2] is None:
@@ -176,7 +180,8 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             at = position = end.end() if end else len(page)
             continue
         stack.append(element)
-    text(len(page))
+    broken = _BROKEN_OFF.search(page, max(at, tags_end))
+    text(broken.start() if broken else len(page))
     return runs, elements
 
 
