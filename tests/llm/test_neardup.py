@@ -101,7 +101,7 @@ def test_registers_estimate_probability_jaccard():
 
 
 def test_pairs_are_linear_in_a_bucket(spark):
-    members = spark.range(1000).selectExpr("1L AS bucket", "hash(id) * 1L AS order", "id AS part", "id AS node", "id % 7 AS weight")
+    members = spark.range(1000).selectExpr("1L AS bucket", "hash(id) * 1L AS order", "id AS part", "id AS node", "id % 7 AS weight", f"unhex(repeat('07', {neardup.REGISTERS})) AS sketch")
     assert neardup.star_pairs(members).count() == 999
     pairs, centres = neardup.central_pairs(members)
     assert pairs.count() == 999 and centres.count() == 1
@@ -118,11 +118,16 @@ def test_neighbours_across_batches():
     import pandas as pd
 
     rows = pd.DataFrame({"bucket": [1] * 9 + [2] * 4, "part": range(13), "node": range(13)})
+    rows["sketch"] = [b"s" * neardup.REGISTERS] * 13
     want = {(i, j) for i in range(13) for j in range(i + 1, min(13, i + 1 + neardup.NEIGHBOURS)) if (i < 9) == (j < 9)}
     for size in (1, 2, 3, 5, 13):
         frames = [rows[k : k + size] for k in range(0, 13, size)]
         got = [tuple(p) for f in neardup._side_by_side(iter(frames)) for p in f.to_numpy().tolist()]
         assert len(got) == len(set(got)) and set(got) == want
+    # Too few registers agree with one of them.
+    rows.at[3, "sketch"] = b"s" * (neardup.AGREE - 1) + b"t" * (neardup.REGISTERS - neardup.AGREE + 1)
+    got = {tuple(p) for f in neardup._side_by_side(iter([rows])) for p in f.to_numpy().tolist()}
+    assert got == {p for p in want if 3 not in p}
 
 
 def test_components_of_a_long_chain(spark):

@@ -48,6 +48,9 @@ CHUNK_BYTES = 1 << 19
 FILTER_BITS = 26
 #: Places in a sorted bucket within which two texts are neighbours.
 NEIGHBOURS = 8
+#: Registers that neighbours must agree in to be verified: at the threshold 64 of 80 do
+#: on average, and fewer than 50 once in twenty thousand pairs.
+AGREE = 50
 #: Rounds that pair members with a bucket's weightiest text, then rounds of neighbours that run at least.
 CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 1
 
@@ -164,23 +167,27 @@ def _node(line: bytes) -> int:
 
 def _signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
-        nodes, buckets, orders = [], [], []
+        nodes, buckets, orders, sketches = [], [], [], []
         for _, lines in _chunks(map(folded, part), CHUNK_BYTES):
             keys, counts = shingle_keys(lines)
-            bucket, order = band_keys(registers(keys, counts, len(lines)))
+            sig = registers(keys, counts, len(lines))
+            bucket, order = band_keys(sig)
+            sketch = (mix64(sig) & _U(255)).astype(np.uint8)
             some = np.zeros(len(lines), bool)
             some[(keys >> _BITS).astype(np.int64)] = True
             nodes += [_node(x) if s else None for x, s in zip(lines, some)]
             buckets += [k if s else None for k, s in zip(bucket, some)]
             orders += [k if s else None for k, s in zip(order, some)]
+            sketches += [k.tobytes() if s else None for k, s in zip(sketch, some)]
         yield pd.DataFrame(
-            {"node": pd.array(nodes, dtype="Int64"), "buckets": buckets, "orders": orders}, columns=["node", "buckets", "orders"]
+            {"node": pd.array(nodes, dtype="Int64"), "buckets": buckets, "orders": orders, "sketch": sketches},
+            columns=["node", "buckets", "orders", "sketch"],
         )
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, buckets, orders): number of the words (null without words) and band keys."""
-    sign = F.pandas_udf(_signed, "node long, buckets array<long>, orders array<long>")
+    """(key, node, buckets, orders, sketch): number of the words (null without words), band keys, a byte per register."""
+    sign = F.pandas_udf(_signed, "node long, buckets array<long>, orders array<long>, sketch binary")
     return docs.select(F.col(key).alias("key"), sign(F.col(text)).alias("s")).select("key", "s.*")
 
 
@@ -293,28 +300,31 @@ def central_pairs(members: DataFrame, used: DataFrame | None = None) -> tuple[Da
 
 def _side_by_side(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = np.empty((0, 3), np.int64)
+    sketches = np.empty((0, REGISTERS), np.uint8)
     for frame in frames:
-        seen = rows[-NEIGHBOURS:]
-        rows = np.vstack([seen, frame[["bucket", "part", "node"]].to_numpy(dtype=np.int64)])
+        seen = len(rows[-NEIGHBOURS:])
+        rows = np.vstack([rows[-NEIGHBOURS:], frame[["bucket", "part", "node"]].to_numpy(dtype=np.int64)])
+        fresh = np.frombuffer(b"".join(map(bytes, frame["sketch"])), np.uint8).reshape(-1, REGISTERS)
+        sketches = np.vstack([sketches[-NEIGHBOURS:], fresh])
         pairs = []
         for k in range(1, NEIGHBOURS + 1):
-            first = max(k, len(seen))
-            late, early = rows[first:], rows[first - k : max(first, len(rows)) - k]
-            meet = (late[:, 0] == early[:, 0]) & (late[:, 1] != early[:, 1])
-            pairs.append(np.stack([late[meet, 2], early[meet, 2]], axis=1))
+            late = np.arange(max(k, seen), len(rows))
+            late = late[(rows[late, 0] == rows[late - k, 0]) & (rows[late, 1] != rows[late - k, 1])]
+            late = late[(sketches[late] == sketches[late - k]).sum(axis=1) >= AGREE]
+            pairs.append(np.stack([rows[late, 2], rows[late - k, 2]], axis=1))
         found = np.sort(np.concatenate(pairs), axis=1)
         yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
 def neighbour_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """Distinct pairs of near neighbours of different parts, from (bucket, order, part, node) rows.
+    """Distinct pairs of near neighbours of different parts, from (bucket, order, part, node, sketch) rows.
 
     Sorted by bucket and order, the most similar members of a bucket are
     neighbours; the salt turns the order around without parting similar ones. Rows
     are dealt by ranges of bucket and order, so a bucket of any size spreads over
-    many tasks, and yields at most NEIGHBOURS pairs for each member. Where a range
-    ends inside a bucket some neighbours are passed over; the other bands and rounds
-    have theirs elsewhere.
+    many tasks, and yields at most NEIGHBOURS pairs for each member, without those
+    whose registers rule a link out. Where a range ends inside a bucket some
+    neighbours are passed over; the other bands and rounds have theirs elsewhere.
     """
     turned = members.withColumn("order", F.col("order").bitwiseXOR(F.xxhash64(F.lit(salt))))
     dealt = turned.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "node")
@@ -391,7 +401,8 @@ def classes(
     labels = components(verified(tested, sets, threshold))
     # From here on only texts that met another one matter.
     met = banded.join(ends, "node", "left_semi").select("bucket", "order", "node")
-    members = stored(met.join(centrality(met), "node").select("bucket", "order", "node", "weight"))
+    sketched = one.select("node", "sketch").dropDuplicates(["node"])
+    members = stored(met.join(centrality(met), "node").join(sketched, "node").select("bucket", "order", "node", "weight", "sketch"))
     turn, used = 1, None
     while max_rounds is None or turn < max_rounds:
         parted = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
