@@ -138,3 +138,22 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(400)} | {1000: 1000, 1001: 1000}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_inside_a_large_group_of_texts_that_are_no_links(spark):
+    """Edits of one template have a similarity of about 0.65; each has one partner at 0.8 exactly."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    pairs = []
+    for k in range(1500):
+        one = list(base)
+        for at in rng.sample(range(10, 390, 10), 9):
+            one[at] = f"a{rng.randrange(10**6)}"
+        two = list(one)
+        for at in [3, *rng.sample(range(15, 390, 10), 8)]:
+            two[at] = f"b{rng.randrange(10**6)}"
+        pairs.append((" ".join(one), " ".join(two)))
+    assert all(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) == 0.8 for a, b in pairs[:20])
+    docs = odd_docs(spark, *(t for p in pairs for t in p)).repartition(8)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(3000)}

@@ -18,7 +18,13 @@ bucket's weightiest text of another component, the likely origin of others, and
 with the next component's. Then, in rounds, members are sorted by bucket and by
 their further registers, which puts the most similar ones side by side, and near
 neighbours of different components are paired, until a round merges nothing.
-Pairs, links and components stay distributed, texts are not shuffled, and every
+Registers follow weights, links do not: texts that repeat their shingles differently
+may share no band, nor enough registers. These rounds are for speed and decide nothing. At last a prefix-filter join, exact
+over all texts, finds every remaining link between different components. Its shingles
+are ordered by hash, those common in a sample of texts last; the order affects speed
+only. Its work is bounded by the pairs of texts of different components that share
+one of their first shingles, which is quadratic where many such texts are hardly
+less similar than the threshold. Pairs, links and components stay distributed, texts are not shuffled, and every
 step is stored in the shared folder.
 
 Cases: null and empty texts, and texts without words, are compared with nothing
@@ -48,11 +54,16 @@ CHUNK_BYTES = 1 << 19
 FILTER_BITS = 26
 #: Places in a sorted bucket within which two texts are neighbours.
 NEIGHBOURS = 8
-#: Registers that neighbours must agree in to be verified: at the threshold 64 of 80 do
-#: on average, and fewer than 50 once in twenty thousand pairs.
+#: Registers that neighbours must agree in to be verified in these rounds. Without repeated
+#: shingles 64 of 80 do at the threshold, with them far fewer may; the exact join finds those links.
 AGREE = 50
 #: Rounds that pair members with a bucket's weightiest text, then rounds of neighbours that run at least.
 CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 1
+#: One in so many texts is sampled for the order of shingles; a shingle that COMMON_LEAST
+#: sampled texts have comes after the others, for at most COMMON_MOST such shingles.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 64, 4, 1 << 18
+#: Bits of the bitmap that tells which shingles may be shared between components.
+SHARED_BITS = 27
 
 _U = np.uint64
 _MIX = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -249,6 +260,120 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
     return found.join(asked, same, "left_semi").select("node", "shingles")
 
 
+def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """Shingles that many texts of a sample have, from rare to frequent; at most COMMON_MOST reach the driver."""
+
+    @F.pandas_udf("array<long>")
+    def make(texts: pd.Series) -> pd.Series:
+        sets: list = []
+        for _, chunk in _chunks(map(folded, texts), CHUNK_BYTES):
+            keys, _ = shingle_keys(chunk)
+            bounds = np.searchsorted(keys >> _BITS, np.arange(len(chunk) + 1, dtype=_U))
+            sets += [(keys[a:b] & _LOW).astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+        return pd.Series(sets, dtype=object)
+
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(COMMON_SAMPLE)) == 0).select(text).distinct()
+    counted = some.select(F.explode(make(F.col(text))).alias("token")).groupBy("token").count()
+    most = counted.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "token").limit(COMMON_MOST).toArrow()
+    return most["token"].to_numpy()[::-1].astype(np.int64)
+
+
+def prefix(values: np.ndarray, ranks: dict[int, int], threshold: float) -> np.ndarray:
+    """The first shingles of a set, of which two sets with the similarity asked for share one at least.
+
+    Such sets share at least threshold * n of either's n shingles, so that in any
+    order the first n - ceil(threshold * n) + 1 of each have one in common.
+    """
+    rank = np.array([ranks.get(v, -1) for v in values.tolist()], dtype=np.int64)
+    length = len(values) - int(np.ceil(threshold * len(values) - 1e-9)) + 1
+    return values[np.lexsort((values, rank))][:length]
+
+
+def prefixes(docs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """(node, size, tokens) of each distinct text with words: its number of shingles and the first of them."""
+    common = common_shingles(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast({int(v): k for k, v in enumerate(common)})
+
+    @F.pandas_udf("node long, size long, tokens array<long>")
+    def make(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ranks = shared.value
+        for part in parts:
+            nodes, sizes, tokens = [], [], []
+            for _, chunk in _chunks(map(folded, part), CHUNK_BYTES):
+                keys, _ = shingle_keys(chunk)
+                bounds = np.searchsorted(keys >> _BITS, np.arange(len(chunk) + 1, dtype=_U))
+                values = (keys & _LOW).astype(np.int64)
+                for line, a, b in zip(chunk, bounds[:-1], bounds[1:]):
+                    nodes.append(_node(line))
+                    sizes.append(b - a)
+                    tokens.append(prefix(values[a:b], ranks, threshold) if b > a else None)
+            yield pd.DataFrame(
+                {"node": np.array(nodes, np.int64), "size": np.array(sizes, np.int64), "tokens": tokens},
+                columns=["node", "size", "tokens"],
+            )
+
+    return docs.select(make(F.col(text)).alias("s")).select("s.*").where("tokens IS NOT NULL")
+
+
+def _token_bits(tokens: DataFrame) -> np.ndarray:
+    """A bitmap with the bits of all tokens set; at most 2 ** SHARED_BITS / 64 words reach the driver."""
+    position = F.col("token").bitwiseAND((1 << SHARED_BITS) - 1)
+    words = tokens.groupBy(F.shiftright(position, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position.bitwiseAND(63).cast("int"))).alias("bits")
+    )
+    got = words.toArrow()
+    bitmap = np.zeros(1 << SHARED_BITS - 6, np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return bitmap.view(_U)
+
+
+def remaining_pairs(first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different parts that share a token and may be links, from (node, size, tokens) rows.
+
+    Nothing that could be a link is left out. Tokens of one part only go before the
+    join, and of a token's largest part no member meets another, so a large
+    component costs what its shared tokens with other components cost.
+    """
+    parts = first.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    spread = parts.select("part", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    live = stored(spread.where("low != high").select("token"))
+    bits = first.sparkSession.sparkContext.broadcast(_token_bits(live))
+
+    @F.pandas_udf("array<struct<token: long, place: int>>")
+    def maybe(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bitmap = bits.value
+        for part in sets:
+            rows = []
+            for tokens in part:
+                at = tokens & ((1 << SHARED_BITS) - 1)
+                hit = np.flatnonzero(bitmap[at >> 6] >> (at & 63).view(_U) & _U(1))
+                rows.append([{"token": t, "place": k} for t, k in zip(tokens[hit].tolist(), hit.tolist())])
+            yield pd.Series(rows, dtype=object)
+
+    cut = F.size("tokens").alias("cut")
+    rows = parts.select("node", "part", "size", cut, F.explode(maybe("tokens")).alias("t")).select("node", "part", "size", "cut", "t.*")
+    # Copies of a text are one row from here on.
+    rows = stored(rows.dropDuplicates(["token", "node"]).join(live, "token", "left_semi"))
+    counts = rows.groupBy("token", "part").agg(F.count("*").alias("n"))
+    main = stored(counts.groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
+    rows = rows.join(main, "token").withColumn("in_main", F.col("part") == F.col("main")).drop("main")
+    left = rows.where("NOT in_main").select("token", *(F.col(c).alias(c + "_a") for c in ("node", "part", "size", "cut", "place")))
+    right = rows.select("token", *(F.col(c).alias(c + "_b") for c in ("node", "part", "size", "cut", "place", "in_main")))
+    na, nb, ka, kb = map(F.col, ("size_a", "size_b", "place_a", "place_b"))
+    least = (na + nb) * threshold / (1 + threshold) - 1e-6
+    # What two sets share lies before both places, at them, or behind.
+    most = F.least(ka, kb) + F.least(na - ka, nb - kb)
+    able = (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-6) & (most >= least)
+    once = F.col("in_main_b") | (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, "token").where((F.col("part_a") != F.col("part_b")) & once & able)
+    # Up to the end of the prefix that ends first all shared shingles are shared tokens; behind it there are as many as are left.
+    behind = F.greatest(na - F.col("cut_a"), nb - F.col("cut_b"))
+    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
+        F.count("*").alias("shared"), F.first(least - behind).alias("needed")
+    )
+    return pairs.where("shared >= needed").select("a", "b")
+
+
 def star_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of each member with its bucket's centre, from (bucket, node) rows.
 
@@ -385,7 +510,7 @@ def classes(
 
     kept marks the row that carries the class id, or every row of a class
     without ids. max_rounds is for experiments; by default rounds go on until
-    nothing merges.
+    nothing merges, and the exact join settles the rest.
     """
     signed = stored(signatures(docs, key, text))
     worded = signed.where("node IS NOT NULL")
@@ -421,6 +546,17 @@ def classes(
             old = labels.select(F.least("node", "label").alias("a"), F.greatest("node", "label").alias("b")).where("a != b")
             labels = components(old.unionByName(found.select("a", "b")))
         turn += 1
+    if max_rounds is None:
+        rest = remaining_pairs(stored(prefixes(docs, text, threshold)), labels, threshold)
+        rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
+        fresh = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
+        fresh = stored(fresh.join(ends, "node", "left_anti"))
+        if not fresh.isEmpty():
+            sets = sets.unionByName(stored(shingle_sets(docs, keys.join(fresh, "node", "left_semi"), key, text)))
+        found = stored(verified(rest, sets, threshold))
+        if not found.isEmpty():
+            old = labels.select(F.least("node", "label").alias("a"), F.greatest("node", "label").alias("b")).where("a != b")
+            labels = components(old.unionByName(found.select("a", "b")))
     named = signed.select("key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     # Stored, so that the join below is one of two plain shuffles, in which a class of a third of all rows can be split.
     sizes = stored(
