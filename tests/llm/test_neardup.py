@@ -157,3 +157,17 @@ def test_links_inside_a_large_group_of_texts_that_are_no_links(spark):
     docs = odd_docs(spark, *(t for p in pairs for t in p)).repartition(8)
     got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
     assert got == {k: k - k % 2 for k in range(3000)}
+
+
+def test_repeated_lines_do_not_hide_a_link(spark):
+    """Set similarity just above 0.8; in one text half of the shared shingles recur fifty times."""
+    texts = []
+    for k in range(150):
+        one = [f"{k}x{j}" for j in range(64)]
+        two = list(one)
+        two[-1] = two[0] = f"{k}y"
+        texts += [" ".join(one), " ".join(two + one[2:34] * 50)]
+    got = neardup.classes(odd_docs(spark, *texts)).collect()
+    want = brute_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 150
+    assert {r.doc_id: r.class_id for r in got} == want
