@@ -95,3 +95,16 @@ def test_edges(spark):
     assert len(rows) == 6 and got[0] == (None, "") and got[1] == ("", "a") and got[2] == ("nowhere", "b")
     assert len(got[3][1]) == 5 * 300_000 - 1 and got[4] == got[5] == ("http://h", "c")
     assert sst.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'data-hidden="false"', 'title="The hidden valley"', 'data-href="/hidden/x"', 'data-href="/view?id=share"', 'data-id="ad-1"', "data-role=menu", 'title="a class=ad b"', 'aria-hidden="false"'],
+)
+def test_other_attributes_do_not_make_noise(attributes):
+    assert sst.main_text(f"<div {attributes}><p>Story</p></div>") == "Story"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "HIDDEN", "aria-hidden='true'", 'title="x" class = "ad"', "id=share", "role=menu", 'style="a"hidden'])
+def test_marks_make_noise(attributes):
+    assert sst.main_text(f"<div {attributes}><p>Menu</p></div><p>Story</p>") == "Story"

@@ -78,7 +78,10 @@ _SIBLING_STOPS = frozenset("ul ol dl table tbody thead tfoot select menu".split(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 #: A tag or comment that the page breaks off in.
 _BROKEN_OFF = re.compile(r"<(?:!--|/?[a-zA-Z])[^>]*\Z")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: its name, then its value, taken whole so that nothing in it passes for an attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+#: Text without any of these has no attribute that matters.
+_MARKS = re.compile("class|id|role|hidden", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -92,15 +95,15 @@ class Element:
 
 def _element(parent: Element | None, tag: str, attributes: str) -> Element:
     names, role, hidden = [], "", False
-    if attributes:
+    if attributes and _MARKS.search(attributes):
         for m in _ATTRIBUTE.finditer(attributes):
-            kind = m[1].lower()
+            kind = (m[1] or "").lower()
             value = (m[2] or m[3] or m[4] or "").lower()
             if kind in ("class", "id"):
                 names += value.split()
             elif kind == "role":
                 role = value
-            elif kind == "hidden" or value == "true":
+            elif kind == "hidden" or (kind == "aria-hidden" and value == "true"):
                 hidden = True
     parts = [_NAME.findall(n) for n in names]
     words = {w for p in parts if p and p[0] not in _ASIDE_WORDS for w in p}
