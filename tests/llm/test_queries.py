@@ -10,7 +10,7 @@ from tests.llm.conftest import SMALL, read
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         db.register(table, read(table))
     want = db.execute(queries.ORACLE[name]).fetchdf()
     got = queries.QUERIES[name](spark, SMALL).toPandas()
