@@ -27,6 +27,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 #: A hash is hot if more than one row in this many has it; hot rows are dealt out in shares of that size.
 HOT_SHARE = 1000
 #: With more filters the list of all orders would no longer be a small table.
@@ -83,10 +85,12 @@ def combinations(docs: DataFrame, labels: DataFrame, failures: list[Column], par
     repeats = repeated_texts(rows).select("id", "hash", "part", F.lit(1 << len(failures)).alias("bits"), F.lit(0).alias("n"))
     others = rows.select("id", "hash", "part", marked.alias("bits"), F.lit(1).alias("n"))
     # A row is known by id and text: equal ones share every mark, so they travel as one.
-    by_row = (
+    # Written, as it is read twice and its plan holds the semi-joins.
+    by_row = stored(
         others.unionByName(repeats)
         .groupBy("id", "hash", "part")
         .agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+        .drop("hash")
     )
     known = (
         labels.where((F.col("quality") == 1) | (F.col("toxic") == 1))
