@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from conftest import DATA
 from tidemark.plans import oracle, registry
 
-# The newest month of the smallest folder has one account, and its risk is low.
+# The month shown has few accounts in the smallest folder, and none at high risk.
 EMPTY_HERE = {"risk_by_segment"}
 TABLES = "region nation customer supplier part orders lineitem".split()
 QUERIES = registry.QUERIES

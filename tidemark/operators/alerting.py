@@ -18,14 +18,16 @@ def enabled(thresholds: DataFrame) -> DataFrame:
     )
 
 
-def _at_newest_month(rows: DataFrame) -> DataFrame:
+def _at_month(rows: DataFrame, month=None) -> DataFrame:
+    if month is not None:
+        return rows.filter(F.col("date_key") == month)
     # A window over alert rows (months x regions), so the mart is built once.
     latest = F.max("date_key").over(W.partitionBy())
     return rows.withColumn("latest", latest).filter(F.col("date_key") == F.col("latest")).drop("latest")
 
 
-def active_alerts(alerts: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Flagged regions of the newest month with a severity; a region may appear twice.
+def active_alerts(alerts: DataFrame, thresholds: DataFrame, month=None) -> DataFrame:
+    """Flagged regions of the newest month, or of the one given, with a severity; a region may appear twice.
 
     ``mrr_change_pct`` is a percentage while the seeded drop thresholds are
     fractions, so a flagged drop always comes out CRITICAL. That is the
@@ -50,7 +52,7 @@ def active_alerts(alerts: DataFrame, thresholds: DataFrame) -> DataFrame:
         ),
     )
     raised = (
-        _at_newest_month(alerts)
+        _at_month(alerts, month)
         .select("date_key", "region", F.explode(F.array_compact(kinds)).alias("raised"))
         .select("date_key", "region", "raised.*")
     )
@@ -120,8 +122,13 @@ METRICS = ["monthly_churn_rate", "mrr_drop_pct", "avg_risk_score", "failed_payme
 
 def region_metrics(fact: DataFrame) -> DataFrame:
     """Long form: one row per month, region and metric that has a value."""
+    return metrics_of(region_months(fact))
+
+
+def metrics_of(regions: DataFrame) -> DataFrame:
+    """The same from rows of `region_months`."""
     change = ratio(F.col("mrr") - F.col("prev_mrr"), F.col("prev_mrr"))
-    wide = with_previous(region_months(fact)).select(
+    wide = with_previous(regions).select(
         "date_key",
         "region",
         F.col("churn_rate").alias("monthly_churn_rate"),

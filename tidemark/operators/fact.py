@@ -39,8 +39,9 @@ def new_customers(stg: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 
 def with_surrogate_keys(df: DataFrame, column: str, after: int = 0) -> DataFrame:
-    """Unique long keys above ``after``, without an ordering over all rows."""
-    return df.withColumn(column, F.monotonically_increasing_id() + F.lit(after + 1))
+    """Unique long keys above ``after``, without an ordering over all rows; rows that have one keep it."""
+    key = F.monotonically_increasing_id() + F.lit(after + 1)
+    return df.withColumn(column, F.coalesce(column, key) if column in df.columns else key)
 
 
 def fact_rows(good: DataFrame, customers: DataFrame) -> DataFrame:
@@ -93,6 +94,17 @@ def against_stored(rows: DataFrame, fact: DataFrame, first, last) -> tuple[DataF
     return new, both.filter(F.col("stored") != F.struct(*VALUES)).drop("stored")
 
 
+def corrected(new: DataFrame, differing: DataFrame, fact: DataFrame, anew: list) -> DataFrame:
+    """All that the months in ``anew`` hold after a correction, and new rows of other months.
+
+    Rows that stay as they are keep their key and time; the others have none yet.
+    """
+    kept = fact.filter(F.col("date_key").isin(anew)).join(
+        differing.select("customer_key", "date_key"), ["customer_key", "date_key"], "left_anti"
+    )
+    return kept.unionByName(new.unionByName(differing), allowMissingColumns=True)
+
+
 def orphans(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Fact rows without a matching dimension row."""
     return fact.join(dimension.select(key), key, "left_anti")

@@ -1,5 +1,10 @@
 """The mart queries. Each takes tables and returns one row per group.
 
+Each mart is one function of the fact, and what the stored suite reads is another one of
+`cells`: sums per month, region, segment, plan and channel, which every
+group mart adds up from. As an account has one row a month in a loaded fact, accounts
+of different cells are different customers, and counts of them add up as well.
+
 Stored fact and customer tables are bucketed by ``customer_key``
 (``sources.warehouse``). Distinct customers, cohorts and the customer join
 are all keyed by it, so these plans read the fact once and shuffle only
@@ -24,24 +29,23 @@ from tidemark.functions import (
 )
 
 
-def newest(df: DataFrame, column: str, among: DataFrame | None = None) -> DataFrame:
-    """Rows of the latest month, as a scalar subquery that reaches the scan.
-
-    ``among`` is the table whose maximum counts; pass the fact for a mart
-    over it, so the maximum reads one column instead of building the mart twice.
-    """
-    source, key = (df, column) if among is None else (among, "date_key")
-    latest = source.select(F.max(key)).scalar()
-    return df.filter(F.col(column) == latest)
+def newest(df: DataFrame, column: str, month=None) -> DataFrame:
+    """Rows of the latest month, or of the one given, as a filter that reaches the scan."""
+    return df.filter(F.col(column) == (df.select(F.max(column)).scalar() if month is None else month))
 
 
 def mrr_monthly(fact: DataFrame) -> DataFrame:
-    monthly = fact.groupBy(F.col("date_key").alias("month")).agg(
-        money(F.sum("monthly_revenue")).alias("mrr"),
-        F.countDistinct("customer_key").alias("active_customers"),
-        F.sum("churn_flag").alias("churned"),
-        F.count("*").alias("accounts"),
+    return _mrr(
+        fact.groupBy(F.col("date_key").alias("month")).agg(
+            money(F.sum("monthly_revenue")).alias("mrr"),
+            F.countDistinct("customer_key").alias("active_customers"),
+            F.sum("churn_flag").alias("churned"),
+            F.count("*").alias("accounts"),
+        )
     )
+
+
+def _mrr(monthly: DataFrame) -> DataFrame:
     arpu = ratio(F.col("mrr"), F.col("active_customers"))
     churn = ratio(F.col("churned"), F.col("accounts"))
     before = F.lag("mrr").over(W.orderBy("month"))
@@ -101,12 +105,15 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
         F.min("churn_flag").alias("churned_everywhere")
     )
     first_month = F.min("date_key").over(W.partitionBy("customer_key"))
-    periods = (
+    return _retention(
         active.withColumn("cohort_month", first_month)
         .filter(F.col("churned_everywhere") == 0)
         .groupBy("cohort_month", months_between("date_key", "cohort_month").alias("period_num"))
         .agg(F.count("*").alias("retained_customers"))
     )
+
+
+def _retention(periods: DataFrame) -> DataFrame:
     size = F.first("retained_customers").over(W.partitionBy("cohort_month").orderBy("period_num"))
     return periods.select(
         "cohort_month",
@@ -117,9 +124,14 @@ def cohort_retention(fact: DataFrame) -> DataFrame:
     )
 
 
-def accounts_at_risk(fact: DataFrame, customers: DataFrame, plans: DataFrame, dated: DataFrame | None = None) -> DataFrame:
-    """Accounts still active in the latest month, with score and tier."""
-    current = newest(fact, "date_key", dated).filter(F.col("churn_flag") == 0).drop("region", "segment")
+def accounts_at_risk(fact: DataFrame, customers: DataFrame, plans: DataFrame, month=None) -> DataFrame:
+    """Accounts still active in the latest month, or the one given, with score and tier."""
+    return at_risk_rows(newest(fact, "date_key", month), customers, plans).drop("seen_in")
+
+
+def at_risk_rows(fact: DataFrame, customers: DataFrame, plans: DataFrame) -> DataFrame:
+    """Account rows of the fact's months, and the region under which the fact has them."""
+    current = fact.filter(F.col("churn_flag") == 0).withColumnRenamed("region", "seen_in").drop("segment")
     return (
         current.join(
             customers.select("customer_key", "customer_id", "region", "segment", "channel"),
@@ -139,6 +151,7 @@ def accounts_at_risk(fact: DataFrame, customers: DataFrame, plans: DataFrame, da
             "failed_payments",
             risk_tier().alias("risk_tier"),
             "monthly_revenue",
+            "seen_in",
         )
     )
 
@@ -178,7 +191,16 @@ def alerts(
     churn_spike_rate: float = S.CHURN_SPIKE_RATE,
     revenue_drop_share: float = S.REVENUE_DROP_SHARE,
 ) -> DataFrame:
-    monthly = with_previous(region_months(fact)).filter(F.col("prev_mrr").isNotNull())
+    return raised(region_months(fact), churn_spike_rate, revenue_drop_share)
+
+
+def raised(
+    regions: DataFrame,
+    churn_spike_rate: float = S.CHURN_SPIKE_RATE,
+    revenue_drop_share: float = S.REVENUE_DROP_SHARE,
+) -> DataFrame:
+    """Alert flags from rows of `region_months`."""
+    monthly = with_previous(regions).filter(F.col("prev_mrr").isNotNull())
     change = mrr_change_share()
     churn_change = ratio(F.col("churn_rate") - F.col("prev_churn_rate"), F.col("prev_churn_rate"))
     return monthly.select(
@@ -225,3 +247,122 @@ def health_signals(fact: DataFrame) -> DataFrame:
         exact_mean("churn_risk_score").alias("avg_risk_score"),
         F.countDistinct(risky).alias("high_risk_count"),
     )
+
+
+# ---- from stored rows -------------------------------------------------------
+
+
+def cells(fact: DataFrame, customers: DataFrame, plans: DataFrame) -> DataFrame:
+    """What the group marts add up from; as many rows as the lists of groups allow, however large the fact."""
+    per_group = (
+        fact.join(customers.select("customer_key", "channel"), "customer_key")
+        .groupBy(F.col("date_key").alias("month"), "region", "segment", "plan_key", "channel")
+        .agg(
+            money(F.sum("monthly_revenue")).alias("mrr"),
+            F.count("*").alias("accounts"),
+            F.sum("churn_flag").alias("churned"),
+            F.sum("usage_score").alias("usage"),
+            F.sum("support_tickets").alias("tickets"),
+            F.sum("failed_payments").alias("failed"),
+            F.sum("churn_risk_score").alias("risk"),
+            F.count_if(F.col("churn_risk_score") >= S.HIGH_RISK).alias("high_risk"),
+        )
+    )
+    return per_group.join(plans.select("plan_key", "plan_name"), "plan_key").drop("plan_key")
+
+
+def _summed(cells: DataFrame, *by) -> DataFrame:
+    sums = ("accounts", "churned", "usage", "tickets", "failed", "risk", "high_risk")
+    return cells.groupBy(*by).agg(money(F.sum("mrr")).alias("mrr"), *[F.sum(c).alias(c) for c in sums])
+
+
+def mrr_of(cells: DataFrame) -> DataFrame:
+    return _mrr(_summed(cells, "month").withColumn("active_customers", F.col("accounts")))
+
+
+def drilldown_of(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        "month",
+        "region",
+        "segment",
+        "plan_name",
+        "channel",
+        "mrr",
+        F.col("accounts").alias("active_customers"),
+        F.col("churned").alias("churned_customers"),
+        ratio(F.col("mrr"), F.col("accounts")).alias("arpu"),
+        ratio(F.col("churned"), F.col("accounts")).alias("churn_rate"),
+        ratio(F.col("usage"), F.col("accounts")).alias("avg_usage_score"),
+        F.col("tickets").alias("total_support_tickets"),
+        F.col("failed").alias("total_failed_payments"),
+    )
+
+
+def region_months_of(cells: DataFrame) -> DataFrame:
+    return _summed(cells, F.col("month").alias("date_key"), "region").select(
+        "date_key",
+        "region",
+        "mrr",
+        ratio(F.col("churned"), F.col("accounts")).alias("churn_rate"),
+        ratio(F.col("risk"), F.col("accounts")).alias("avg_risk_score"),
+        ratio(F.col("failed"), F.col("accounts")).alias("failed_payment_rate"),
+    )
+
+
+def region_totals_of(cells: DataFrame) -> DataFrame:
+    return _summed(cells, F.col("month").alias("date_key"), "region").select(
+        "date_key", "region", "mrr", F.col("accounts").alias("account_months"), F.col("churned").alias("churned_customers")
+    )
+
+
+def mix_of(cells: DataFrame) -> DataFrame:
+    summed = _summed(cells, "month", "segment", F.col("plan_name").alias("plan_type"), "region")
+    return summed.select("month", "segment", "plan_type", "region", "mrr", F.col("accounts").alias("customers"))
+
+
+def health_of(cells: DataFrame) -> DataFrame:
+    return _summed(cells, "month", "region", "segment").select(
+        "month",
+        "region",
+        "segment",
+        ratio(F.col("usage"), F.col("accounts")).alias("avg_usage_score"),
+        F.col("tickets").alias("total_tickets"),
+        F.col("failed").alias("total_failed_payments"),
+        ratio(F.col("risk"), F.col("accounts")).alias("avg_risk_score"),
+        F.col("high_risk").alias("high_risk_count"),
+    )
+
+
+def customer_months(fact: DataFrame) -> DataFrame:
+    """First and last month per customer and region; rows of several loads merge by min and max."""
+    return fact.groupBy("customer_key", "region").agg(
+        F.min("date_key").alias("first_month"), F.max("date_key").alias("last_month")
+    )
+
+
+def first_months(months: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per customer, per customer and region), merged from rows of `customer_months`."""
+    here = months.groupBy("customer_key", "region").agg(F.min("first_month").alias("cohort_here"))
+    return months.groupBy("customer_key").agg(F.min("first_month").alias("cohort_month")), here
+
+
+def cohort_cells(fact: DataFrame, months: DataFrame) -> DataFrame:
+    """Active customers by month, region, cohort, and cohort among the rows of that region.
+
+    First months come from the customers' state, so that the fact is read in the months asked for only.
+    """
+    everywhere, here = first_months(months)
+    active = fact.filter(F.col("churn_flag") == 0).select("customer_key", "date_key", "region")
+    return (
+        active.join(everywhere, "customer_key")
+        .join(here, ["customer_key", "region"])
+        .groupBy(F.col("date_key").alias("month"), "region", "cohort_month", "cohort_here")
+        .agg(F.count("*").alias("retained"))
+    )
+
+
+def cohorts_of(cells: DataFrame, cohort: str = "cohort_month") -> DataFrame:
+    """Retention from `cohort_cells`; by ``cohort_here`` for one region on its own."""
+    named = cells.select(F.col(cohort).alias("cohort_month"), "month", "retained")
+    period = months_between("month", "cohort_month").alias("period_num")
+    return _retention(named.groupBy("cohort_month", period).agg(F.sum("retained").alias("retained_customers")))

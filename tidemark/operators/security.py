@@ -13,10 +13,21 @@ def visible_fact(fact: DataFrame, policy: DataFrame, user: str | None) -> DataFr
     A semi-join on the fact's own region column, before any aggregation. A
     user without a policy row sees nothing.
     """
+    return visible(fact, policy, user)
+
+
+def allowed(policy: DataFrame, user: str) -> DataFrame:
+    return policy.filter(F.col("db_user") == user).select("region")
+
+
+def visible(rows: DataFrame, policy: DataFrame, user: str | None, region: str = "region") -> DataFrame:
+    """The rows of a table whose region column the user may see.
+
+    Where the table is partitioned by region, Spark prunes its partitions by the policy's rows.
+    """
     if user is None:
-        return fact
-    allowed = policy.filter(F.col("db_user") == user).select("region")
-    return fact.join(allowed, "region", "left_semi")
+        return rows
+    return rows.join(allowed(policy, user).withColumnRenamed("region", region), region, "left_semi")
 
 
 def region_totals(fact: DataFrame) -> DataFrame:
@@ -27,14 +38,11 @@ def region_totals(fact: DataFrame) -> DataFrame:
     )
 
 
-def analyst_top_risk(top_rows: DataFrame, region: str) -> DataFrame:
+def analyst_top_risk(top_rows: DataFrame, policy: DataFrame, user: str) -> DataFrame:
     """The analyst's part of the top list: the filter comes after the cut."""
-    return top_rows.filter(F.col("region") == region)
+    return visible(top_rows, policy, user)
 
 
-def region_mrr(mix: DataFrame, region: str) -> DataFrame:
-    """Revenue of one region, 0 when it has none."""
-    total = money(F.sum("mrr"))
-    return mix.filter(F.col("region") == region).agg(
-        F.coalesce(total, F.lit(0).cast(S.MONEY)).alias("mrr")
-    )
+def visible_mrr(mix: DataFrame) -> DataFrame:
+    """Revenue of the visible rows, 0 when there are none."""
+    return mix.agg(F.coalesce(money(F.sum("mrr")), F.lit(0).cast(S.MONEY)).alias("mrr"))

@@ -1,11 +1,18 @@
-"""The load job: staging -> customer dimension -> fact -> audit row.
+"""The load job: staging -> customer dimension -> fact -> marts -> publication -> audit row.
 
-Every step writes a table and the next one reads it, so a lost executor
-costs its tasks and a lost driver costs one step. A rerun of the same staging
-rows adds nothing: customers and (customer, month) pairs already stored are
-left out. Rows that cannot be loaded are counted, and kept with their reason:
+Every step writes a table's part of this load and the next one reads it, so a lost executor
+costs its tasks. Nothing is seen before the load is published, and then all of it: a
+load that fails on the way leaves readers the tables of the load before.
+
+A rerun of the same staging rows adds nothing: customers and (customer, month) pairs already
+stored are left out. Rows that cannot be loaded are counted, and kept with their reason:
 rows that fail a constraint, months outside the stored calendar, second rows of
-an account and month, and rows that differ from the one stored.
+an account and month, and rows that differ from the one stored. On request those replace what
+is stored: their months are then written anew, and the old rows stay in the files of the load
+that wrote them.
+
+A load reads the months that it touches and no others: marts are stored by load and month,
+cohorts come from a table of each customer's first months, and the rest is in the pointer.
 
 Command line::
 
@@ -18,25 +25,39 @@ import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
-from tidemark.operators import audit
+from tidemark.operators import audit, marts
 from tidemark.operators import fact as facts
-from tidemark.plans.suite import STORED_VIEWS, Suite
 from tidemark.sources import seeds, staging, warehouse
-from tidemark.sources.warehouse import CALENDAR, CUSTOMERS, FACT, LOG, REJECTS, STAGING
+from tidemark.sources.orders import CHURN_MONTHS
+from tidemark.sources.warehouse import (
+    AT_RISK,
+    CALENDAR,
+    CELLS,
+    COHORTS,
+    CUSTOMER_MONTHS,
+    CUSTOMERS,
+    FACT,
+    LOG,
+    REJECTS,
+    STAGING,
+)
 
 # Input per shuffle partition. Pruned columns and partial aggregates leave a
 # few percent of it to move, so partitions stay near 100 MB.
 SHUFFLE_BYTES = 2 << 30
 # Scan tasks to aim at; larger inputs get larger splits, up to 1 GB.
 SCAN_TASKS = 200_000
-MART_JOBS = 4
 MIN_SPLIT, MAX_SPLIT = 128 << 20, 1 << 30
+# Marts are partitioned by region; more than so many are no regions.
+MOST_REGIONS = 1000
 
 
 @dataclass(frozen=True)
@@ -58,7 +79,7 @@ def load_settings(spark, input_bytes, buckets):
     """
     partitions = "spark.sql.shuffle.partitions"
     if input_bytes:
-        wanted = math.ceil(input_bytes / SHUFFLE_BYTES)
+        wanted = max(spark.sparkContext.defaultParallelism, math.ceil(input_bytes / SHUFFLE_BYTES))
     else:
         wanted = int(spark.conf.get(partitions))
     settings = {
@@ -77,14 +98,12 @@ def load_settings(spark, input_bytes, buckets):
             spark.conf.set(key, value)
 
 
-def write_audit(wh, run_by, status, loaded=0, rejected=0, error=None, started=None):
-    """One log row. Log ids continue from the highest stored one."""
-    log = wh.get(LOG)
-    last = log.agg(F.max("log_id")).first()[0] if log is not None else None
+def write_audit(wh, number, run_by, status, loaded=0, rejected=0, error=None, started=None, at=None):
+    """One log row, under the number that the load claimed."""
     elapsed = None if started is None else int((time.monotonic() - started) * 1000)
     row = wh.spark.range(1).select(
-        F.lit((last or 0) + 1).cast("bigint").alias("log_id"),
-        F.current_timestamp().alias("run_ts"),
+        F.lit(number).cast("bigint").alias("log_id"),
+        (F.current_timestamp() if at is None else F.lit(at)).cast("timestamp").alias("run_ts"),
         F.lit(run_by).alias("triggered_by"),
         F.lit(FACT).alias("source_table"),
         F.lit(loaded).cast("bigint").alias("rows_loaded"),
@@ -93,98 +112,219 @@ def write_audit(wh, run_by, status, loaded=0, rejected=0, error=None, started=No
         F.lit(error).cast("string").alias("error_message"),
         F.lit(elapsed).cast("bigint").alias("duration_ms"),
     )
-    wh.append(row, LOG)
+    wh.append_log(row)
+
+
+def together(*jobs):
+    """Results of independent jobs; side by side they fill the cluster where one has few tasks."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [job.result() for job in [pool.submit(job) for job in jobs]]
+
+
+def dense_keys(wh, rows: DataFrame, column: str, after: int, name: str) -> DataFrame:
+    """Rows with keys ``after`` + 1, + 2, ... without gaps, written so that they stay as numbered.
+
+    Rows are numbered within the partitions that write them; counts per partition, a row each,
+    give where each partition's numbers begin. No row is sorted or moved for it.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = wh.scratch(rows.withColumns({"_of": F.spark_partition_id(), "_nth": within}), name)
+    counts = numbered.groupBy("_of").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_of", before.alias("_start"))
+    key = F.col("_start") + F.col("_nth") + F.lit(after + 1)
+    # As many rows as the write had tasks.
+    return numbered.join(F.broadcast(starts), "_of").withColumn(column, key).drop("_of", "_nth", "_start")
+
+
+def _iso(month) -> str:
+    return month.isoformat()
+
 
+def _months_back(month: str, months: int) -> str:
+    at = date.fromisoformat(month)
+    total = at.year * 12 + at.month - 1 - months
+    return date(total // 12, total % 12 + 1, 1).isoformat()
 
-def _load(wh, stg, calendar, plans, account_grain):
-    spark = wh.spark
-    wh.prepare(calendar)
-    last_load, top, top_customer = wh.ceilings()
-    load_id = last_load + 1
-    wh.note_load(_note(spark, load_id, "begun"))
+
+def observed_month(state) -> str | None:
+    """The newest month whose churn is in the data: rows reach ``CHURN_MONTHS`` beyond it; else the newest."""
+    newest = state.newest()
+    if newest is None:
+        return None
+    limit = _months_back(newest, CHURN_MONTHS)
+    return max((m for m in state.rows if m <= limit), default=newest)
+
+
+def _load(wh, number, stg, calendar, plans, account_grain, correct, step):
+    spark, base = wh.spark, wh.published()
+    before = wh.bound(base)
+    state = replace(base, loads=(*base.loads, number), staging=number)
+    own = wh.bound(state)
     buckets = wh.layout() or wh.fix_layout(wh.buckets)
     # At account grain: one row per account and month, with the account's key.
-    stored = wh.replace(stg, STAGING, buckets) if account_grain else wh.replace(stg.select(*staging.COLUMNS), STAGING)
+    kept_rows = stg if account_grain else staging.staged(stg)
+    _, _, stored = together(
+        wh.prepare,
+        lambda: _grow_calendar(wh, before, number, calendar),
+        lambda: wh.add(kept_rows, STAGING, number, buckets if account_grain else 0),
+    )
+    step(CALENDAR)
+    step(STAGING)
 
     plans = seeds.plans(spark) if plans is None else plans
-    classified = staging.classify(stored, plans, wh.read(CALENDAR))
+    classified = staging.classify(stored, plans, own.read(CALENDAR))
     is_good = F.col("reject_reason").isNull()
+    good_month = F.when(is_good, F.col("month"))
     summary = classified.agg(
         F.count_if(is_good).alias("good"),
         F.count_if(~is_good).alias("rejected"),
-        F.min(F.when(is_good, F.col("month"))).alias("lo"),
-        F.max(F.when(is_good, F.col("month"))).alias("hi"),
+        F.min(good_month).alias("lo"),
+        F.max(good_month).alias("hi"),
+        F.approx_count_distinct(F.when(is_good, F.col("region"))).alias("regions"),
     ).first()
+    if summary["regions"] > MOST_REGIONS:
+        raise ValueError(f"about {summary['regions']} different regions; a mart has a partition for each")
     if summary["rejected"]:
-        wh.append(staging.reject_rows(classified.filter(~is_good), load_id), REJECTS)
+        wh.add(staging.reject_rows(classified.filter(~is_good), number), REJECTS, number)
     good = classified.filter(is_good)
     if not account_grain:
         kept, refused = staging.one_per_account_month(good.drop("reject_reason"))
-        good = wh.scratch(kept, "good")
+        good = wh.scratch(kept, f"good-{number}")
         if good.count() < summary["good"]:
-            wh.append(staging.reject_rows(refused, load_id, "repeated_account_month"), REJECTS)
+            wh.add(staging.reject_rows(refused, number, "repeated_account_month"), REJECTS, number)
+    step(REJECTS)
 
-    customers = wh.get(CUSTOMERS)
-    fresh = facts.new_customers(good, customers)
+    fresh = facts.new_customers(good, before.get(CUSTOMERS))
     if not account_grain:
-        # Written before use: a recomputed task could hand out its keys differently.
-        fresh = wh.scratch(facts.with_surrogate_keys(fresh, "customer_key", top_customer), "new_customers")
+        fresh = dense_keys(wh, fresh, "customer_key", base.top_customer_key, f"new_customers-{number}")
         fresh = warehouse.co_locate(fresh, buckets)
     fresh = fresh.withColumn("created_at", F.current_timestamp()).select(*S.CUSTOMER.fieldNames())
-    customers = wh.append(fresh, CUSTOMERS, buckets)
+    added = wh.add(fresh, CUSTOMERS, number, buckets)
+    if not account_grain:
+        top_customer = added.agg(F.max("customer_key")).first()[0]
+        state = replace(state, top_customer_key=top_customer or base.top_customer_key)
+    customers = own.read(CUSTOMERS)
+    step(CUSTOMERS)
 
     rows = facts.fact_rows(good, customers)
     if not account_grain:
         rows = warehouse.co_locate(rows, buckets)
-    loaded = wh.get(FACT)
-    if loaded is not None and summary["lo"] is not None:
-        rows, differing = facts.against_stored(rows, loaded, summary["lo"], summary["hi"])
-        wh.append(staging.reject_rows(differing, load_id, "differs_from_stored"), REJECTS)
+    anew = []
+    fact = before.get(FACT)
+    if fact is not None and summary["lo"] is not None:
+        new, differing = facts.against_stored(rows, fact, summary["lo"], summary["hi"])
+        if correct:
+            anew = sorted(r.date_key for r in differing.select("date_key").distinct().collect())
+        else:
+            wh.add(staging.reject_rows(differing, number, "differs_from_stored"), REJECTS, number)
+        rows = facts.corrected(new, differing, fact, anew) if anew else new
     # Keys are assigned after all shuffles, in the tasks that write them.
-    rows = facts.with_surrogate_keys(rows, "sub_key", top)
-    rows = rows.withColumn("loaded_at", F.current_timestamp()).select(*S.FACT.fieldNames())
-    written = wh.append(rows, FACT, buckets)
-
-    # Counted from the batch's months of the table: counters inside a retried stage may count twice.
-    per_month = (
-        written.filter(F.col("date_key").between(F.lit(summary["lo"]), F.lit(summary["hi"])) & (F.col("sub_key") > top))
-        .groupBy("date_key")
-        .agg(F.count("*").alias("rows"), F.max("sub_key").alias("top_sub_key"))
+    rows = facts.with_surrogate_keys(rows, "sub_key", base.top_sub_key)
+    now = F.current_timestamp()
+    rows = rows.withColumn("loaded_at", F.coalesce("loaded_at", now) if anew else now)
+    written = wh.add(rows.select(*S.FACT.fieldNames()), FACT, number, buckets)
+    step(FACT)
+
+    # Counted from what was written: counters inside a retried stage may count twice.
+    counts = (
+        written.groupBy("date_key", "region")
+        .agg(
+            F.count("*").alias("rows"),
+            F.max("sub_key").alias("top"),
+            F.count_if(F.col("sub_key") > base.top_sub_key).alias("loaded"),
+        )
+        .collect()
     )
-    end = _note(spark, load_id, "ended", top, None if account_grain else _top(customers, top_customer))
-    months = per_month.select(
-        F.lit(load_id).cast("bigint").alias("load_id"),
-        F.lit("month").alias("phase"),
-        "date_key",
-        "rows",
-        "top_sub_key",
-        F.lit(None).cast("bigint").alias("top_customer_key"),
+    state = _with_rows(state, base, counts, anew, number)
+    state = write_marts(wh, before, wh.bound(state), written, number, plans, anew, step)
+    refused = wh.bound(state).get(REJECTS)
+    rejected = refused and refused.filter(F.col("load_id") == number).agg(F.sum("copies")).first()[0]
+    step("publication")
+    wh.publish(state)
+    # The staging rows before these stay for readers of the publication before.
+    wh.drop_loads([n for n in base.loads if n < base.staging], (STAGING,))
+    return sum(r.loaded for r in counts), rejected or 0
+
+
+def _grow_calendar(wh, before, number, calendar):
+    known = before.get(CALENDAR)
+    first = known is None or not before.published().loads
+    if first or calendar:
+        span = seeds.calendar(wh.spark, *(calendar or (S.CALENDAR_FIRST, S.CALENDAR_LAST)))
+        more = span if first else span.join(known.select("date_key"), "date_key", "left_anti")
+        if not more.isEmpty():
+            wh.add(more.coalesce(1), CALENDAR, number)
+
+
+def _with_rows(state, base, counts, anew, number):
+    """The state with the rows that a load wrote, by month and region."""
+    rows = {m: dict(found) for m, found in base.rows.items() if date.fromisoformat(m) not in anew}
+    for r in counts:
+        of = rows.setdefault(_iso(r.date_key), {})
+        of[r.region] = of.get(r.region, 0) + r.rows
+    return replace(
+        state,
+        rows=rows,
+        since=state.since | {_iso(m): number for m in anew},
+        top_sub_key=max([base.top_sub_key, *[r.top for r in counts]]),
     )
-    wh.note_load(months.unionByName(end))
-    write_marts(wh)
-    noted = wh.loads().filter(F.col("load_id") == load_id)
-    refused = wh.get(REJECTS)
-    rejected = refused and refused.filter(F.col("load_id") == load_id).agg(F.sum("copies")).first()[0]
-    return noted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], rejected or 0
-
 
-def _top(customers, before):
-    """The highest assigned customer key, from the keys assigned by this load."""
-    return customers.filter(F.col("customer_key") > before).agg(F.max("customer_key")).first()[0] or before
 
-
-def _note(spark, load_id, phase, top=None, top_customer=None):
-    return spark.createDataFrame([(load_id, phase, None, None, top, top_customer)], S.LOADS)
+def write_marts(wh, before, own, written, number, plans, anew, step):
+    """Stores the mart rows of the months that a load touched; returns the state that has them."""
+    state, base, buckets = own.published(), before.published(), wh.layout()
+    touched = sorted({*[m for m in state.rows if state.rows[m] != base.rows.get(m)], *map(_iso, anew)})
+    fact = own.read(FACT)
+
+    def of(months):
+        return fact.filter(F.col("date_key").isin([date.fromisoformat(m) for m in months]))
+
+    shown = {m for m in (state.newest(), observed_month(state)) if m}
+    stale = sorted(m for m in shown if m in touched or m not in base.boards)
+
+    def cells():
+        if touched:
+            wh.add(marts.cells(of(touched), own.read(CUSTOMERS), plans), CELLS, number)
+
+    def at_risk():
+        if stale:
+            wh.add(marts.at_risk_rows(of(stale), own.read(CUSTOMERS), plans), AT_RISK, number)
+
+    def cohorts():
+        """The months whose cohorts were written."""
+        if not touched:
+            return []
+        wh.add(marts.customer_months(fact if anew else written), CUSTOMER_MONTHS, number, buckets)
+        # A corrected row may have left a region: what was merged can't tell, the fact can.
+        merged = wh.bound(replace(state, months_since=number) if anew else state).read(CUSTOMER_MONTHS)
+        moved = _first_moved(before.get(CUSTOMER_MONTHS), merged) if base.loads else None
+        again = touched if moved is None else [m for m in state.rows if m in touched or m >= moved]
+        wh.add(marts.cohort_cells(of(again), merged), COHORTS, number)
+        return again
+
+    *_, again = together(cells, at_risk, cohorts)
+    for name in (CELLS, COHORTS, AT_RISK):
+        step(name)
+    return replace(
+        state,
+        months_since=number if anew else state.months_since,
+        cells=state.cells | dict.fromkeys(touched, number),
+        cohorts=state.cohorts | dict.fromkeys(again, number),
+        boards={m: number if m in stale else base.boards[m] for m in sorted(shown)},
+    )
 
 
-def write_marts(wh) -> None:
-    """Stores the mart rows that dashboards read, once per load."""
-    suite = Suite.over(wh)
-    # Independent jobs; side by side they fill the cluster where one mart has few groups.
-    with ThreadPoolExecutor(MART_JOBS) as pool:
-        jobs = [pool.submit(wh.replace, getattr(suite, view), table) for table, view in STORED_VIEWS.items()]
-        for job in jobs:
-            job.result()
+def _first_moved(old: DataFrame, new: DataFrame) -> str | None:
+    """The earliest month from which a customer's cohort is another one than before; None if all stand."""
+    earliest = []
+    for was, now in zip(marts.first_months(old), marts.first_months(new)):
+        *keys, first = was.columns
+        both = was.withColumnRenamed(first, "was").join(now.withColumnRenamed(first, "now"), keys, "left")
+        differs = both.filter(~F.col("was").eqNullSafe(F.col("now")))
+        earliest.append(differs.agg(F.min(F.least("was", F.coalesce("now", "was")))).first()[0])
+    found = [m for m in earliest if m is not None]
+    return min(found).isoformat() if found else None
 
 
 def run(
@@ -195,43 +335,78 @@ def run(
     plans=None,
     input_bytes=0,
     account_grain=False,
+    correct=False,
+    at=None,
+    step=None,
 ) -> LoadResult:
     """Loads a staging frame.
 
-    ``calendar``, a pair of months, grows the stored calendar before the load;
+    ``calendar``, a pair of months, grows the stored calendar with the load;
     rows of other months are refused. ``account_grain`` is the caller's word that
     the rows carry the source's own ``customer_key``, hashed by it, at most one
-    per account and month.
+    per account and month. ``correct`` lets rows that differ from stored ones replace them.
+    ``at`` is the time that the log gives the run, ``step`` is called with the name of
+    each thing that is about to stand.
     """
     started = time.monotonic()
+    number = wh.claim()
     try:
         with load_settings(wh.spark, input_bytes, wh.layout() or wh.buckets):
-            loaded, rejected = _load(wh, stg, calendar, plans, account_grain)
+            loaded, rejected = _load(wh, number, stg, calendar, plans, account_grain, correct, step or (lambda name: None))
     except Exception as e:
         # Written on its own, so it stays although the load did not.
-        write_audit(wh, run_by, "FAILED", error=str(e), started=started)
+        write_audit(wh, number, run_by, "FAILED", error=str(e), started=started, at=at)
         raise
     status = "PARTIAL" if rejected else "SUCCESS"
-    write_audit(wh, run_by, status, loaded, rejected, started=started)
+    write_audit(wh, number, run_by, status, loaded, rejected, started=started, at=at)
     return LoadResult(loaded, rejected, status)
 
 
-def purge_log(wh, as_of=None, days=S.LOG_RETENTION_DAYS) -> None:
-    """Swaps in the log without expired rows; part of the scheduled refresh."""
+def purge_log(wh, as_of=None, days=S.LOG_RETENTION_DAYS) -> list[str]:
+    """Deletes the days of the log that have expired as a whole; part of the scheduled refresh."""
     as_of = F.current_timestamp() if as_of is None else as_of
-    wh.replace(audit.retained(wh.read(LOG), as_of, days), LOG)
+    last = wh.spark.range(1).select(F.to_date(as_of - F.make_dt_interval(F.lit(days)))).first()[0]
+    return wh.drop_log_days(last)
 
 
 def compact(wh) -> None:
-    """Rewrites the fact with one file per month and bucket, after many small loads."""
-    buckets = wh.layout()
+    """Writes all tables anew under one load id, after many small loads, and drops the old files.
+
+    Published like a load: readers see the old files or the new ones. Readers that still hold
+    the publication before lose their files, so it belongs where nobody reads.
+    """
+    base = wh.published()
+    before = wh.bound(base)
+    number, buckets = wh.claim(), wh.layout()
     with load_settings(wh.spark, 0, buckets):
-        # Read bucket by bucket, so rows are hashed already and one task writes a bucket's files.
-        wh.replace(warehouse.co_locate(wh.read(FACT), buckets), FACT, buckets)
+        for table in warehouse.LOADED:
+            df = before.get(table)
+            if df is None:
+                continue
+            keyed = table in warehouse.SORT_KEYS and "customer_key" in df.columns
+            if table == CUSTOMER_MONTHS:
+                df = marts.customer_months(before.read(FACT))
+            if table in warehouse.MARTS or table in (CALENDAR, REJECTS):
+                df = df.coalesce(1) if table != AT_RISK else df
+            elif keyed:
+                # Read bucket by bucket, so rows are hashed already and one task writes a bucket's files.
+                df = warehouse.co_locate(df, buckets)
+            wh.add(df, table, number, buckets if keyed else 0)
+    one = replace(
+        base,
+        loads=(number,),
+        staging=number,
+        since={},
+        months_since=0,
+        **{name: dict.fromkeys(getattr(base, name), number) for name in ("cells", "cohorts", "boards")},
+    )
+    wh.publish(one)
+    wh.drop_loads(base.loads)
 
 
 def verify(wh) -> tuple[DataFrame, DataFrame]:
     """Row counts of the six tables and the newest log row."""
+    wh = wh.bound()
     counts = audit.table_counts(
         {
             "dim_customer": wh.read(CUSTOMERS),

@@ -6,10 +6,12 @@ their rounding), so that agreement means something.
 """
 
 from tidemark import schemas as S
-from tidemark.plans.registry import ANALYST_REGION
+from tidemark.plans.registry import CORRECTED_MONTHS, RELOAD_DAYS
 from tidemark.sources.orders import CHURN_MONTHS
 
 MONEY = "DECIMAL(28,2)"
+# The region of the analyst in the seeded policy.
+ANALYST_REGION = "EMEA"
 
 
 def _half_up(expr, digits):
@@ -117,6 +119,22 @@ CTES = {
                {_score()} AS churn_risk_score, region, segment
            FROM stg JOIN plans ON plan_name = plan_type""",
     ),
+    # The last year without the revenue of orders that had a line returned.
+    "corrected": (
+        ["fact"],
+        f"""SELECT * REPLACE (CASE WHEN date_key + INTERVAL {CORRECTED_MONTHS} MONTH > (SELECT max(date_key) FROM fact)
+                   THEN CAST(coalesce((SELECT sum(CAST(o_totalprice AS DECIMAL(12,2))) FROM orders
+                       WHERE o_custkey = customer_key AND date_trunc('month', o_orderdate) = date_key
+                       AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), 0) AS DECIMAL(18,2))
+                   ELSE monthly_revenue END AS monthly_revenue)
+           FROM fact""",
+    ),
+    # The newest month whose churn is in the data: rows reach a year beyond it.
+    "shown": (
+        ["fact"],
+        f"""SELECT coalesce(max(date_key) FILTER (date_key + INTERVAL {CHURN_MONTHS} MONTH <= last), max(last)) AS month
+           FROM fact, (SELECT max(date_key) AS last FROM fact)""",
+    ),
     "mrr": (
         ["fact"],
         f"""SELECT month, mrr, CAST(mrr * 12 AS {MONEY}) AS arr, customers AS active_customers,
@@ -156,13 +174,13 @@ CTES = {
            WINDOW w AS (PARTITION BY cohort_month ORDER BY period_num)""",
     ),
     "at_risk": (
-        ["fact", "customers"],
+        ["fact", "customers", "shown"],
         """SELECT customer_id, c.region, c.segment, plan_name, channel, date_key AS last_active_month,
                churn_risk_score, usage_score, support_tickets, failed_payments,
                CASE WHEN churn_risk_score >= 70 THEN 'HIGH' WHEN churn_risk_score >= 40 THEN 'MEDIUM'
                     ELSE 'LOW' END AS risk_tier, monthly_revenue
            FROM fact JOIN customers c USING (customer_key)
-           WHERE churn_flag = 0 AND date_key = (SELECT max(date_key) FROM fact)""",
+           WHERE churn_flag = 0 AND date_key = (FROM shown)""",
     ),
     "region_month": (
         ["fact"],
@@ -194,8 +212,8 @@ CTES = {
                CAST(sum(monthly_revenue) AS {MONEY}) AS mrr, count(DISTINCT customer_key) AS customers
            FROM fact GROUP BY ALL""",
     ),
-    "mix_latest": (["mix"], "SELECT * FROM mix WHERE month = (SELECT max(month) FROM mix)"),
-    "drill_latest": (["drill"], "SELECT * FROM drill WHERE month = (SELECT max(month) FROM drill)"),
+    "mix_latest": (["mix", "shown"], "SELECT * FROM mix WHERE month = (FROM shown)"),
+    "drill_latest": (["drill", "shown"], "SELECT * FROM drill WHERE month = (FROM shown)"),
     "feed": (
         ["alerts"],
         f"""SELECT date_key, strftime(date_key, '%b %y') AS month_label, region,
@@ -245,6 +263,15 @@ CTES = {
                  SELECT 2, 'manual:reload', count(*) FILTER (month = newest), 0
                  FROM stg, (SELECT max(month) AS newest FROM stg))""",
     ),
+    # All months but the newest, which a lost load leaves as they were, and all of them.
+    "told": (
+        ["stg"],
+        """SELECT phase, count(*) AS rows, count(DISTINCT customer_key) AS customers,
+               CAST(sum(monthly_revenue) AS DECIMAL(38,2)) AS revenue, count(DISTINCT month) AS months
+           FROM stg JOIN (SELECT max(month) AS until, 'after the rerun' AS phase FROM stg UNION ALL
+               SELECT max(month), 'after the lost load' FROM stg WHERE month < (SELECT max(month) FROM stg)) ON month <= until
+           GROUP BY phase""",
+    ),
     "calendar": (
         ["stg"],
         """SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS date_key
@@ -306,7 +333,7 @@ BODIES = {
     "alerts": (["alerts"], "SELECT * FROM alerts"),
     # The drop is a percentage, and is compared with the stored limits as they are.
     "active_alerts": (
-        ["alerts", "thresholds"],
+        ["alerts", "thresholds", "shown"],
         """SELECT date_key, region, alert_type, value AS metric_value,
                CASE WHEN if(direction = 'ABOVE', value >= critical_threshold::DOUBLE,
                             value <= critical_threshold::DOUBLE) THEN 'CRITICAL'
@@ -316,7 +343,7 @@ BODIES = {
                      churn_rate AS value FROM alerts WHERE churn_spike_flag
                  UNION ALL SELECT date_key, region, 'REVENUE_DROP', 'mrr_drop_pct', mrr_change_pct
                  FROM alerts WHERE revenue_drop_flag)
-           JOIN thresholds USING (metric_name) WHERE date_key = (SELECT max(date_key) FROM alerts)""",
+           JOIN thresholds USING (metric_name) WHERE date_key = (FROM shown)""",
     ),
     "revenue_mix": (["mix"], "SELECT * FROM mix"),
     "health_signals": (
@@ -427,7 +454,49 @@ BODIES = {
         """SELECT triggered_by, source_table, rows_loaded, status
            FROM runs ORDER BY log_id DESC LIMIT 1""",
     ),
-    "refresh_log_retained": (["runs"], "SELECT * FROM runs"),
+    # The close was long before the reload.
+    "refresh_log_retained": (
+        ["runs"],
+        f"""SELECT * FROM runs WHERE {RELOAD_DAYS} * (log_id - (SELECT max(log_id) FROM runs)) >= -{S.LOG_RETENTION_DAYS}""",
+    ),
+    "load_after_failure": (
+        ["told"],
+        """SELECT 'fact_subscriptions' AS table_name, rows AS row_count, revenue, months, phase FROM told
+           UNION ALL SELECT 'dim_customer', customers, revenue, months, phase FROM told""",
+    ),
+    "load_after_failure_log": (
+        ["stg"],
+        """SELECT log_id, triggered_by, 'fact_subscriptions' AS source_table, CAST(rows_loaded AS BIGINT) AS rows_loaded,
+               CAST(0 AS BIGINT) AS rows_rejected, status, error_message
+           FROM (SELECT 1 AS log_id, 'nightly' AS triggered_by, count(*) FILTER (month < newest) AS rows_loaded,
+                     'SUCCESS' AS status, CAST(NULL AS VARCHAR) AS error_message FROM stg, (SELECT max(month) AS newest FROM stg)
+                 UNION ALL SELECT 2, 'nightly', 0, 'FAILED', 'driver lost'
+                 UNION ALL SELECT 3, 'rerun', count(*) FILTER (month = newest), 'SUCCESS', NULL
+                 FROM stg, (SELECT max(month) AS newest FROM stg))""",
+    ),
+    "fact_after_corrections": (["corrected"], "SELECT * EXCLUDE (plan_name) FROM corrected"),
+    "mrr_after_corrections": (["mrr"], "SELECT * FROM mrr"),
+    "corrections_log": (
+        ["fact", "corrected"],
+        """SELECT 1 AS log_id, 'nightly' AS triggered_by, 'fact_subscriptions' AS source_table, count(*) AS rows_loaded,
+               CAST(0 AS BIGINT) AS rows_rejected, 'SUCCESS' AS status, CAST(NULL AS VARCHAR) AS error_message FROM fact
+           UNION ALL SELECT 2, 'correction', 'fact_subscriptions', count(*), 0, 'SUCCESS', NULL
+           FROM fact JOIN corrected c USING (customer_key, date_key) WHERE fact.monthly_revenue <> c.monthly_revenue""",
+    ),
+    "line_rejects": (
+        ["stg"],
+        """SELECT reason AS reject_reason, CAST(count(*) AS BIGINT) AS rows_rejected,
+               CAST(count(*) FILTER (lane < 4) AS BIGINT) AS with_text
+           FROM (SELECT customer_key % 20 AS lane,
+                     ['surplus_fields', 'missing_fields', 'broken_quote', 'unparsable_value', 'unknown_plan',
+                      'usage_out_of_range', 'flag_not_0_or_1', 'missing_value'][CAST(customer_key % 20 AS INT) + 1] AS reason
+                 FROM stg WHERE customer_key % 20 < 8) GROUP BY reason""",
+    ),
+    "unparsed_revenue": (
+        ["stg"],
+        """SELECT customer_id, replace(CAST(monthly_revenue AS VARCHAR), '.', 'o') AS text
+           FROM stg WHERE customer_key % 20 = 3""",
+    ),
     "table_counts": (
         ["customers", "plans", "fact", "stg"],
         _counts(
@@ -570,6 +639,9 @@ def statement(query: str) -> str:
     sql = {name: CTES[name][1] for name in _closure(reads)}
     if query == "rls_mrr_monthly":
         sql["fact"] += f" WHERE region = '{ANALYST_REGION}'"
+    if query == "mrr_after_corrections":
+        reads = ["corrected"]
+        sql = {name: CTES[name][1] for name in _closure(reads)} | {"mrr": sql["mrr"].replace("FROM fact", "FROM corrected")}
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in sql.items())
     return f"WITH {ctes}\n{body}"
 

@@ -10,11 +10,13 @@ temporary folder of its own.
 import tempfile
 import threading
 import time
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas as S
 from tidemark.functions import anon_id, risk_score
 from tidemark.operators import alerting, audit, constraints, dashboard, security
 from tidemark.operators import fact as facts
@@ -25,7 +27,8 @@ from tidemark.sources import orders, seeds, staging, warehouse
 
 # Fixed inputs of single queries; plans.oracle uses the same values.
 ANALYST = "bi_analyst_emea"
-ANALYST_REGION = "EMEA"
+RELOAD_DAYS = 100
+CORRECTED_MONTHS = 12
 
 _roots: dict[tuple, str] = {}
 _exports: set[str] = set()
@@ -156,10 +159,9 @@ def threshold_hits(spark, sf_dir):
 
 def dim_date(spark, sf_dir):
     """The stored calendar from the first to the last loaded month."""
-    wh = loaded_warehouse(spark, sf_dir)
-    loaded = wh.loads()
-    first, last = (loaded.select(edge("date_key")).scalar() for edge in (F.min, F.max))
-    return wh.read(warehouse.CALENDAR).filter(F.col("date_key").between(first, last))
+    wh = loaded_warehouse(spark, sf_dir).bound()
+    months = [date.fromisoformat(m) for m in wh.published().rows]
+    return wh.read(warehouse.CALENDAR).filter(F.col("date_key").between(F.lit(min(months)), F.lit(max(months))))
 
 
 def dim_customer(spark, sf_dir):
@@ -174,8 +176,8 @@ def natural_warehouse(spark, sf_dir) -> warehouse.Warehouse:
     """A warehouse loaded from the CSV, with assigned keys, as a monthly close goes.
 
     Its calendar first ends with the last complete month, so rows of the running
-    month are refused and kept as rejects. Then the calendar is grown and the
-    file loaded again: only those rows are new.
+    month are refused and kept as rejects. Then, a good while later, the calendar is
+    grown and the file loaded again: only those rows are new.
     """
 
     def fill(wh):
@@ -183,12 +185,146 @@ def natural_warehouse(spark, sf_dir) -> warehouse.Warehouse:
         size = warehouse.planned_bytes(stg)
         span = _staged(spark, sf_dir).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
         span = span.withColumn("before", F.add_months("hi", -1)).first()
-        load.run(wh, stg, "manual:close", calendar=(span["lo"], span["before"]), input_bytes=size)
-        load.run(wh, stg, "manual:reload", calendar=(span["hi"], span["hi"]), input_bytes=size)
+        close = datetime(span["hi"].year, span["hi"].month, 1, 3)
+        load.run(wh, stg, "manual:close", calendar=(span["lo"], span["before"]), input_bytes=size, at=close)
+        again = close + timedelta(days=RELOAD_DAYS)
+        load.run(wh, stg, "manual:reload", calendar=(span["hi"], span["hi"]), input_bytes=size, at=again)
 
     return _warehouse(spark, sf_dir, "natural", fill)
 
 
+def recovered_warehouse(spark, sf_dir) -> warehouse.Warehouse:
+    """A warehouse whose second load was lost when all was written but the pointer, and was then run again."""
+
+    def fill(wh):
+        stg = _staged(spark, sf_dir)
+        newest = stg.agg(F.max("month")).first()[0]
+        size = input_bytes(spark, sf_dir)
+        load.run(wh, stg.filter(F.col("month") < F.lit(newest)), "nightly", input_bytes=size, account_grain=True)
+
+        def lost(name):
+            if name == "publication":
+                raise RuntimeError("driver lost")
+
+        try:
+            load.run(wh, stg, "nightly", input_bytes=size, account_grain=True, step=lost)
+        except RuntimeError:
+            load.run(wh, stg, "rerun", input_bytes=size, account_grain=True)
+
+    return _warehouse(spark, sf_dir, "recovered", fill)
+
+
+def load_after_failure(spark, sf_dir):
+    """What readers found after the first load, which the lost one left alone, and after the rerun."""
+    wh = recovered_warehouse(spark, sf_dir)
+    phases = []
+    for version, phase in ((1, "after the lost load"), (2, "after the rerun")):
+        suite = StoredSuite.over(wh.bound(wh.published(version)))
+        rows = audit.table_counts({"fact_subscriptions": suite.fact, "dim_customer": suite.customers})
+        revenue, months = (suite.mrr.select(total).scalar() for total in (F.sum("mrr"), F.count("*")))
+        phases.append(rows.withColumns({"revenue": revenue, "months": months, "phase": F.lit(phase)}))
+    return reduce(DataFrame.unionByName, phases)
+
+
+def load_after_failure_log(spark, sf_dir):
+    return audit.without_clock(recovered_warehouse(spark, sf_dir).read(warehouse.LOG))
+
+
+def without_returns(spark, sf_dir) -> DataFrame:
+    """Staging rows of the last ``CORRECTED_MONTHS`` months with the revenue of orders that had no return."""
+    tables = orders.read_tables(spark, sf_dir)
+    returned = tables["lineitem"].filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    month = F.trunc("o_orderdate", "MM").alias("month")
+    net = (
+        tables["orders"]
+        .join(returned, "o_orderkey", "left_anti")
+        .groupBy(F.col("o_custkey").alias("customer_key"), month)
+        .agg(F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast(S.REVENUE).alias("net"))
+    )
+    stg = _staged(spark, sf_dir)
+    last = stg.select(F.add_months(F.max("month"), 1 - CORRECTED_MONTHS)).scalar()
+    rows = stg.filter(F.col("month") >= last).join(net, ["customer_key", "month"], "left")
+    revenue = F.coalesce("net", F.lit(0).cast(S.REVENUE))
+    return rows.withColumn("monthly_revenue", revenue).drop("net").select(*stg.columns)
+
+
+def corrected_warehouse(spark, sf_dir) -> warehouse.Warehouse:
+    """A warehouse in which the last year's revenue was corrected after its first load."""
+
+    def fill(wh):
+        size = input_bytes(spark, sf_dir)
+        load.run(wh, _staged(spark, sf_dir), "nightly", input_bytes=size, account_grain=True)
+        batch = warehouse.co_locate(without_returns(spark, sf_dir), wh.layout())
+        load.run(wh, batch, "correction", input_bytes=size, account_grain=True, correct=True)
+
+    return _warehouse(spark, sf_dir, "corrected", fill)
+
+
+def fact_after_corrections(spark, sf_dir):
+    return Suite.over(corrected_warehouse(spark, sf_dir)).fact.drop("sub_key", "loaded_at")
+
+
+def mrr_after_corrections(spark, sf_dir):
+    """Revenue by month as the stored marts have it after a correction."""
+    return StoredSuite.over(corrected_warehouse(spark, sf_dir)).mrr
+
+
+def corrections_log(spark, sf_dir):
+    return audit.without_clock(corrected_warehouse(spark, sf_dir).read(warehouse.LOG))
+
+
+def damaged_lines(stg: DataFrame) -> DataFrame:
+    """CSV lines of staging rows, some of them damaged the ways that files are, by account."""
+    key = F.col("customer_key") % 20
+    fields = [F.col(c).cast("string").alias(c) for c in staging.COLUMNS]
+    text = stg.select("customer_key", *fields).withColumns(
+        {
+            "monthly_revenue": F.when(key == 3, F.replace("monthly_revenue", F.lit("."), F.lit("o"))).otherwise(F.col("monthly_revenue")),
+            "plan_type": F.when(key == 4, "Platinum").otherwise(F.col("plan_type")),
+            "usage_score": F.when(key == 5, "1.5").otherwise(F.col("usage_score")),
+            "churn_flag": F.when(key == 6, "2").otherwise(F.col("churn_flag")),
+            "channel": F.when(key == 7, "").otherwise(F.col("channel")),
+        }
+    )
+    line = F.concat_ws(",", *staging.COLUMNS)
+    return text.select(
+        F.when(key == 0, F.concat(line, F.lit(",late,more")))
+        .when(key == 1, F.regexp_replace(line, ",[^,]*,[^,]*$", ""))
+        .when(key == 2, F.concat(F.lit('"'), line))
+        .otherwise(line)
+        .alias("value")
+    )
+
+
+def quarantine_warehouse(spark, sf_dir) -> warehouse.Warehouse:
+    """A warehouse loaded from a file in which a part of the accounts has damaged lines."""
+
+    def fill(wh):
+        path = f"{wh.root}/inbox/lines"
+        damaged_lines(_staged(spark, sf_dir)).write.text(path)
+        stg = staging.read_csv(spark, path, header=False)
+        load.run(wh, stg, "inbox", input_bytes=warehouse.planned_bytes(stg))
+
+    return _warehouse(spark, sf_dir, "quarantine", fill)
+
+
+def line_rejects(spark, sf_dir):
+    """Refused lines by reason, with how many of them still have their text."""
+    rejects = quarantine_warehouse(spark, sf_dir).read(warehouse.REJECTS)
+    text = F.get_json_object("row", f"$.{staging.LINE}")
+    return rejects.groupBy("reject_reason").agg(
+        F.sum("copies").alias("rows_rejected"), F.count_if(text.isNotNull()).alias("with_text")
+    )
+
+
+def unparsed_revenue(spark, sf_dir):
+    """The revenue texts that did not parse, as they stood in the lines."""
+    rejects = quarantine_warehouse(spark, sf_dir).read(warehouse.REJECTS)
+    text = F.get_json_object(F.get_json_object("row", f"$.{staging.LINE}"), "$.monthly_revenue")
+    unread = rejects.filter("reject_reason = 'unparsable_value'")
+    return unread.select(F.get_json_object("row", "$.customer_id").alias("customer_id"), text.alias("text"))
+
+
 def load_rejects(spark, sf_dir):
     """Refused rows of the CSV loads by reason."""
     return staging.reject_counts(natural_warehouse(spark, sf_dir).read(warehouse.REJECTS))
@@ -288,9 +424,22 @@ def _of(build):
     return lambda spark, sf_dir: build(_suite(spark, sf_dir))
 
 
-def _stored(build):
+def _stored(build, **seen):
     """A dashboard query over the marts that the last load stored."""
-    return lambda spark, sf_dir: build(StoredSuite.over(loaded_warehouse(spark, sf_dir)))
+    return lambda spark, sf_dir: build(StoredSuite.over(loaded_warehouse(spark, sf_dir), **seen))
+
+
+def _observed(build, kind=StoredSuite, **seen):
+    """A latest-month query as of the newest month whose churn is in the data.
+
+    The orders end within a month, and whoever has not ordered in it yet is not gone.
+    """
+
+    def query(spark, sf_dir):
+        wh = loaded_warehouse(spark, sf_dir).bound()
+        return build(kind.over(wh, as_of=date.fromisoformat(load.observed_month(wh.published())), **seen))
+
+    return query
 
 
 def published_alerts(spark, sf_dir):
@@ -299,18 +448,15 @@ def published_alerts(spark, sf_dir):
     return fetch_view(spark, "v_alerts")
 
 
-def _restricted(build):
-    """A query on the part of the fact that the EMEA analyst may see."""
-    return lambda spark, sf_dir: build(Suite.over(loaded_warehouse(spark, sf_dir), user=ANALYST))
 
 
 QUERIES = {
     "mrr_monthly": _of(lambda s: s.mrr),
     "revenue_drilldown": _of(lambda s: s.drill),
     "cohort_retention": _of(lambda s: s.cohorts),
-    "accounts_at_risk": _of(lambda s: s.at_risk),
+    "accounts_at_risk": _observed(lambda s: s.at_risk, Suite),
     "alerts": _of(lambda s: s.alerts),
-    "active_alerts": _of(lambda s: s.active_alerts),
+    "active_alerts": _observed(lambda s: s.active_alerts, Suite),
     "revenue_mix": _of(lambda s: s.mix),
     "health_signals": _of(lambda s: s.health),
     "stg_subscriptions": stg_subscriptions,
@@ -327,6 +473,13 @@ QUERIES = {
     "constraint_violations": constraint_violations,
     "fact_rows_json": _of(lambda s: audit.fact_rows_json(s.fact)),
     "load_rejects": load_rejects,
+    "load_after_failure": load_after_failure,
+    "load_after_failure_log": load_after_failure_log,
+    "fact_after_corrections": fact_after_corrections,
+    "mrr_after_corrections": mrr_after_corrections,
+    "corrections_log": corrections_log,
+    "line_rejects": line_rejects,
+    "unparsed_revenue": unparsed_revenue,
     "load_audit": load_audit,
     "load_rerun_counts": load_rerun_counts,
     "fact_by_natural_id": fact_by_natural_id,
@@ -338,31 +491,29 @@ QUERIES = {
     "latest_mrr_row": _stored(lambda s: dashboard.latest_mrr_row(s.mrr)),
     "overview_kpis": _stored(lambda s: dashboard.overview_kpis(s.mrr, s.at_risk)),
     "mrr_churn_trend": _stored(lambda s: dashboard.mrr_churn_trend(s.mrr)),
-    "plan_mix_latest": _stored(lambda s: dashboard.plan_mix(s.mix_latest)),
-    "region_mix_latest": _stored(lambda s: dashboard.region_mix(s.mix_latest)),
+    "plan_mix_latest": _observed(lambda s: dashboard.plan_mix(s.mix_latest)),
+    "region_mix_latest": _observed(lambda s: dashboard.region_mix(s.mix_latest)),
     "region_revenue_alltime": _stored(lambda s: dashboard.region_mix(s.mix)),
-    "segment_stack": _stored(lambda s: dashboard.segment_stack(s.drill_latest)),
-    "churn_by_region": _stored(lambda s: dashboard.churn_by_region(s.drill_latest)),
+    "segment_stack": _observed(lambda s: dashboard.segment_stack(s.drill_latest)),
+    "churn_by_region": _observed(lambda s: dashboard.churn_by_region(s.drill_latest)),
     "revenue_impact_top8": _stored(lambda s: dashboard.revenue_impact(s.drill)),
     "drilldown_kpis_all": _stored(lambda s: dashboard.drilldown_kpis(s.drill)),
     "drilldown_kpis_emea_growth": _stored(
         lambda s: dashboard.drilldown_kpis(s.drill, region="EMEA", plan_name="Growth")
     ),
-    "risk_tier_counts": _stored(lambda s: dashboard.risk_tier_counts(s.at_risk)),
-    "risk_drivers": _stored(lambda s: dashboard.risk_drivers(s.at_risk)),
-    "risk_by_segment": _stored(lambda s: dashboard.risk_by_segment(s.at_risk)),
-    "risk_by_region": _stored(lambda s: dashboard.risk_by_region(s.at_risk)),
-    "top_risk_accounts": _stored(lambda s: dashboard.top_risk_accounts(s.at_risk)),
+    "risk_tier_counts": _observed(lambda s: dashboard.risk_tier_counts(s.at_risk)),
+    "risk_drivers": _observed(lambda s: dashboard.risk_drivers(s.at_risk)),
+    "risk_by_segment": _observed(lambda s: dashboard.risk_by_segment(s.at_risk)),
+    "risk_by_region": _observed(lambda s: dashboard.risk_by_region(s.at_risk)),
+    "top_risk_accounts": _observed(lambda s: dashboard.top_risk_accounts(s.at_risk)),
     "cohort_heatmap": _stored(lambda s: dashboard.cohort_heatmap(s.cohorts)),
     "alert_feed": _stored(lambda s: alerting.alert_feed(s.alerts)),
     "alert_feed_severity": _stored(lambda s: alerting.feed_severity(alerting.alert_feed(s.alerts))),
-    "rls_fact_region_totals": _restricted(lambda s: security.region_totals(s.fact)),
-    "rls_mrr_monthly": _restricted(lambda s: s.mrr),
-    "top_risk_accounts_emea": _stored(
-        lambda s: security.analyst_top_risk(dashboard.top_risk_accounts(s.at_risk), ANALYST_REGION)
-    ),
-    "mrr_latest_emea": _stored(lambda s: security.region_mrr(s.mix_latest, ANALYST_REGION)),
-    "threshold_alerts": _of(
-        lambda s: alerting.threshold_alerts(alerting.region_metrics(s.fact), s.thresholds)
+    "rls_fact_region_totals": _stored(lambda s: s.region_totals, user=ANALYST),
+    "rls_mrr_monthly": _stored(lambda s: s.mrr, user=ANALYST),
+    "top_risk_accounts_emea": _observed(
+        lambda s: security.analyst_top_risk(dashboard.top_risk_accounts(s.at_risk), s.policy, ANALYST)
     ),
+    "mrr_latest_emea": _observed(lambda s: security.visible_mrr(s.mix_latest), user=ANALYST),
+    "threshold_alerts": _stored(lambda s: s.threshold_alerts),
 }

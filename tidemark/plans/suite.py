@@ -1,6 +1,7 @@
 """The tables a query needs, and the published views."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -18,29 +19,50 @@ class Suite:
     customers: DataFrame
     plans: DataFrame
     thresholds: DataFrame
+    # Bound to one publication: all tables are of the same load.
     wh: warehouse.Warehouse | None = None
-    # Months that were loaded, where known: the newest one without asking the fact.
-    months: DataFrame | None = None
+    user: str | None = None
+    policy: DataFrame | None = None
+    # The month that latest-month marts are about; the newest one by default.
+    as_of: date | None = None
 
     @classmethod
-    def over(cls, wh: warehouse.Warehouse, thresholds=None, user=None, policy=None) -> "Suite":
+    def over(cls, wh: warehouse.Warehouse, thresholds=None, user=None, policy=None, as_of=None) -> "Suite":
         """The suite as one user sees it; without a user, everything."""
-        spark = wh.spark
+        wh = wh.bound()
         policy = wh.read(warehouse.POLICY) if policy is None else policy
         return cls(
             fact=security.visible_fact(wh.read(warehouse.FACT), policy, user),
             customers=wh.read(warehouse.CUSTOMERS),
-            plans=seeds.plans(spark),
+            plans=seeds.plans(wh.spark),
             thresholds=wh.read(warehouse.THRESHOLDS) if thresholds is None else thresholds,
             wh=wh,
-            # What one user sees may end in an earlier month than what was loaded.
-            months=wh.loads().filter("date_key IS NOT NULL AND rows > 0") if user is None else None,
+            user=user,
+            policy=policy,
+            as_of=as_of,
         )
 
-    @property
-    def dated(self):
-        """A table whose newest ``date_key`` is the fact's."""
-        return self.fact if self.months is None else self.months
+    def at(self, as_of: date | None) -> "Suite":
+        """The same suite with latest-month marts as of another month."""
+        return replace(self, as_of=as_of)
+
+    @cached_property
+    def regions(self) -> list[str] | None:
+        """The regions that a restricted user may see."""
+        if self.user is None:
+            return None
+        return sorted({r.region for r in security.allowed(self.policy, self.user).collect()})
+
+    @cached_property
+    def month(self):
+        """The month of latest-month marts, as a value that prunes partitions where it is known."""
+        if self.as_of is not None:
+            return F.lit(self.as_of)
+        if self.wh is None:
+            return self.fact.select(F.max("date_key")).scalar()
+        # What one user sees may end in an earlier month than what was loaded.
+        newest = self.wh.published().newest(self.regions)
+        return F.lit(None if newest is None else date.fromisoformat(newest))
 
     @property
     def log(self):
@@ -57,7 +79,7 @@ class Suite:
     @cached_property
     def drill_latest(self):
         # The month filter passes the grouping and reaches the fact scan.
-        return marts.newest(self.drill, "month", self.dated)
+        return marts.newest(self.drill, "month", self.month)
 
     @cached_property
     def cohorts(self):
@@ -65,15 +87,28 @@ class Suite:
 
     @cached_property
     def at_risk(self):
-        return marts.accounts_at_risk(self.fact, self.customers, self.plans, self.dated)
+        return marts.accounts_at_risk(self.fact, self.customers, self.plans, self.month)
+
+    @cached_property
+    def region_months(self):
+        return marts.region_months(self.fact)
+
+    @cached_property
+    def region_totals(self):
+        return security.region_totals(self.fact)
 
     @cached_property
     def alerts(self):
-        return marts.alerts(self.fact)
+        return marts.raised(self.region_months)
 
     @cached_property
     def active_alerts(self):
-        return alerting.active_alerts(self.alerts, self.thresholds)
+        # Without a stated month, the newest one that has an alert row.
+        return alerting.active_alerts(self.alerts, self.thresholds, self.as_of and F.lit(self.as_of))
+
+    @cached_property
+    def threshold_alerts(self):
+        return alerting.threshold_alerts(alerting.metrics_of(self.region_months), self.thresholds)
 
     @cached_property
     def mix(self):
@@ -81,24 +116,83 @@ class Suite:
 
     @cached_property
     def mix_latest(self):
-        return marts.newest(self.mix, "month", self.dated)
+        return marts.newest(self.mix, "month", self.month)
 
     @cached_property
     def health(self):
         return marts.health_signals(self.fact)
 
 
-# Stored mart -> suite attribute.
-STORED_VIEWS = dict(zip(warehouse.MARTS, ("mrr", "drill", "cohorts", "at_risk", "alerts", "mix", "health")))
+class StoredSuite(Suite):
+    """The suite as its last load left it: marts are added up from stored cells.
 
+    A restricted user reads the partitions of the regions that the policy gives, and no others.
+    """
 
-class StoredSuite(Suite):
-    """The suite as its last load left it: marts are read, not computed."""
+    def _visible(self, table, region="region"):
+        return security.visible(self.wh.read(table), self.policy, self.user, region)
+
+    @cached_property
+    def cells(self):
+        return self._visible(warehouse.CELLS)
+
+    @cached_property
+    def mrr(self):
+        return marts.mrr_of(self.cells)
 
+    @cached_property
+    def drill(self):
+        return marts.drilldown_of(self.cells)
+
+    @cached_property
+    def region_months(self):
+        return marts.region_months_of(self.cells)
 
-for _table, _view in STORED_VIEWS.items():
-    setattr(StoredSuite, _view, property(lambda self, table=_table: self.wh.read(table)))
+    @cached_property
+    def region_totals(self):
+        return marts.region_totals_of(self.cells)
+
+    @cached_property
+    def mix(self):
+        return marts.mix_of(self.cells)
 
+    @cached_property
+    def health(self):
+        return marts.health_of(self.cells)
+
+    @cached_property
+    def cohorts(self):
+        if self.user is not None and len(self.regions) > 1:
+            # A customer's first month in either of several regions is not in the cells of each.
+            return super().cohorts
+        cohort = "cohort_month" if self.user is None else "cohort_here"
+        return marts.cohorts_of(self._visible(warehouse.COHORTS), cohort)
+
+    @cached_property
+    def at_risk(self):
+        state = self.wh.published()
+        month = self.as_of.isoformat() if self.as_of else state.newest(self.regions)
+        if month in state.boards:
+            return marts.newest(self._visible(warehouse.AT_RISK, "seen_in"), "last_active_month", self.month).select(
+                *AT_RISK_COLUMNS
+            )
+        return super().at_risk
+
+
+AT_RISK_COLUMNS = [
+    "customer_id",
+    "region",
+    "segment",
+    "plan_name",
+    "channel",
+    "last_active_month",
+    "churn_risk_score",
+    "usage_score",
+    "support_tickets",
+    "failed_payments",
+    "risk_tier",
+    "monthly_revenue",
+]
 
 # View name -> suite attribute and the order a reader gets by default.
 VIEWS = {

@@ -71,10 +71,3 @@ def calendar(spark, first, last) -> DataFrame:
     """One row per month start from ``first`` to ``last``, both included."""
     span = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
     return describe_months(spark.range(1).select(F.explode(span).alias("date_key")))
-
-
-def calendar_of(df: DataFrame, column="month") -> DataFrame:
-    """The calendar that spans a column, computed on the cluster."""
-    bounds = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    span = F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))
-    return describe_months(bounds.select(F.explode(span).alias("date_key")))

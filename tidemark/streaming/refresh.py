@@ -6,9 +6,8 @@ run reads new ones instead of the whole history. A replayed batch adds no
 rows, because the load skips what the fact already holds.
 """
 
-from tidemark import schemas as S
 from tidemark.plans import load
-from tidemark.sources.staging import CSV_OPTIONS
+from tidemark.sources.staging import CSV_OPTIONS, TEXT_COLUMNS, parsed
 from tidemark.sources.warehouse import LOG, Warehouse, planned_bytes
 
 
@@ -18,10 +17,10 @@ def refresh(wh, inbox, checkpoint, run_by="scheduler", calendar=None):
     def load_batch(batch, _batch_id):
         # A micro-batch lives in its own session.
         there = Warehouse(batch.sparkSession, wh.root, wh.buckets)
-        load.run(there, batch, run_by, calendar, input_bytes=planned_bytes(batch))
+        load.run(there, parsed(batch), run_by, calendar, input_bytes=planned_bytes(batch))
 
     query = (
-        wh.spark.readStream.schema(S.STAGING)
+        wh.spark.readStream.schema(TEXT_COLUMNS)
         .options(**CSV_OPTIONS)
         .csv(inbox)
         .writeStream.foreachBatch(load_batch)
