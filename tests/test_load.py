@@ -1,6 +1,7 @@
 """The load job: keys, rejects, reruns, audit, layout, files."""
 
 import datetime
+import json
 from decimal import Decimal
 
 import pytest
@@ -164,6 +165,8 @@ def test_csv_round_trip_and_bad_fields(spark, tmp_path, staging_of):
     rows = _accounts(5, usage_score=Decimal("0.125"))
     staging.write_csv(staging_of(*rows), str(tmp_path / "csv"))
     back = staging.read_csv(spark, str(tmp_path / "csv"))
+    assert back.filter(F.col(staging.FAULT).isNotNull()).count() == 0
+    back = back.select(*staging.COLUMNS)
     assert back.schema == S.STAGING
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     (tmp_path / "bad.csv").write_text(
@@ -173,6 +176,30 @@ def test_csv_round_trip_and_bad_fields(spark, tmp_path, staging_of):
     assert only(staging.read_csv(spark, str(tmp_path / "bad.csv"))).monthly_revenue is None
 
 
+def test_damaged_lines_keep_their_text(wh, spark, tmp_path):
+    good = "CUST_{},2024-01-01,EMEA,Growth,Partner,Mid-Market,10.50,0,1,0.5,0,0,2024-01-01"
+    lines = {
+        good.format("OK"): None,
+        '"CUST Q, R"' + good.format("")[5:]: None,
+        good.format("MORE") + ",late,more": "surplus_fields",
+        good.format("LESS")[:-14]: "missing_fields",
+        '"' + good.format("QUOTE"): "broken_quote",
+        good.format("TEXT").replace("10.50", "1O.5O").replace("0.5,", "half,"): "unparsable_value",
+        good.format("EMPTY").replace("EMEA", ""): "missing_value",
+        good.format("PLAN").replace("Growth", "Platinum"): "unknown_plan",
+    }
+    (tmp_path / "in.csv").write_text("\n".join([",".join(staging.COLUMNS), *lines]) + "\n")
+    result = load.run(wh, staging.read_csv(spark, str(tmp_path / "in.csv")))
+    assert (result.rows_loaded, result.rows_rejected) == (2, 6)
+    kept = {r.reject_reason: json.loads(r.row) for r in wh.read(REJECTS).collect()}
+    assert set(kept) == set(lines.values()) - {None}
+    for line, reason in lines.items():
+        if reason in ("surplus_fields", "missing_fields", "broken_quote"):
+            assert kept[reason]["line"] == line
+    assert json.loads(kept["unparsable_value"]["line"]) == {"monthly_revenue": "1O.5O", "usage_score": "half"}
+    assert kept["unknown_plan"]["plan_type"] == "Platinum"
+
+
 def test_csv_with_other_columns_fails_and_is_audited(wh, spark, tmp_path):
     names = S.STAGING.fieldNames()
     names[2], names[3] = names[3], names[2]

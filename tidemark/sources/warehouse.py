@@ -141,7 +141,7 @@ class Published:
             for at, first in self.since.items():
                 anew = anew | ((month == F.lit(date.fromisoformat(at))) & (load >= first))
             return counted & (~month.isin([date.fromisoformat(at) for at in self.since]) | anew)
-        if table in MARTS:
+        if table in MARTS and len(self.loads) > 1:
             of, column = {CELLS: (self.cells, "month"), COHORTS: (self.cohorts, "month"), AT_RISK: (self.boards, "last_active_month")}[table]
             loads = {}
             for at, number in of.items():
