@@ -176,29 +176,47 @@ def _node(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(line.split()), digest_size=8).digest(), "big", signed=True)
 
 
-def _signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _signed(ranks: dict[int, int], threshold: float, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
-        nodes, buckets, orders, sketches = [], [], [], []
+        rows = []
         for _, lines in _chunks(map(folded, part), CHUNK_BYTES):
             keys, counts = shingle_keys(lines)
             sig = registers(keys, counts, len(lines))
             bucket, order = band_keys(sig)
             sketch = (mix64(sig) & _U(255)).astype(np.uint8)
-            some = np.zeros(len(lines), bool)
-            some[(keys >> _BITS).astype(np.int64)] = True
-            nodes += [_node(x) if s else None for x, s in zip(lines, some)]
-            buckets += [k if s else None for k, s in zip(bucket, some)]
-            orders += [k if s else None for k, s in zip(order, some)]
-            sketches += [k.tobytes() if s else None for k, s in zip(sketch, some)]
+            bounds = np.searchsorted(keys >> _BITS, np.arange(len(lines) + 1, dtype=_U))
+            values = (keys & _LOW).astype(np.int64)
+            for k, (line, first, last) in enumerate(zip(lines, bounds[:-1], bounds[1:])):
+                if first == last:
+                    rows.append((None,) * 6)
+                else:
+                    first_tokens = prefix(values[first:last], ranks, threshold)
+                    rows.append((_node(line), bucket[k], order[k], sketch[k].tobytes(), int(last - first), first_tokens))
+        columns = list(zip(*rows)) if rows else [()] * 6
         yield pd.DataFrame(
-            {"node": pd.array(nodes, dtype="Int64"), "buckets": buckets, "orders": orders, "sketch": sketches},
-            columns=["node", "buckets", "orders", "sketch"],
+            {
+                "node": pd.array(columns[0], dtype="Int64"),
+                "buckets": pd.Series(columns[1], dtype=object),
+                "orders": pd.Series(columns[2], dtype=object),
+                "sketch": pd.Series(columns[3], dtype=object),
+                "size": pd.array(columns[4], dtype="Int64"),
+                "tokens": pd.Series(columns[5], dtype=object),
+            }
         )
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, buckets, orders, sketch): number of the words (null without words), band keys, a byte per register."""
-    sign = F.pandas_udf(_signed, "node long, buckets array<long>, orders array<long>, sketch binary")
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row: key, node, buckets, orders, sketch, size, tokens.
+
+    The number of the words (null, as all that follows, without words), band keys, a
+    byte per register, the number of shingles, and the first of them in the common order.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({int(v): k for k, v in enumerate(common_shingles(docs, text))})
+
+    @F.pandas_udf("node long, buckets array<long>, orders array<long>, sketch binary, size long, tokens array<long>")
+    def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return _signed(shared.value, threshold, texts)
+
     return docs.select(F.col(key).alias("key"), sign(F.col(text)).alias("s")).select("key", "s.*")
 
 
@@ -289,32 +307,6 @@ def prefix(values: np.ndarray, ranks: dict[int, int], threshold: float) -> np.nd
     return values[np.lexsort((values, rank))][:length]
 
 
-def prefixes(docs: DataFrame, text: str, threshold: float) -> DataFrame:
-    """(node, size, tokens) of each distinct text with words: its number of shingles and the first of them."""
-    common = common_shingles(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast({int(v): k for k, v in enumerate(common)})
-
-    @F.pandas_udf("node long, size long, tokens array<long>")
-    def make(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranks = shared.value
-        for part in parts:
-            nodes, sizes, tokens = [], [], []
-            for _, chunk in _chunks(map(folded, part), CHUNK_BYTES):
-                keys, _ = shingle_keys(chunk)
-                bounds = np.searchsorted(keys >> _BITS, np.arange(len(chunk) + 1, dtype=_U))
-                values = (keys & _LOW).astype(np.int64)
-                for line, a, b in zip(chunk, bounds[:-1], bounds[1:]):
-                    nodes.append(_node(line))
-                    sizes.append(b - a)
-                    tokens.append(prefix(values[a:b], ranks, threshold) if b > a else None)
-            yield pd.DataFrame(
-                {"node": np.array(nodes, np.int64), "size": np.array(sizes, np.int64), "tokens": tokens},
-                columns=["node", "size", "tokens"],
-            )
-
-    return docs.select(make(F.col(text)).alias("s")).select("s.*").where("tokens IS NOT NULL")
-
-
 def _token_bits(tokens: DataFrame) -> np.ndarray:
     """A bitmap with the bits of all tokens set; at most 2 ** SHARED_BITS / 64 words reach the driver."""
     position = F.col("token").bitwiseAND((1 << SHARED_BITS) - 1)
@@ -328,7 +320,7 @@ def _token_bits(tokens: DataFrame) -> np.ndarray:
 
 
 def remaining_pairs(first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different parts that share a token and may be links, from (node, size, tokens) rows.
+    """Distinct pairs (a, b) of different parts that share a token and may be links, from a (node, size, tokens) row per text.
 
     Nothing that could be a link is left out. Tokens of one part only go before the
     join, and of a token's largest part no member meets another, so a large
@@ -352,8 +344,7 @@ def remaining_pairs(first: DataFrame, labels: DataFrame, threshold: float) -> Da
 
     cut = F.size("tokens").alias("cut")
     rows = parts.select("node", "part", "size", cut, F.explode(maybe("tokens")).alias("t")).select("node", "part", "size", "cut", "t.*")
-    # Copies of a text are one row from here on.
-    rows = stored(rows.dropDuplicates(["token", "node"]).join(live, "token", "left_semi"))
+    rows = stored(rows.join(live, "token", "left_semi"))
     counts = rows.groupBy("token", "part").agg(F.count("*").alias("n"))
     main = stored(counts.groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
     rows = rows.join(main, "token").withColumn("in_main", F.col("part") == F.col("main")).drop("main")
@@ -374,6 +365,21 @@ def remaining_pairs(first: DataFrame, labels: DataFrame, threshold: float) -> Da
     return pairs.where("shared >= needed").select("a", "b")
 
 
+def in_buckets(texts: DataFrame, *columns: str) -> DataFrame:
+    """(bucket, order, node, ...): a row for each band of texts that have one row each."""
+    banded = texts.select("node", *columns, F.explode(F.arrays_zip("buckets", "orders")).alias("z"))
+    return banded.select(F.col("z.buckets").alias("bucket"), F.col("z.orders").alias("order"), "node", *columns)
+
+
+def in_mixed_buckets(parted: DataFrame) -> DataFrame:
+    """(bucket, order, part, node, sketch) of the buckets in which texts of several parts still meet."""
+    members = in_buckets(parted, "part")
+    ends = members.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = ends.where("low != high").select("bucket")
+    # Sketches travel for what is left only.
+    return members.join(mixed, "bucket", "left_semi").join(parted.select("node", "sketch"), "node")
+
+
 def star_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of each member with its bucket's centre, from (bucket, node) rows.
 
@@ -512,30 +518,28 @@ def classes(
     without ids. max_rounds is for experiments; by default rounds go on until
     nothing merges, and the exact join settles the rest.
     """
-    signed = stored(signatures(docs, key, text))
+    signed = stored(signatures(docs, key, text, threshold).withColumn("row", F.monotonically_increasing_id()))
     worded = signed.where("node IS NOT NULL")
     keys = worded.groupBy("node").agg(F.min("key").alias("key"))
-    # Of copies, one row has the smallest key; without keys or with repeated rows, several may.
-    one = worded.join(keys.withColumnsRenamed({"node": "n", "key": "k"}), (F.col("node") == F.col("n")) & F.col("key").eqNullSafe(F.col("k")))
-    banded = one.select("node", F.explode(F.arrays_zip("buckets", "orders")).alias("z")).select(
-        F.col("z.buckets").alias("bucket"), F.col("z.orders").alias("order"), "node"
-    )
-    tested = stored(star_pairs(banded.select("bucket", "node")))
+    # Copies have the same of everything but the key; one row stands for them.
+    first = worded.groupBy("node").agg(F.min("row").alias("row")).select("row")
+    texts = stored(worded.drop("key").join(first, "row", "left_semi").drop("row"))
+    tested = stored(star_pairs(in_buckets(texts)))
     ends = stored(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
     sets = stored(shingle_sets(docs, keys.join(ends, "node", "left_semi"), key, text))
     labels = components(verified(tested, sets, threshold))
-    # From here on only texts that met another one matter.
-    met = banded.join(ends, "node", "left_semi").select("bucket", "order", "node")
-    sketched = one.select("node", "sketch").dropDuplicates(["node"])
-    members = stored(met.join(centrality(met), "node").join(sketched, "node").select("bucket", "order", "node", "weight", "sketch"))
+    # From here on only texts that met another one matter; a row each, buckets side by side.
+    met = texts.select("node", "buckets", "orders", "sketch").join(ends, "node", "left_semi")
+    met = stored(met.join(centrality(in_buckets(met)), "node"))
     turn, used = 1, None
     while max_rounds is None or turn < max_rounds:
-        parted = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+        parted = met.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+        members = in_buckets(parted, "part", "weight")
         if turn <= CENTRAL_ROUNDS:
-            pairs, centres = central_pairs(parted, used)
+            pairs, centres = central_pairs(members, used)
             used = stored(centres)
         else:
-            pairs = neighbour_pairs(parted, turn)
+            pairs = neighbour_pairs(in_mixed_buckets(parted), turn)
         fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         found = stored(verified(fresh, sets, threshold))
@@ -547,7 +551,7 @@ def classes(
             labels = components(old.unionByName(found.select("a", "b")))
         turn += 1
     if max_rounds is None:
-        rest = remaining_pairs(stored(prefixes(docs, text, threshold)), labels, threshold)
+        rest = remaining_pairs(texts.select("node", "size", "tokens"), labels, threshold)
         rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
         fresh = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
         fresh = stored(fresh.join(ends, "node", "left_anti"))
