@@ -1,6 +1,8 @@
 """Learned operators: held-out accuracy, brute-force parts, edge cases."""
 
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -215,6 +217,71 @@ def test_network_gradient():
     network._step(x, y, one, 1e-5)
     change = network.kernel - kernel
     assert loss() < before and np.abs(change).max() > 0
+    # The step in a weight is the rate times what the loss loses by it.
+    network = secret_scan.Network(1)
+    for at in ((0, 0), (7, 3), (23, 11), (49, 23)):
+        network.kernel[at] += 1e-6
+        up = loss()
+        network.kernel[at] -= 2e-6
+        down = loss()
+        network.kernel[at] += 1e-6
+        assert -change[at] / 1e-5 == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-8)
+
+
+def test_forward_pass_equals_a_plain_convolution():
+    network = secret_scan.Network(3)
+    shown = "password = aB3/x9\0" * 20
+    shown = shown[: secret_scan.LENGTH]
+    best = np.zeros(secret_scan.FILTERS)
+    for place in range(secret_scan.LENGTH - secret_scan.WIDTH + 1):
+        for f in range(secret_scan.FILTERS):
+            total = network.shift[f]
+            for j in range(secret_scan.WIDTH):
+                for d in range(secret_scan.DIM):
+                    total += network.embed[ord(shown[place + j]), d] * network.kernel[j * secret_scan.DIM + d, f]
+            best[f] = max(best[f], total)
+    assert network.margins(secret_scan.encode([shown]))[0] == pytest.approx(best @ network.out + network.bias)
+
+
+def test_every_stretch_of_a_candidate_is_shown():
+    for length in (8, 31, 32, 33, 48, 49, 500):
+        parts = secret_scan.stretches(5, 5 + length)
+        assert parts[0][0] == 5 and parts[-1][1] == 5 + length
+        assert all(b - a <= secret_scan.INNER for a, b in parts)
+        for at in range(5, 5 + length - secret_scan.STEP + 1):
+            assert any(a <= at and at + secret_scan.STEP <= b for a, b in parts)
+
+
+def test_candidates_beside_base_findings():
+    text = "path/aB3dE5fG/token=abcdefgh1 xY12345678,AKIA" + "Q" * 12 + "/zz9zz9zz9 plain/words.only RandomLettersQxZvB"
+    base = secret_scan.base_findings(text)
+    got = [text[a:b] for a, b in secret_scan.candidates(text, base)]
+    # A base finding takes its own characters only, and material needs no digit.
+    assert got == ["path/aB3dE5fG/", "xY12345678", "/zz9zz9zz9", "RandomLettersQxZvB"]
+
+
+def test_planted_keys_are_found(spark):
+    """Keys in paths, chains and long tokens, of letters and digits or of letters only."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    network = secret_scan.train(docs)
+    texts = [t for t in read("documents", DATA)["text"] if t and " " in t]
+    rng = random.Random(1)
+    found = {}
+    for form in ("{w}/{w}/{w}/{w}/{v}/{w}/{w}.txt", "{w}={w}={v}.{w}", "{v}", "{w}.{w}.{w}.{w}.{w}.{w}-{v}-{w}.{w}.{w}.{w}.{w}"):
+        for letters in (string.ascii_letters + string.digits, string.ascii_letters):
+            hits = 0
+            for _ in range(100):
+                text = rng.choice(texts)
+                words = [w for w in text.split()[:300] if w.isalpha() and w.isascii()] or ["alpha", "beta"]
+                value = "".join(rng.choices(letters, k=rng.choice([16, 20, 24, 32, 40])))
+                token = re.sub(r"\{w\}", lambda _: rng.choice(words), form).replace("{v}", value)
+                at = text.rfind(" ", 0, rng.randrange(1, len(text)) + 1)
+                text = f"{text[: max(at, 0)]} {token} {text[max(at, 0) :]}"
+                start = text.index(value, max(at, 0))
+                spans = [(a, b) for a, b, k, _ in secret_scan.scan(text, network) if k == "cnn"]
+                hits += any(min(b, start + len(value)) - max(a, start) >= 0.8 * len(value) for a, b in spans)
+            found[form, len(letters)] = hits
+    assert min(found.values()) >= 85 and sum(found.values()) >= 90 * len(found), found
 
 
 @pytest.fixture(scope="module")

@@ -1,20 +1,28 @@
 """Secret scanning: fixed patterns, and a character CNN over every candidate in its context.
 
-The patterns give base findings of three kinds. Every other token that could be a
-secret (eight or more characters of key material, a digit among them) is a
-candidate; a small convolutional network reads it with the characters around it. The
-network learns, in numpy, from labelled findings: candidates of learnable rows,
-labelled 1 where a pattern found a secret and 0 elsewhere. Half of the positives
-are shown without their name, in a context from elsewhere in the text, so that the
-network must judge the material itself. Its probability is calibrated on findings
-kept apart, and the threshold is the highest that still has the demanded recall
-there. Findings of the network add to the base findings and never replace them.
+The patterns give base findings of three kinds. Whatever else could be a secret is a
+candidate: runs of eight or more characters of key material, without what base findings
+take of them, unless they are ordinary words and separators only (each word of up to
+`LONGEST_WORD` letters, in lower case, capitalised or in capitals). A small convolutional network
+reads candidates with the characters around them, in windows that overlap by half, so
+that every stretch of up to `STEP` characters of a candidate of any length is whole in
+one of them; the greatest probability counts.
+
+The network learns, in numpy, from labelled findings: the material of base findings of
+learnable rows is labelled 1, other candidates 0, and so are chains of a text's own words. A
+third of the positives stand as found, a third in a context from elsewhere in the text,
+without their name, and a third inside a chain of words, as in a path. Of the latter two
+half are written in other letters, as a text's patterns may know one alphabet only. So the
+network must judge the material itself.
+Its probability is calibrated on findings kept apart, and the threshold is the highest that
+still has the demanded recall there. Findings of the network add to the base findings and
+never replace them.
 
 Learning reads at most `max_findings` findings of either label, chosen by a hash of
 id and place. Texts are scanned whole.
 
 Cases: a null text counts as empty; overlapping findings of different kinds are all
-kept, and a candidate that touches a base finding is not reported again; without
+kept, and no finding of the network reaches into a base finding; without
 findings of both labels nothing is added; repeated rows are judged alike; empty
 tables are fine; only the named columns are read. Offsets count code points.
 """
@@ -45,13 +53,23 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What the names have in common with a lower-cased text; texts without it are not searched.
 _HINTS = ("passw", "secret", "token", "api")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{8,}")
-_DIGIT = re.compile(r"[0-9]")
+#: A word as texts have them; a candidate of such words and separators is none.
+LONGEST_WORD = 20
+_WORD = rf"(?:[A-Z]?[a-z]{{0,{LONGEST_WORD}}}|[A-Z]{{1,{LONGEST_WORD}}})"
+_PLAIN = re.compile(rf"{_WORD}(?:[+/_.=@-]+{_WORD})*")
+_ANY_WORD = re.compile(r"[A-Za-z]{3,12}")
+_JOINTS = "/.=-_"
+#: Letters that material is rewritten in.
+_ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 MAX_FINDINGS = 2000
 RECALL = 0.99
-#: Characters shown to the network: context, start and end of the candidate, context.
-CONTEXT, HEAD, TAIL = 16, 24, 8
-LENGTH = 2 * CONTEXT + HEAD + TAIL
+#: Characters shown to the network: context, a stretch of the candidate, context.
+CONTEXT, INNER = 16, 32
+#: Stretches of a long candidate begin so many characters apart.
+STEP = INNER // 2
+LENGTH = 2 * CONTEXT + INNER
+LEAST = 8
 FILTERS, WIDTH, DIM = 24, 5, 10
 
 
@@ -71,32 +89,38 @@ def in_order(found):
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens that could be secrets: key material with a digit."""
-    if not _DIGIT.search(text):
-        return []
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+def values(text: str) -> list[tuple[int, int]]:
+    """The key material of the base findings, without the names it is assigned to."""
+    found = []
+    for start, end, kind in base_findings(text):
+        found.append(_ASSIGN.match(text, start, end).span(2) if kind == "assign" else (start, end))
+    return found
+
+
+def candidates(text: str, base) -> list[tuple[int, int]]:
+    """What could be a secret beside the base findings: parts of tokens that are more than ordinary words."""
+    found = []
+    taken = sorted((a, b) for a, b, _ in base)
+    for m in _CANDIDATE.finditer(text):
+        at, end = m.span()
+        for a, b in taken:
+            if a < end and b > at:
+                found.append((at, a))
+                at = max(at, b)
+        found.append((at, end))
+    return [(a, b) for a, b in found if b - a >= LEAST and not _PLAIN.fullmatch(text, a, b)]
 
 
-def split_candidates(text: str, base) -> tuple[list, list]:
-    """(candidates that touch a base finding, the others)."""
-    touching, others = [], []
-    for start, end in candidates(text):
-        hit = any(start < b and a < end for a, b, _ in base)
-        (touching if hit else others).append((start, end))
-    return touching, others
+def stretches(start: int, end: int) -> list[tuple[int, int]]:
+    """The overlapping parts in which a candidate is shown, all of it in some."""
+    last = max(start, end - INNER)
+    return [(at, min(end, at + INNER)) for at in [*range(start, last, STEP), last]]
 
 
-def window(text: str, start: int, end: int, at: int | None = None) -> str:
-    """The characters shown for a candidate, always LENGTH of them; at: where its context is taken from instead."""
-    if at is None:
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    else:
-        before, after = text[max(0, at - CONTEXT) : at] + " ", " " + text[at : at + CONTEXT]
-        before, after = before[-CONTEXT:], after[:CONTEXT]
-    inner = text[start:end]
-    head, tail = inner[:HEAD], inner[HEAD:][-TAIL:]
-    return before.rjust(CONTEXT, "\0") + head.ljust(HEAD, "\0") + tail.ljust(TAIL, "\0") + after.ljust(CONTEXT, "\0")
+def window(text: str, start: int, end: int) -> str:
+    """The characters shown for a stretch, always LENGTH of them."""
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    return before.rjust(CONTEXT, "\0") + text[start:end].ljust(INNER, "\0") + after.ljust(CONTEXT, "\0")
 
 
 def encode(windows: list[str]) -> np.ndarray:
@@ -171,39 +195,83 @@ class Network:
         return self
 
 
+def _hash(*of) -> int:
+    return int.from_bytes(hashlib.blake2b(":".join(map(str, of)).encode(), digest_size=7).digest(), "big")
+
+
+def _chain(text: str, pick: int, value: str = "") -> str:
+    """Words of the text around a place, joined as paths and names are, about a value."""
+    at = pick // 3 % len(text)
+    words = _ANY_WORD.findall(text[max(0, at - 200) : at + 200]) or ["x"]
+    joint = _JOINTS[pick // 11 % len(_JOINTS)]
+    lead, trail = ([words[pick // k % len(words)] for k in ks] for ks in ((13, 17, 19), (23, 29)))
+    return joint.join([*lead, *([value] if value else []), *trail])
+
+
+def _rewritten(value: str, pick: int) -> str:
+    """Another value of the same kind: a part of it, in other letters."""
+    noise = hashlib.blake2b(f"{pick}".encode(), digest_size=min(64, LEAST * 2 + pick % 25)).digest()
+    letters = _ALPHABETS[pick // 5 % 4 == 0]
+    return "".join(letters[x % len(letters)] for x in noise[: max(LEAST * 2, len(value))])
+
+
+def _shown(text: str, start: int, end: int, pick: int) -> str:
+    """A window of key material: as it stands, on its own elsewhere in the text, or inside a chain of its words."""
+    value, form = text[start:end], pick % 3
+    if form == 0:
+        parts = stretches(start, end)
+        return window(text, *parts[pick // 7 % len(parts)])
+    if pick // 2 % 2:
+        value = _rewritten(value, pick)
+    made, first, last = _placed(text, value if form == 1 else _chain(text, pick, value), pick)
+    own = made.index(value, first)
+    # Stretches that hold most of the value, as one of them does when a text is scanned.
+    most = min(len(value), STEP)
+    parts = [p for p in stretches(first, last) if min(p[1], own + len(value)) - max(p[0], own) >= most]
+    return window(made, *parts[pick // 7 % len(parts)])
+
+
+def _placed(text: str, token: str, pick: int) -> tuple[str, int, int]:
+    """(text around a token at some place of a text, where the token begins and ends)."""
+    at = pick // 3 % len(text)
+    before = text[max(0, at - CONTEXT) : at] + " "
+    return f"{before}{token} {text[at : at + CONTEXT]}", len(before), len(before) + len(token)
+
+
 def _labelled(ids: pd.Series, texts: pd.Series) -> pd.Series:
-    """Windows of a text's labelled findings with a hash that chooses among them."""
+    """Windows of a text's labelled findings with a hash that chooses among them; `made` ones stand in no text."""
     out = []
     for doc_id, text in zip(ids, texts):
         rows = []
         if text:
-            touching, others = split_candidates(text, base_findings(text))
-            for y, spans in ((1, touching), (0, others)):
-                for start, end in spans:
-                    pick = int.from_bytes(hashlib.blake2b(f"{doc_id}:{start}:{y}".encode(), digest_size=7).digest(), "big")
-                    moved = y == 1 and pick % 2 == 0
-                    # A moved positive is the value alone, without the name it is assigned to, in other words' midst.
-                    first = max(start, text.rfind("=", start, end - 8) + 1) if moved else start
-                    at = pick // 7 % len(text) if moved else None
-                    rows.append({"pick": pick, "y": y, "w": window(text, first, end, at)})
+            for start, end in values(text):
+                pick = _hash(doc_id, start, 1)
+                rows.append({"pick": pick, "y": 1, "made": False, "w": _shown(text, start, end, pick)})
+            for start, end in (p for c in candidates(text, base_findings(text)) for p in stretches(*c)):
+                rows.append({"pick": _hash(doc_id, start, 0), "y": 0, "made": False, "w": window(text, start, end)})
+            pick = _hash(doc_id, "chain")
+            made, first, last = _placed(text, _chain(text, pick), pick)
+            parts = stretches(first, last)
+            rows.append({"pick": pick, "y": 0, "made": True, "w": window(made, *parts[pick // 7 % len(parts)])})
         out.append(rows)
     return pd.Series(out, dtype=object)
 
 
 def train(docs: DataFrame, key="doc_id", text="text", max_findings: int = MAX_FINDINGS) -> Network | None:
-    """Learn from at most max_findings findings of either label; None without both.
+    """Learn from at most max_findings findings of either label, and half as many chains; None without both labels.
 
     The driver receives windows of LENGTH characters, never texts.
     """
-    find = F.pandas_udf(_labelled, "array<struct<pick: long, y: int, w: string>>")
+    find = F.pandas_udf(_labelled, "array<struct<pick: long, y: int, made: boolean, w: string>>")
     known = docs.where(learnable(F.col(key)) & F.col(text).isNotNull())
     found = known.select(F.explode(find(F.col(key), F.col(text))).alias("f")).select("f.*")
     # One pass: the smallest hashes of both labels, and a window that recurs counts once.
     got = []
-    once = found.groupBy("y", "w").agg(F.min("pick").alias("pick")).persist()
+    once = found.groupBy("y", "made", "w").agg(F.min("pick").alias("pick")).persist()
     try:
-        for y in (0, 1):
-            got += once.where(F.col("y") == y).orderBy("pick", "w").limit(max_findings).collect()
+        for y, made, most in ((0, False, max_findings), (0, True, max_findings // 2), (1, False, max_findings)):
+            some = once.where((F.col("y") == y) & (F.col("made") == made))
+            got += some.orderBy("pick", "w").limit(most).collect()
     finally:
         once.unpersist()
     y = np.array([r["y"] for r in got], dtype=np.int64)
@@ -216,15 +284,31 @@ def train(docs: DataFrame, key="doc_id", text="text", max_findings: int = MAX_FI
     return Network().fit(x[~aside], y[~aside]).calibrate(x[aside], y[aside])
 
 
+def _span(text: str, start: int, end: int, fired) -> tuple[int, int]:
+    """The part of a candidate that its firing stretches cover, out to the next joints."""
+    first, last = min(a for a, _ in fired), max(b for _, b in fired)
+    while first > start and text[first - 1] not in _JOINTS:
+        first -= 1
+    while last < end and text[last] not in _JOINTS:
+        last += 1
+    return first, last
+
+
 def scan(text: str, network: Network | None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, probability) of all findings; base findings have probability 1."""
     base = base_findings(text)
     more = []
-    if network is not None:
-        _, others = split_candidates(text, base)
-        if others:
-            p = network.probabilities(encode([window(text, a, b) for a, b in others]))
-            more = [(a, b, "cnn", float(x)) for (a, b), x in zip(others, p) if x >= network.least]
+    others = candidates(text, base) if network is not None else []
+    if others:
+        parts = [(k, *p) for k, (a, b) in enumerate(others) for p in stretches(a, b)]
+        # Long texts have many windows; the network takes them in bounded runs.
+        p = network.probabilities(encode([window(text, a, b) for _, a, b in parts]))
+        fired: dict[int, list] = {}
+        for (k, a, b), x in zip(parts, p):
+            if x >= network.least:
+                fired.setdefault(k, []).append((a, b, float(x)))
+        for k, hits in fired.items():
+            more.append((*_span(text, *others[k], [h[:2] for h in hits]), "cnn", max(h[2] for h in hits)))
     return in_order([(*f, 1.0) for f in base] + more)
 
 
