@@ -9,11 +9,10 @@ that every stretch of up to `STEP` characters of a candidate of any length is wh
 one of them; the greatest probability counts.
 
 The network learns, in numpy, from labelled findings: the material of base findings of
-learnable rows is labelled 1, other candidates 0, and so are chains of a text's own words. A
-third of the positives stand as found, a third in a context from elsewhere in the text,
-without their name, and a third inside a chain of words, as in a path. Of the latter two
-half are written in other letters, as a text's patterns may know one alphabet only. So the
-network must judge the material itself.
+learnable rows is labelled 1, other candidates 0, and so are chains of a text's own words.
+Each positive is shown as found, in a context from elsewhere in the text, without its name,
+and inside a chain of words, as in a path; the latter two also in other letters, as
+the patterns may know one alphabet only. So the network must judge the material itself.
 Its probability is calibrated on findings kept apart, and the threshold is the highest that
 still has the demanded recall there. Findings of the network add to the base findings and
 never replace them.
@@ -30,6 +29,7 @@ tables are fine; only the named columns are read. Offsets count code points.
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -71,6 +71,8 @@ STEP = INNER // 2
 LENGTH = 2 * CONTEXT + INNER
 LEAST = 8
 FILTERS, WIDTH, DIM = 24, 5, 10
+#: Ways in which a positive is shown: as found, moved and in a chain, the latter in both letters.
+FORMS = 5
 
 
 def base_findings(text: str) -> list[tuple[int, int, str]]:
@@ -215,15 +217,15 @@ def _rewritten(value: str, pick: int) -> str:
     return "".join(letters[x % len(letters)] for x in noise[: max(LEAST * 2, len(value))])
 
 
-def _shown(text: str, start: int, end: int, pick: int) -> str:
+def _shown(text: str, start: int, end: int, form: int, pick: int) -> str:
     """A window of key material: as it stands, on its own elsewhere in the text, or inside a chain of its words."""
-    value, form = text[start:end], pick % 3
+    value = text[start:end]
     if form == 0:
         parts = stretches(start, end)
         return window(text, *parts[pick // 7 % len(parts)])
-    if pick // 2 % 2:
+    if form % 2 == 0:
         value = _rewritten(value, pick)
-    made, first, last = _placed(text, value if form == 1 else _chain(text, pick, value), pick)
+    made, first, last = _placed(text, value if form < 3 else _chain(text, pick, value), pick)
     own = made.index(value, first)
     # Stretches that hold most of the value, as one of them does when a text is scanned.
     most = min(len(value), STEP)
@@ -244,9 +246,9 @@ def _labelled(ids: pd.Series, texts: pd.Series) -> pd.Series:
     for doc_id, text in zip(ids, texts):
         rows = []
         if text:
-            for start, end in values(text):
-                pick = _hash(doc_id, start, 1)
-                rows.append({"pick": pick, "y": 1, "made": False, "w": _shown(text, start, end, pick)})
+            for (start, end), form in product(values(text), range(FORMS)):
+                pick = _hash(doc_id, start, form, 1)
+                rows.append({"pick": pick, "y": 1, "made": False, "w": _shown(text, start, end, form, pick)})
             for start, end in (p for c in candidates(text, base_findings(text)) for p in stretches(*c)):
                 rows.append({"pick": _hash(doc_id, start, 0), "y": 0, "made": False, "w": window(text, start, end)})
             pick = _hash(doc_id, "chain")
