@@ -301,6 +301,28 @@ def test_restoration(decoder, observed, word):
     assert decoder.restore(observed) == word
 
 
+@pytest.mark.parametrize("hidden", [
+    "idiott", "iddiot", "idioott", "i  d  i  o  t", "i d\ni\to t", "id io t", "i di ot", "1d1ot", "!diot", "idi0t!", "iiidiooot",
+])
+def test_hidden_words_score_like_the_plain_one(decoder, hidden):
+    """Only the restored word is in the lexicon, and it counts from the lowest level on."""
+    weights = {toxicity._features("idiot")[0]: 3.5}
+    reader = toxicity.Reader(decoder, weights)
+    plain = reader.profile("you are an idiot today")
+    assert plain != toxicity.summary([]) and reader.profile("you are an today") == toxicity.summary([])
+    assert reader.profile(f"you are an {hidden} today") == plain
+
+
+def test_doubled_letters_of_a_lexicon_word(decoder):
+    """A word with a doubled letter of its own, another one of which is doubled as well."""
+    weights = {toxicity._features("loosser")[0]: 3.5, toxicity._features("mattress")[0]: 5.0}
+    reader = toxicity.Reader(decoder, weights)
+    texts = ["mattress"] * 300
+    other = toxicity.Reader(toxicity.Decoder(toxicity.gram_counts(texts)), weights)
+    assert other.profile("maattress") == other.profile("matttress") == other.profile("mattress") != toxicity.summary([])
+    assert reader._may_count("looosser") is False or reader._may_count("loossser")
+
+
 def test_viterbi_equals_exhaustive_search(decoder):
     """The cheapest of all paths through the lattice, found by trying each."""
 

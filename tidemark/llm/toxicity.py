@@ -51,9 +51,10 @@ LEET_COST, DROP_COST, BREAK_COST, MASK_COST, REPEAT_COST, KEEP_COST = 1.0, 0.5,
 LM_BITS, ORDER = 18, 4
 MIXTURE = (0.03, 0.12, 0.3, 0.54)
 PER_CLASS = 2500
-#: Log odds from which a word counts as toxic by itself.
-STRONG = 4.0
+#: Log odds from which words are counted.
 LEVELS = (3.0, 4.0, 5.0, 6.0)
+#: Doubled letters of a word up to which its readings are looked up before it is searched.
+MOST_DOUBLES = 4
 #: Words whose scores a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Log odds below which a lexicon entry is not kept: what a word or two seen once would get.
@@ -62,7 +63,7 @@ WEAK = 2.0
 _U = np.uint64
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$…-–—_«»“”‘’|~"
 _MARKS = ".,;:?\"'()[]{}…–—«»“”‘’"
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
 _DOUBLE = re.compile(r"(.)\1+", re.S)
 
@@ -222,8 +223,8 @@ class Reader:
         """The restored words of a lower-cased token without white space.
 
         Plain words stand for themselves. One with doubled letters, or with symbols at
-        its ends that could be letters, is searched, too, if the lexicon finds the
-        result toxic; else the restoration could not raise the score.
+        its ends that could be letters, is searched, too, and the lattice decides; what
+        symbols stand for counts if the lexicon counts it.
         """
         core = token.strip(_EDGE)
         outer = token.strip(_MARKS)
@@ -231,20 +232,33 @@ class Reader:
             return tuple(self.decoder.restore(outer or token).split())
         if self.weights is not None:
             more = ()
-            if _DOUBLE.search(core) and self._strength(_DOUBLE.sub(r"\1", core)) > STRONG:
+            if _DOUBLE.search(core) and self._may_count(core):
                 more = tuple(self.decoder.restore(core).split())
             if outer != core and not _TRIPLE.search(outer):
-                more += tuple(w for w in self.decoder.restore(outer).split() if self._strength(w) > STRONG)
+                more += tuple(w for w in self.decoder.restore(outer).split() if self._strength(w) > LEVELS[0])
             return (core, *more)
         return (core,)
 
+    def _may_count(self, core: str) -> bool:
+        """Whether any way to read the doubled letters of a word would count; else the search can't change a score."""
+        doubles = list(_DOUBLE.finditer(core))
+        if len(doubles) > MOST_DOUBLES:
+            return True
+        readings = [""]
+        at = 0
+        for m in doubles:
+            readings = [r + core[at : m.start()] + m[1] * n for r in readings for n in (1, 2)]
+            at = m.end()
+        return any(self._strength(r + core[at:]) > LEVELS[0] for r in readings)
+
     def _strength(self, word: str) -> float:
         return max(self.weights.get(f, 0.0) for f in _features(word))
 
     def spaced(self, stretch: str) -> tuple[str, ...]:
-        """The restored words of letters set apart, read with their spaces and without."""
-        read = self.decoder.restore(stretch).split()
-        return tuple(dict.fromkeys(read + self.decoder.restore("".join(stretch.split())).split()))
+        """The restored words of letters set apart, singly or in twos, read with their spaces and without."""
+        pieces = stretch.split()
+        read = self.decoder.restore(" ".join(pieces)).split()
+        return tuple(dict.fromkeys(read + self.decoder.restore("".join(pieces)).split()))
 
     def tokens(self, text: str) -> list[tuple[str, ...]]:
         """Restored words of each distinct token and of each stretch of spaced letters."""
