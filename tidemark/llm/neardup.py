@@ -205,8 +205,8 @@ def _signed(ranks: dict[int, int], threshold: float, texts: Iterator[pd.Series])
         )
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row: key, node, buckets, orders, sketch, size, tokens.
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry=()) -> DataFrame:
+    """One row per row: key, node, buckets, orders, sketch, size, tokens, and the columns `carry` as they are.
 
     The number of the words (null, as all that follows, without words), band keys, a
     byte per register, the number of shingles, and the first of them in the common order.
@@ -217,7 +217,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return _signed(shared.value, threshold, texts)
 
-    return docs.select(F.col(key).alias("key"), sign(F.col(text)).alias("s")).select("key", "s.*")
+    return docs.select(F.col(key).alias("key"), *carry, sign(F.col(text)).alias("s")).select("key", "s.*", *carry)
 
 
 def _position(node, key):
@@ -511,14 +511,17 @@ def classes(
     text: str = "text",
     threshold: float = THRESHOLD,
     max_rounds: int | None = None,
+    carry: tuple = (),
 ) -> DataFrame:
     """(key, class_id, class_size, kept): one row per row of docs.
 
+    Columns of docs named in `carry` are added, and with them `part`, a number that
+    the rows of a class share (null without words), as classes without ids have no other.
     kept marks the row that carries the class id, or every row of a class
     without ids. max_rounds is for experiments; by default rounds go on until
     nothing merges, and the exact join settles the rest.
     """
-    signed = stored(signatures(docs, key, text, threshold).withColumn("row", F.monotonically_increasing_id()))
+    signed = stored(signatures(docs, key, text, threshold, carry).withColumn("row", F.monotonically_increasing_id()))
     worded = signed.where("node IS NOT NULL")
     keys = worded.groupBy("node").agg(F.min("key").alias("key"))
     # Copies have the same of everything but the key; one row stands for them.
@@ -561,7 +564,7 @@ def classes(
         if not found.isEmpty():
             old = labels.select(F.least("node", "label").alias("a"), F.greatest("node", "label").alias("b")).where("a != b")
             labels = components(old.unionByName(found.select("a", "b")))
-    named = signed.select("key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    named = signed.select("key", "node", *carry).join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     # Stored, so that the join below is one of two plain shuffles, in which a class of a third of all rows can be split.
     sizes = stored(
         named.where("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
@@ -571,4 +574,5 @@ def classes(
         F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("part").isNull() | F.col("key").eqNullSafe(F.col("class_id"))).alias("kept"),
+        *([*carry, "part"] if carry else []),
     )
