@@ -57,8 +57,8 @@ NEIGHBOURS = 8
 #: Registers that neighbours must agree in to be verified in these rounds. Without repeated
 #: shingles 64 of 80 do at the threshold, with them far fewer may; the exact join finds those links.
 AGREE = 50
-#: Rounds that pair members with a bucket's weightiest text, then rounds of neighbours that run at least.
-CENTRAL_ROUNDS, NEIGHBOUR_ROUNDS = 2, 1
+#: Rounds that pair members with a bucket's weightiest text.
+CENTRAL_ROUNDS = 2
 #: One in so many texts is sampled for the order of shingles; a shingle that COMMON_LEAST
 #: sampled texts have comes after the others, for at most COMMON_MOST such shingles.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 64, 4, 1 << 18
@@ -366,18 +366,12 @@ def remaining_pairs(first: DataFrame, labels: DataFrame, threshold: float) -> Da
 
 
 def in_buckets(texts: DataFrame, *columns: str) -> DataFrame:
-    """(bucket, order, node, ...): a row for each band of texts that have one row each."""
-    banded = texts.select("node", *columns, F.explode(F.arrays_zip("buckets", "orders")).alias("z"))
-    return banded.select(F.col("z.buckets").alias("bucket"), F.col("z.orders").alias("order"), "node", *columns)
-
-
-def in_mixed_buckets(parted: DataFrame) -> DataFrame:
-    """(bucket, order, part, node, sketch) of the buckets in which texts of several parts still meet."""
-    members = in_buckets(parted, "part")
-    ends = members.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = ends.where("low != high").select("bucket")
-    # Sketches travel for what is left only.
-    return members.join(mixed, "bucket", "left_semi").join(parted.select("node", "sketch"), "node")
+    """(bucket, node, ...) for each band of texts that have one row each; of `orders` each band has its own, as `order`."""
+    kept = [c for c in columns if c != "orders"]
+    if "orders" not in columns:
+        return texts.select(F.explode("buckets").alias("bucket"), "node", *kept)
+    banded = texts.select("node", *kept, F.explode(F.arrays_zip("buckets", "orders")).alias("z"))
+    return banded.select(F.col("z.buckets").alias("bucket"), F.col("z.orders").alias("order"), "node", *kept)
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -512,41 +506,45 @@ def classes(
     threshold: float = THRESHOLD,
     max_rounds: int | None = None,
     carry: tuple = (),
+    neighbours: bool = False,
 ) -> DataFrame:
     """(key, class_id, class_size, kept): one row per row of docs.
 
     Columns of docs named in `carry` are added, and with them `part`, a number that
     the rows of a class share (null without words), as classes without ids have no other.
     kept marks the row that carries the class id, or every row of a class
-    without ids. max_rounds is for experiments; by default rounds go on until
-    nothing merges, and the exact join settles the rest.
+    without ids. max_rounds is for experiments; by default the exact join settles what
+    the rounds leave. With `neighbours` rounds of neighbours come first, until one
+    merges nothing: they move every text's buckets, which the join seldom needs.
     """
     signed = stored(signatures(docs, key, text, threshold, carry).withColumn("row", F.monotonically_increasing_id()))
     worded = signed.where("node IS NOT NULL")
     keys = worded.groupBy("node").agg(F.min("key").alias("key"))
     # Copies have the same of everything but the key; one row stands for them.
     first = worded.groupBy("node").agg(F.min("row").alias("row")).select("row")
-    texts = stored(worded.drop("key").join(first, "row", "left_semi").drop("row"))
+    of_neighbours = [] if neighbours else ["orders", "sketch"]
+    texts = stored(worded.drop("key", *of_neighbours).join(first, "row", "left_semi").drop("row"))
     tested = stored(star_pairs(in_buckets(texts)))
     ends = stored(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
     sets = stored(shingle_sets(docs, keys.join(ends, "node", "left_semi"), key, text))
     labels = components(verified(tested, sets, threshold))
     # From here on only texts that met another one matter; a row each, buckets side by side.
-    met = texts.select("node", "buckets", "orders", "sketch").join(ends, "node", "left_semi")
+    met = texts.drop("size", "tokens").join(ends, "node", "left_semi")
     met = stored(met.join(centrality(in_buckets(met)), "node"))
     turn, used = 1, None
     while max_rounds is None or turn < max_rounds:
         parted = met.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
-        members = in_buckets(parted, "part", "weight")
         if turn <= CENTRAL_ROUNDS:
-            pairs, centres = central_pairs(members, used)
+            pairs, centres = central_pairs(in_buckets(parted, "part", "weight"), used)
             used = stored(centres)
+        elif neighbours:
+            pairs = neighbour_pairs(in_buckets(parted, "part", "orders", "sketch"), turn)
         else:
-            pairs = neighbour_pairs(in_mixed_buckets(parted), turn)
+            break
         fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
         found = stored(verified(fresh, sets, threshold))
-        if found.isEmpty() and turn >= CENTRAL_ROUNDS + NEIGHBOUR_ROUNDS:
+        if found.isEmpty() and turn > CENTRAL_ROUNDS:
             break
         if not found.isEmpty():
             # New links join components, so all links so far decide the labels anew.
