@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import odd_docs
 from tidemark.llm import curriculum
 
-WEIGHT = (F.col("rank") - 1) % 3 + 1
-SLOPE = F.when(F.col("rank") % 2 == 1, F.lit(0.5)).otherwise(F.lit(-0.5))
-
 
 def brute_targets(sizes, most=3):
     """sizes in order of source; shares by weight, closes what is above its limit, shares again."""
@@ -55,7 +52,8 @@ def docs_of(spark, rows):
 
 
 def mixed(docs):
-    return curriculum.mix(docs, WEIGHT, curriculum.ramp(F.col("weight"), SLOPE))
+    slope = F.when(F.col("rank") % 2 == 1, F.lit(0.5)).otherwise(F.lit(-0.5))
+    return curriculum.mix(docs, (F.col("rank") - 1) % 3 + 1, curriculum.ramp(F.col("weight"), slope))
 
 
 def check(spark, rows):

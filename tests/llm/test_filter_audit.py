@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import odd_docs
 from tidemark.llm import filter_audit
 
-FILTERS = {"S": F.char_length("text") < 4, "X": F.col("text").rlike("x")}
 CONDITIONS = [lambda t: len(t) < 4, lambda t: "x" in t]
 
 
+def filters():
+    return {"S": F.char_length("text") < 4, "X": F.col("text").rlike("x")}
+
+
 def brute(rows, labels, repeated="E"):
     """rows: (id, text, part) as given; a Counter of result rows."""
     rows = [(i, t or "", p or "") for i, t, p in rows]
+    labels = [x for x in labels if x[0] is not None]
     good = {i for i, q, _ in labels if q == 1}
     toxic = {i for i, _, x in labels if x == 1}
-    names = "".join(FILTERS) + repeated
+    names = "SX" + repeated
     fails = []
     for i, t, p in rows:
         before = i is not None and any(j is not None and j < i and u == t for j, u, _ in rows)
@@ -50,7 +54,7 @@ def brute(rows, labels, repeated="E"):
 
 def audited(spark, docs, labels):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    return {tuple(r) for r in filter_audit.audit(docs, known, FILTERS, "E").collect()}
+    return {tuple(r) for r in filter_audit.audit(docs, known, filters(), "E").collect()}
 
 
 def docs_of(spark, rows):
@@ -81,7 +85,7 @@ def test_rare_and_hot_hashes(spark):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    assert filter_audit.audit(docs_of(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"), FILTERS, "E").count() == 0
+    assert filter_audit.audit(docs_of(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"), filters(), "E").count() == 0
     docs = odd_docs(spark, "abcd", "abcd", None).withColumns({"hash": F.lit(1), "bits": F.lit(7), "n": F.lit(0), "id": F.lit(3), "part": F.lit("p")})
     assert audited(spark, docs, []) == brute([(0, "abcd", "s"), (1, "abcd", "s"), (2, None, "s")], [])
 
