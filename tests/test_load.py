@@ -16,6 +16,7 @@ from tidemark.plans.suite import VIEWS, StoredSuite, Suite, fetch_view, publish
 from tidemark.sources import orders, seeds, staging, warehouse
 from tidemark.sources.warehouse import (
     AT_RISK,
+    BITS,
     CALENDAR,
     CELLS,
     COHORTS,
@@ -266,7 +267,7 @@ def _seen(wh):
     return {name: sorted(map(repr, df.collect())) for name, df in frames.items()}
 
 
-STEPS = [CALENDAR, STAGING, REJECTS, CUSTOMERS, FACT, CELLS, COHORTS, AT_RISK, "publication"]
+STEPS = [CALENDAR, STAGING, REJECTS, CUSTOMERS, FACT, CELLS, BITS, COHORTS, AT_RISK, "publication"]
 
 
 @pytest.mark.parametrize("fails_at", STEPS)
@@ -324,6 +325,10 @@ def test_of_two_loads_at_once_one_is_refused(wh, spark, staging_of):
 
 def assert_marts_equal_a_full_build(wh):
     live, board = Suite.over(wh), StoredSuite.over(wh)
+    distinct = live.fact.groupBy("region").agg(F.countDistinct("customer_key").alias("n")).collect()
+    assert {r.region: r.n for r in distinct} == {r.region: r.customers for r in board.distinct_customers("region").collect()}
+    early = live.fact.filter("date_key <= '2024-02-01'").agg(F.countDistinct("customer_key")).first()[0]
+    assert only(board.distinct_customers(last=month("2024-02"))).customers == early
     for name in ("mrr", "drill", "cohorts", "at_risk", "alerts", "mix", "health", "region_months", "region_totals"):
         a, b = getattr(live, name), getattr(board, name)
         assert a.dtypes == b.select(*a.columns).dtypes, name

@@ -271,6 +271,29 @@ def cells(fact: DataFrame, customers: DataFrame, plans: DataFrame) -> DataFrame:
     return per_group.join(plans.select("plan_key", "plan_name"), "plan_key").drop("plan_key")
 
 
+def customer_bits(fact: DataFrame, customers: DataFrame, plans: DataFrame) -> DataFrame:
+    """The customers of each cell as bitmaps, which add up over cells and months as counts do not.
+
+    A bitmap has a bit for each of 32768 consecutive customer keys, so keys should be dense.
+    """
+    key = F.col("customer_key")
+    return (
+        fact.join(customers.select("customer_key", "channel"), "customer_key")
+        .groupBy(
+            F.col("date_key").alias("month"), "region", "segment", "plan_key", "channel", F.bitmap_bucket_number(key).alias("bucket")
+        )
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+        .join(plans.select("plan_key", "plan_name"), "plan_key")
+        .drop("plan_key")
+    )
+
+
+def distinct_customers(bits: DataFrame, *by: str) -> DataFrame:
+    """Exact distinct customers of any rows of `customer_bits`, by any of its columns."""
+    merged = bits.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("customers"))
+
+
 def _summed(cells: DataFrame, *by) -> DataFrame:
     sums = ("accounts", "churned", "usage", "tickets", "failed", "risk", "high_risk")
     return cells.groupBy(*by).agg(money(F.sum("mrr")).alias("mrr"), *[F.sum(c).alias(c) for c in sums])

@@ -39,6 +39,7 @@ from tidemark.sources import seeds, staging, warehouse
 from tidemark.sources.orders import CHURN_MONTHS
 from tidemark.sources.warehouse import (
     AT_RISK,
+    BITS,
     CALENDAR,
     CELLS,
     COHORTS,
@@ -287,6 +288,10 @@ def write_marts(wh, before, own, written, number, plans, anew, step):
         if touched:
             wh.add(marts.cells(of(touched), own.read(CUSTOMERS), plans), CELLS, number)
 
+    def bits():
+        if touched:
+            wh.add(marts.customer_bits(of(touched), own.read(CUSTOMERS), plans), BITS, number)
+
     def at_risk():
         if stale:
             wh.add(marts.at_risk_rows(of(stale), own.read(CUSTOMERS), plans), AT_RISK, number)
@@ -303,8 +308,8 @@ def write_marts(wh, before, own, written, number, plans, anew, step):
         wh.add(marts.cohort_cells(of(again), merged), COHORTS, number)
         return again
 
-    *_, again = together(cells, at_risk, cohorts)
-    for name in (CELLS, COHORTS, AT_RISK):
+    *_, again = together(cells, bits, at_risk, cohorts)
+    for name in (CELLS, BITS, COHORTS, AT_RISK):
         step(name)
     return replace(
         state,

@@ -569,6 +569,21 @@ BODIES = {
         ["drill"],
         _drilldown_kpis("region = 'EMEA' AND plan_name = 'Growth'"),
     ),
+    "drilldown_distinct_customers": (
+        ["fact", "customers"],
+        """SELECT plan_name, channel, CAST(count(DISTINCT fact.customer_key) AS BIGINT) AS customers
+           FROM fact JOIN customers USING (customer_key)
+           WHERE date_key BETWEEN DATE '1998-01-01' AND DATE '1999-12-01' GROUP BY plan_name, channel""",
+    ),
+    "distinct_customers_emea_growth": (
+        ["fact"],
+        """SELECT CAST(count(DISTINCT customer_key) AS BIGINT) AS customers FROM fact
+           WHERE region = 'EMEA' AND plan_name = 'Growth'""",
+    ),
+    "distinct_customers_by_region": (
+        ["fact"],
+        "SELECT region, CAST(count(DISTINCT customer_key) AS BIGINT) AS customers FROM fact GROUP BY region",
+    ),
     "risk_tier_counts": (
         ["at_risk"],
         f"""SELECT risk_tier, {_count("at_risk a WHERE a.risk_tier = t.risk_tier")} AS accounts

@@ -501,6 +501,11 @@ QUERIES = {
     "drilldown_kpis_emea_growth": _stored(
         lambda s: dashboard.drilldown_kpis(s.drill, region="EMEA", plan_name="Growth")
     ),
+    "drilldown_distinct_customers": _stored(
+        lambda s: s.distinct_customers("plan_name", "channel", first=date(1998, 1, 1), last=date(1999, 12, 1))
+    ),
+    "distinct_customers_emea_growth": _stored(lambda s: s.distinct_customers(region="EMEA", plan_name="Growth")),
+    "distinct_customers_by_region": _stored(lambda s: s.distinct_customers("region")),
     "risk_tier_counts": _observed(lambda s: dashboard.risk_tier_counts(s.at_risk)),
     "risk_drivers": _observed(lambda s: dashboard.risk_drivers(s.at_risk)),
     "risk_by_segment": _observed(lambda s: dashboard.risk_by_segment(s.at_risk)),

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerting, audit, marts, security
+from tidemark.operators import alerting, audit, dashboard, marts, security
 from tidemark.sources import seeds, warehouse
 
 
@@ -122,6 +122,19 @@ class Suite:
     def health(self):
         return marts.health_signals(self.fact)
 
+    @cached_property
+    def customer_bits(self):
+        return marts.customer_bits(self.fact, self.customers, self.plans)
+
+    def distinct_customers(self, *by, first=None, last=None, **slicers):
+        """Distinct customers under slicers and between two months, by some of month, region, segment, plan_name and channel."""
+        rows = dashboard.slice_rows(self.customer_bits, **slicers)
+        if first is not None:
+            rows = rows.filter(F.col("month") >= F.lit(first))
+        if last is not None:
+            rows = rows.filter(F.col("month") <= F.lit(last))
+        return marts.distinct_customers(rows, *by)
+
 
 class StoredSuite(Suite):
     """The suite as its last load left it: marts are added up from stored cells.
@@ -160,6 +173,10 @@ class StoredSuite(Suite):
     def health(self):
         return marts.health_of(self.cells)
 
+    @cached_property
+    def customer_bits(self):
+        return self._visible(warehouse.BITS)
+
     @cached_property
     def cohorts(self):
         if self.user is not None and len(self.regions) > 1:

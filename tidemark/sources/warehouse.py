@@ -44,7 +44,7 @@ THRESHOLDS = "alert_thresholds"
 POLICY = "rls_region_policy"
 LOG = "refresh_log"
 REJECTS = "stg_rejects"
-CELLS, COHORTS, AT_RISK = MARTS = ("mart_cells", "mart_cohorts", "mart_at_risk")
+CELLS, COHORTS, AT_RISK, BITS = MARTS = ("mart_cells", "mart_cohorts", "mart_at_risk", "mart_customer_bits")
 
 AREAS = {
     **dict.fromkeys((FACT, CUSTOMERS, CUSTOMER_MONTHS, CALENDAR, STAGING, THRESHOLDS, POLICY), "core"),
@@ -53,7 +53,7 @@ AREAS = {
 }
 SORT_KEYS = {FACT: "customer_key", CUSTOMERS: "customer_key", CUSTOMER_MONTHS: "customer_key", STAGING: "customer_key"}
 # Partitions below the load's.
-PARTITIONS = {FACT: ["date_key"], CELLS: ["region"], COHORTS: ["region"], AT_RISK: ["last_active_month", "seen_in"]}
+PARTITIONS = {FACT: ["date_key"], CELLS: ["region"], COHORTS: ["region"], AT_RISK: ["last_active_month", "seen_in"], BITS: ["region"]}
 # Tables of which each load writes a part.
 LOADED = (FACT, CUSTOMERS, CUSTOMER_MONTHS, CALENDAR, STAGING, REJECTS, *MARTS)
 LOAD = "load_id"
@@ -142,7 +142,12 @@ class Published:
                 anew = anew | ((month == F.lit(date.fromisoformat(at))) & (load >= first))
             return counted & (~month.isin([date.fromisoformat(at) for at in self.since]) | anew)
         if table in MARTS and len(self.loads) > 1:
-            of, column = {CELLS: (self.cells, "month"), COHORTS: (self.cohorts, "month"), AT_RISK: (self.boards, "last_active_month")}[table]
+            of, column = {
+                CELLS: (self.cells, "month"),
+                BITS: (self.cells, "month"),
+                COHORTS: (self.cohorts, "month"),
+                AT_RISK: (self.boards, "last_active_month"),
+            }[table]
             loads = {}
             for at, number in of.items():
                 loads.setdefault(number, []).append(date.fromisoformat(at))
