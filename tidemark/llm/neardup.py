@@ -10,22 +10,20 @@ latest register minimum of their text stop early. Registers are banded; texts th
 meet in a band are candidates, and a candidate pair is a link if the exact
 Jaccard similarity of the two shingle sets is at least the threshold.
 
-Scale. Texts with equal words are one node from the start, so copies cost nothing
+Scale. Texts with equal words are one row from the start, so copies cost nothing
 later. A bucket never yields all its pairs, at most as many a round as it has
-members, or a small multiple. First each member is paired with the bucket's centre;
-verified links are merged into components. Then members are paired with the
-bucket's weightiest text of another component, the likely origin of others, and
-with the next component's. Then, in rounds, members are sorted by bucket and by
-their further registers, which puts the most similar ones side by side, and near
-neighbours of different components are paired, until a round merges nothing.
-Registers follow weights, links do not: texts that repeat their shingles differently
-may share no band, nor enough registers. These rounds are for speed and decide nothing. At last a prefix-filter join, exact
+members. First each member is paired with the bucket's centre; verified links are
+merged into components. Then members are paired with the bucket's weightiest text of
+another component, the likely origin of others, and with the next component's. These
+rounds are for speed and decide nothing: registers follow weights, links do not, and texts that
+repeat their shingles differently may share no band. At last a prefix-filter join, exact
 over all texts, finds every remaining link between different components. Its shingles
 are ordered by hash, those common in a sample of texts last; the order affects speed
 only. Its work is bounded by the pairs of texts of different components that share
 one of their first shingles, which is quadratic where many such texts are hardly
-less similar than the threshold. Pairs, links and components stay distributed, texts are not shuffled, and every
-step is stored in the shared folder.
+less similar than the threshold. On request, rounds that pair near neighbours of sorted
+buckets come before it; they move every text's buckets and sketches, which costs more than
+the join saves on the tables at hand.
 
 Cases: null and empty texts, and texts without words, are compared with nothing
 and each is a class of its own; the class id is the smallest id in the class,
