@@ -64,10 +64,12 @@ def folded(text: str | None) -> bytes:
 def shared_folder(spark) -> str:
     """A new folder below the one that driver and executors share.
 
-    A session without ``spark.checkpoint.dir`` (a local test) gets the warehouse
-    folder, which executors share as well; a machine-local folder is never used.
+    A local session without ``spark.checkpoint.dir`` (a test) gets its warehouse folder;
+    on a cluster the setting is needed, as that folder may be a machine's own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tidemark-llm/{uuid.uuid4().hex}"
 
