@@ -35,15 +35,15 @@ def keep_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of docs whose (id, text) is kept, one of each.
 
     pairs: (id, sha, kept, n), one row for each id and digest of docs; n rows have them, and
-    are left alone if n is 1. Only what has to go travels to the join: Spark broadcasts it
-    if its file is small enough, and else moves the texts once.
+    are left alone if n is 1. Texts move once, to the join with what has to go.
     """
     special = stored(pairs.where(~F.col("kept") | (F.col("n") > 1)).select("id", "sha", "kept"))
     sha = free_name(docs, "sha_of_text")
     rows = docs.withColumn(sha, digest())
     same = F.col("doc_id").eqNullSafe(special["id"]) & (F.col(sha) == special["sha"])
-    rest = rows.join(special, same, "left_anti")
-    again = special.where("kept")
+    rest = rows.join(special.hint("merge"), same, "left_anti")
+    # Pairs that stay and are repeated are few, so their own file is small enough to be broadcast.
+    again = stored(special.where("kept"))
     same = F.col("doc_id").eqNullSafe(again["id"]) & (F.col(sha) == again["sha"])
     once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", sha])
     return rest.unionByName(once).select(*docs.columns)
