@@ -12,6 +12,7 @@ ROWS = 300
 BASE = ["accounts_at_risk", "cohort_retention", "mrr_monthly", "revenue_drilldown", "revenue_mix", "threshold_hits"]
 CORRECTED = ["corrections_log", "fact_after_corrections", "mrr_after_corrections"]
 NATURAL = ["constraint_violations", "fact_by_natural_id", "load_rerun_counts", "refresh_log_recent"]
+RECOVERED = ["load_after_failure", "load_after_failure_log"]
 
 
 @pytest.fixture(scope="module")
@@ -47,12 +48,12 @@ def test_buckets_follow_rows():
     assert warehouse.bucket_count(1 << 30, 9 * warehouse.BUCKET_ROWS) == 9
 
 
-@pytest.mark.parametrize("fill", [registry.loaded_warehouse, registry.corrected_warehouse, registry.natural_warehouse])
+@pytest.mark.parametrize("fill", [registry.loaded_warehouse, registry.corrected_warehouse, registry.natural_warehouse, registry.recovered_warehouse])
 def test_rows_of_a_bucket_are_bounded(spark, small_buckets, fill):
     wh = fill(spark, DATA)
     assert fullest(wh, warehouse.FACT) < 2 * ROWS < wh.read(warehouse.FACT).count()
 
 
-@pytest.mark.parametrize("name", BASE + CORRECTED + NATURAL)
+@pytest.mark.parametrize("name", BASE + CORRECTED + NATURAL + RECOVERED)
 def test_results_in_several_buckets(spark, duck, small_buckets, name):
     assert matches_sql(spark, duck, name)
