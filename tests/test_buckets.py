@@ -13,6 +13,7 @@ BASE = ["accounts_at_risk", "cohort_retention", "mrr_monthly", "revenue_drilldow
 CORRECTED = ["corrections_log", "fact_after_corrections", "mrr_after_corrections"]
 NATURAL = ["constraint_violations", "fact_by_natural_id", "load_rerun_counts", "refresh_log_recent"]
 RECOVERED = ["load_after_failure", "load_after_failure_log"]
+QUARANTINE = ["line_rejects", "unparsed_revenue"]
 
 
 @pytest.fixture(scope="module")
@@ -48,12 +49,12 @@ def test_buckets_follow_rows():
     assert warehouse.bucket_count(1 << 30, 9 * warehouse.BUCKET_ROWS) == 9
 
 
-@pytest.mark.parametrize("fill", [registry.loaded_warehouse, registry.corrected_warehouse, registry.natural_warehouse, registry.recovered_warehouse])
+@pytest.mark.parametrize("fill", [registry.loaded_warehouse, registry.corrected_warehouse, registry.natural_warehouse, registry.recovered_warehouse, registry.quarantine_warehouse])
 def test_rows_of_a_bucket_are_bounded(spark, small_buckets, fill):
     wh = fill(spark, DATA)
     assert fullest(wh, warehouse.FACT) < 2 * ROWS < wh.read(warehouse.FACT).count()
 
 
-@pytest.mark.parametrize("name", BASE + CORRECTED + NATURAL + RECOVERED)
+@pytest.mark.parametrize("name", BASE + CORRECTED + NATURAL + RECOVERED + QUARANTINE)
 def test_results_in_several_buckets(spark, duck, small_buckets, name):
     assert matches_sql(spark, duck, name)
