@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from tidemark.operators import marts
 from tidemark.plans import oracle, registry
-from tidemark.sources import warehouse
+from tidemark.sources import seeds, warehouse
 
 ROWS = 300
 BASE = ["accounts_at_risk", "cohort_retention", "mrr_monthly", "revenue_drilldown", "revenue_mix", "threshold_hits"]
@@ -58,3 +59,33 @@ def test_rows_of_a_bucket_are_bounded(spark, small_buckets, fill):
 @pytest.mark.parametrize("name", BASE + CORRECTED + NATURAL + RECOVERED + QUARANTINE)
 def test_results_in_several_buckets(spark, duck, small_buckets, name):
     assert matches_sql(spark, duck, name)
+
+
+def shuffled_bytes(df):
+    """Bytes that the shuffles of a frame wrote before compression."""
+    df.collect()
+    found = 0
+
+    def walk(node):
+        nonlocal found
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found += node.metrics().get("dataSize").get().value()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_bitmaps_are_built_where_they_stay(spark, small_buckets):
+    """Moved are narrow rows, one a fact row, and not a bitmap of 4 KB for each task and cell."""
+    wh = registry.loaded_warehouse(spark, DATA)
+    fact = wh.read(warehouse.FACT)
+    bits = marts.customer_bits(fact, wh.read(warehouse.CUSTOMERS), seeds.plans(spark))
+    assert 0 < shuffled_bytes(bits) < 200 * fact.count()
