@@ -89,3 +89,13 @@ def test_bitmaps_are_built_where_they_stay(spark, small_buckets):
     fact = wh.read(warehouse.FACT)
     bits = marts.customer_bits(fact, wh.read(warehouse.CUSTOMERS), seeds.plans(spark))
     assert 0 < shuffled_bytes(bits) < 200 * fact.count()
+
+
+@pytest.mark.parametrize("fill", [registry.natural_warehouse, registry.corrected_warehouse, registry.recovered_warehouse])
+def test_a_batch_is_compared_once(spark, small_buckets, fill):
+    """What differs from the stored rows is kept, and nothing else."""
+    wh = fill(spark, DATA)
+    state = wh.published()
+    changed = spark.read.parquet(f"{wh.root}/scratch/changes-{state.loads[-1]}")
+    loaded = wh.read(warehouse.LOG).filter(F.col("log_id") == state.loads[-1]).first()["rows_loaded"]
+    assert 0 < changed.count() == loaded < wh.read(warehouse.FACT).count()
