@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from tidemark.operators import marts
-from tidemark.plans import oracle, registry
+from tidemark.plans import load, oracle, registry
 from tidemark.sources import seeds, warehouse
 
 ROWS = 300
@@ -99,3 +99,9 @@ def test_a_batch_is_compared_once(spark, small_buckets, fill):
     changed = spark.read.parquet(f"{wh.root}/scratch/changes-{state.loads[-1]}")
     loaded = wh.read(warehouse.LOG).filter(F.col("log_id") == state.loads[-1]).first()["rows_loaded"]
     assert 0 < changed.count() == loaded < wh.read(warehouse.FACT).count()
+
+
+def test_splits_are_bounded(spark):
+    """A split of well packed rows is grouped or sorted by one task."""
+    with load.load_settings(spark, 6 << 30, 4):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == f"{32 << 20}b"
